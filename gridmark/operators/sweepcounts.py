@@ -65,16 +65,17 @@ def ge_counts(df: DataFrame, value: Column, thresholds: Sequence[float], group:
     return tail_counts(bucket_counts(df, value, thresholds, group), thresholds, group)
 
 
-def boundary_neighbourhood(prob_px: DataFrame, tolerance: int, carry: Sequence[str] = ("dataset",),
-                           keys: Sequence[str] = KEYS) -> DataFrame:
-    """Each pixel with the maximum probability and any truth within the tolerance disk."""
+def boundary_neighbourhood(prob_px: DataFrame, tolerance: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Each pixel with the maximum probability and any truth within the tolerance disk.
+
+    Columns that are constant per image (the dataset, say) travel as extra ``keys``.
+    """
     flags = prob_px.withColumn("t", F.col("true").cast("int"))
-    kept = [centre(F.col(c)).alias(c) for c in carry]
     near = focal(flags, disk(tolerance),
-                 [*kept, centre(F.col("prob")).alias("prob"), centre(F.col("t")).alias("t"),
+                 [centre(F.col("prob")).alias("prob"), centre(F.col("t")).alias("t"),
                   F.max("prob").alias("prob_near"), F.max("t").alias("t_near")],
-                 [*carry, "prob", "t"], keys)
-    return near.select(*keys, "y", "x", *carry, "prob", "prob_near", (F.col("t") == 1).alias("true"),
+                 ["prob", "t"], keys)
+    return near.select(*keys, "y", "x", "prob", "prob_near", (F.col("t") == 1).alias("true"),
                        (F.col("t_near") == 1).alias("true_near"))
 
 
@@ -109,7 +110,7 @@ def counters_from_buckets(buckets: DataFrame, thresholds: Sequence[float], group
 def accumulate(prob_px: DataFrame, thresholds: Sequence[float], tolerance: int = 2,
                group: str = "dataset", keys: Sequence[str] = KEYS) -> DataFrame:
     """Counters of every dataset and threshold from one pass over the pixels."""
-    near = boundary_neighbourhood(prob_px, tolerance, (group,), keys)
+    near = boundary_neighbourhood(prob_px, tolerance, tuple(dict.fromkeys((*keys, group))))
     return counters_from_buckets(sweep_buckets(near, thresholds, (group,)), thresholds, group)
 
 

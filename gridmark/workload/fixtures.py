@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: columns that are constant per image; as keys they cost nothing in a hash aggregate, whereas
+#: max() of a string would force a sort
+IMAGE = ("image_id", "dataset", "parent_id", "split")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,10 +56,10 @@ def prob_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from gridmark.operators.raster import PLUS, centre, focal
 
-    carry = ["dataset", "parent_id", "split", "label", "p100", "prob"]
+    carry = ["label", "p100", "prob"]
     spread = focal(px(spark, sf_dir), PLUS,
                    [F.min("label").alias("lo"), F.max("label").alias("hi"),
-                    *[centre(F.col(c)).alias(c) for c in carry]], carry)
+                    *[centre(F.col(c)).alias(c) for c in carry]], carry, IMAGE)
     return spread.withColumn("true", F.col("lo") < F.col("hi")).drop("lo", "hi")
 
 
@@ -98,3 +103,22 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_brand").alias("dataset"),
                     (200 + F.col("p_partkey") % 900).cast("int").alias("width"),
                     (200 + F.col("p_size") * 17).cast("int").alias("height"))
+
+
+def mask_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaic as an RGB mask: one colour per label, a brighter variant on a tenth of the pixels."""
+    from gridmark.functions.colour import pack
+
+    blue = 100 + F.when(F.col("p100") >= 90, 8).otherwise(0)
+    return px(spark, sf_dir).withColumn("rgb", pack(F.col("label") * 25, 250 - F.col("label") * 25, blue))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file listing with other mask naming in some datasets (bare, odd suffix, upper case)."""
+    src, p = F.col("dataset"), F.col("path")
+    renamed = (F.when(src == "src1", F.replace(p, F.lit("_mask.png"), F.lit("_zz9.png")))
+               .when(src == "src2", F.replace(p, F.lit("_mask.png"), F.lit(".png")))
+               .when(src == "src3", F.regexp_replace(p, "/([0-9]+)_mask.png$", "/IMG$1_mask.PNG"))
+               .otherwise(p))
+    images = F.when((src == "src3") & F.contains(p, F.lit("/images/")), F.regexp_replace(p, "/([0-9]+).png$", "/img$1.png"))
+    return files(spark, sf_dir).withColumn("path", F.coalesce(images, renamed))
