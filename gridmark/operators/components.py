@@ -23,8 +23,8 @@ MAX_ROUNDS = 200
 
 
 def pixel_id(y: Column, x: Column) -> Column:
-    """Raster-ordered id of a pixel: row in the high half, column in the low half."""
-    return F.shiftleft(y.cast("bigint"), 32) + x.cast("bigint")
+    """Raster-ordered id of a pixel, from 1 up (0 means "no region"): row high, column low."""
+    return F.shiftleft(y.cast("bigint"), 32) + x.cast("bigint") + 1
 
 
 def runs(px: DataFrame, label: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmark.functions import names
+from gridmark.session import cut
 
 
 def describe_files(listing: DataFrame) -> DataFrame:
@@ -51,6 +52,17 @@ def with_roles(files: DataFrame, layouts: DataFrame) -> DataFrame:
     return f.withColumn("role", role).filter("role is not null").drop("layout", "image_dir", "mask_dir")
 
 
+def discover(listing: DataFrame, root: Column) -> DataFrame:
+    """Files with their roles, materialised once: pairing reads this listing several times."""
+    described = cut(describe_files(listing))
+    return cut(with_roles(described, layout(described, root)))
+
+
+def discover_pairs(files: DataFrame) -> DataFrame:
+    """Pairs under the inferred affix of every dataset."""
+    return pair(files, cut(infer_affix(files)))
+
+
 def infer_affix(files: DataFrame) -> DataFrame:
     """``(dataset, affix)`` that turns mask stems into image stems, by counting matches.
 

@@ -46,13 +46,11 @@ FROM (SELECT n.dataset, n.path, {STRIP.format(a="a.affix", s="n.stem")} AS key F
 
 
 def files_with_roles(spark, d):
-    listed = pairing.describe_files(fixtures.listing(spark, d))
-    return pairing.with_roles(listed, pairing.layout(listed, F.concat(F.lit("/data/"), "dataset")))
+    return pairing.discover(fixtures.listing(spark, d), F.concat(F.lit("/data/"), "dataset"))
 
 
 def all_pairs(spark, d):
-    f = files_with_roles(spark, d)
-    return pairing.pair(f, pairing.infer_affix(f))
+    return pairing.discover_pairs(files_with_roles(spark, d))
 
 
 NAMES = """
@@ -142,7 +140,8 @@ def pair(spark, d):
 SELECT dataset, mask_path AS path, 'mask' AS role FROM pairs WHERE image_path IS NULL
 UNION ALL SELECT dataset, path, 'image' FROM named n WHERE role = 'image' AND path NOT IN (SELECT image_path FROM pairs WHERE image_path IS NOT NULL)""")
 def unmatched(spark, d):
-    return pairing.unmatched(files_with_roles(spark, d), all_pairs(spark, d))
+    f = files_with_roles(spark, d)
+    return pairing.unmatched(f, pairing.discover_pairs(f))
 
 
 @query("J02_pairing_counts", "named pairs", """
@@ -151,7 +150,8 @@ SELECT dataset, n_images::BIGINT AS n_images, n_masks::BIGINT AS n_masks, coales
 FROM (SELECT dataset, count(*) FILTER (role = 'image') n_images, count(*) FILTER (role = 'mask') n_masks FROM named GROUP BY 1)
 LEFT JOIN (SELECT dataset, count(image_path) np, count(DISTINCT image_path) nu FROM pairs GROUP BY 1) USING (dataset)""")
 def pairing_counts(spark, d):
-    return pairing.pairing_counts(files_with_roles(spark, d), all_pairs(spark, d))
+    f = files_with_roles(spark, d)
+    return pairing.pairing_counts(f, pairing.discover_pairs(f))
 
 
 EXCL = """SELECT dataset, name, 'listed' AS reason FROM (SELECT DISTINCT dataset, name FROM named WHERE length(stem) % 5 = 0
