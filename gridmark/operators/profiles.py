@@ -129,3 +129,20 @@ def class_shape_profile(px: DataFrame, mask: str, group: Sequence[str] = ("datas
                     F.get("q", F.lit(1)).alias("width_p95"), "share_thin", F.coalesce("n_skeleton_px", F.lit(0)).alias("n_skeleton_px"),
                     F.when(F.col("class_px") > 0, F.col("largest") / F.col("class_px")).alias("largest_cc_share"),
                     F.coalesce("n_components", F.lit(0)).alias("n_components"), "mean_inside", "mean_outside")
+
+
+def threshold_sensitivity(px: DataFrame, grey: str, cuts: Sequence[float], thin: float = 8.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The class profile of 'darker than the cut' for every cut, plus skeleton length per image.
+
+    Pixels are exploded over the cuts once and the cut is a key, so one set of passes serves all.
+    """
+    cuts_ = F.explode(F.array(*[F.lit(c) for c in cuts]))
+    k = [*keys, "dataset", "cut"]
+    each = px.withColumn("cut", cuts_)
+    each = cut(each.select(*frame(k), grey, (F.col(grey) < F.col("cut")).alias("dark")))
+    out = class_shape_profile(each, "dark", ("dataset", "cut"), thin, grey, k)
+    lengths = class_widths(each, "dark", k).groupBy(*k).agg(F.count("*").alias("length"))
+    images = each.filter("y = 0 and x = 0").select(*k).join(lengths, k, "left").na.fill(0, ["length"])
+    per = images.groupBy("dataset", "cut", "length").agg(F.count("*").alias("n")).groupBy("dataset", "cut").agg(
+        (F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("skeleton_mean"), F.percentile("length", 0.5, F.col("n")).alias("skeleton_median"))
+    return out.join(per, ["dataset", "cut"])

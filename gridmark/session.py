@@ -45,3 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: truncates the plan of a loop and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder beside the checkpoints, visible to every executor."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

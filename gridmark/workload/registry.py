@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridmark.workload.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+_TWINS: dict[str, tuple[str, str]] = {}
 
 
 def query(name: str, views: str = "", sql: str | None = None):
@@ -22,6 +22,11 @@ def query(name: str, views: str = "", sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = with_views(views, sql)
+            _TWINS[name] = (views, sql)
         return fn
     return register
+
+
+def sql_twins() -> dict[str, str]:
+    """The SQL of every query that has a twin, views included."""
+    return {name: with_views(views, body) for name, (views, body) in _TWINS.items()}
