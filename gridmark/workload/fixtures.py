@@ -21,8 +21,12 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The last image is shorter when the vectors run out; no vector is dropped.
     """
+    return px_of(table(spark, sf_dir, "embeddings"))
+
+
+def px_of(embeddings: DataFrame) -> DataFrame:
     slots = F.count("*").over(W.partitionBy("image_id"))  # at most 16 rows by construction
-    vectors = (table(spark, sf_dir, "embeddings")
+    vectors = (embeddings
                .select(F.expr("vec_id div 16").alias("image_id"), (F.col("vec_id") % 16).cast("int").alias("slot"),
                        "label", "embedding")
                .withColumn("n", slots.cast("int")))
@@ -54,10 +58,14 @@ def prob_px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Truth comes from the same neighbourhood pass that carries the pixel, so no join is needed.
     """
+    return prob_px_of(table(spark, sf_dir, "embeddings"))
+
+
+def prob_px_of(embeddings: DataFrame) -> DataFrame:
     from gridmark.operators.raster import PLUS, centre, focal
 
     carry = ["label", "p100", "prob"]
-    spread = focal(px(spark, sf_dir), PLUS,
+    spread = focal(px_of(embeddings), PLUS,
                    [F.min("label").alias("lo"), F.max("label").alias("hi"),
                     *[centre(F.col(c)).alias(c) for c in carry]], carry, IMAGE)
     return spread.withColumn("true", F.col("lo") < F.col("hi")).drop("lo", "hi")

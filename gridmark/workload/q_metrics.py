@@ -286,19 +286,6 @@ def run_audit(spark, d):
 
 
 # ---- label maps to boundaries ----
-@query("G09_merge_small_regions")
-def merge_small(spark, d):
-    return regions.merge_small_regions(fixtures.px(spark, d), 70).select("image_id", "y", "x", "label")
-
-
-@query("A18_region_merge_rollup")
-def merge_rollup(spark, d):
-    px = cut(fixtures.px(spark, d).select(*raster.frame(), "label"))
-    out = regions.merge_statistics(px, regions.merge_small_regions(px, 70), 70).withColumn("dataset", dataset_of())
-    return out.groupBy("dataset").agg(F.sum("n_components_total").alias("components"), F.sum("n_small").alias("small"), F.sum("n_pixels_reassigned").alias("reassigned"),
-                                      F.min("removed_fraction").alias("removed_min"), F.median("removed_fraction").alias("removed_median"), F.max("removed_fraction").alias("removed_max"))
-
-
 view("zero", "SELECT image_id, height, width, y, x FROM px WHERE label = 3", "px")
 components_view("z8", "zero", 8, "zero")
 view("zpx", "SELECT image_id, y, x, component, image_id * 4294967296000 + component AS g FROM z8_px", "z8_px")
@@ -353,7 +340,7 @@ def clean(spark, d):
 
 @query("G18_extract_status")
 def extract_status(spark, d):
-    status, _ = extract.extract(fixtures.mask_px(spark, d), 2, 20)
+    status, _ = extract.extract(fixtures.mask_px(spark, d), 2)
     return rounded(status.drop("dataset"), "unsnapped", "raw", "open", "close", "skeleton", "boundary")
 
 
