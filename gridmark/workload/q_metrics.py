@@ -544,8 +544,8 @@ def run_sweep(spark, d):
 
 @query("P19_flatten_sweep_row")
 def flatten(spark, d):
-    configs = sweep.marker_grid(tuned(spark), (0.4,)).unionByName(sweep.gap_closing_grid(tuned(spark), (1,), (3.0,), (0.8,), reference=False).filter("config not like '%tuned'"))
-    return sweep.flatten(sweep.sweep(fixtures.prob_px(spark, d), cut(configs), 2))
+    limits = spark.createDataFrame([("d0", 0.6), ("d1", 0.6), ("d2", 0.7)], "dataset string, threshold double")
+    return sweep.flatten(evaluate.evaluate(fixtures.prob_px(spark, d), limits))
 
 
 @query("F12_evaluate_predictions", "verdict_p60 pqf", f"""SELECT v.dataset, round(pixel_dice, 6) AS pixel_dice, "label", round(pq, 6) AS pq FROM verdict_p60 v JOIN ({MEANPQ.format(v="pqf")}) USING (dataset)""")
