@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +42,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def store(df: DataFrame, purpose: str = "cut") -> DataFrame:
+    """Write ``df`` once as Parquet beside the checkpoints and read it back.
+
+    The returned frame has a short plan and real file sizes, so joins over it are planned from
+    measured statistics, and it survives the loss of an executor.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, purpose)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: truncates the plan of a loop and survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Truncate the plan of a loop; see :func:`store`."""
+    return store(df)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that :func:`store` returned and that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder beside the checkpoints, visible to every executor."""
-    import uuid
-
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
