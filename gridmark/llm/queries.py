@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import simhash
+from gridmark.llm import simhash, substring
 from gridmark.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,17 @@ def query(name: str, sql: str | None = None):
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_substring_dedup", r"""
+WITH w AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+win AS MATERIALIZED (SELECT r, i, array_to_string(ws[i + 1:i + 35], ' ') AS t FROM (SELECT r, ws, unnest(range(0, len(ws) - 34)) AS i FROM w)),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win WHERE t IN (SELECT t FROM win GROUP BY t HAVING count(*) > 1)),
+word AS (SELECT r, unnest(range(len(ws))) AS p, unnest(ws) AS x FROM w),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM word ANTI JOIN hit USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+""")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256")
