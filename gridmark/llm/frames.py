@@ -22,7 +22,7 @@ def narrow(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
 def text_key(text: Column) -> list[Column]:
     """Two columns that name a text: 128 bits, equal for equal texts; a null text equals an empty one."""
     whole = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(whole, F.lit(1)).alias("k1"), F.xxhash64(whole, F.lit(2), F.length(whole)).alias("k2")]
+    return [F.xxhash64(F.lit(1), whole).alias("k1"), F.xxhash64(F.lit(2), whole).alias("k2")]
 
 
 def remainder(key: Column, divisor: int) -> Column:

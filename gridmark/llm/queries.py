@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import simhash, substring
+from gridmark.llm import decontaminate, simhash, substring
 from gridmark.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,20 @@ FROM w LEFT JOIN kept USING (r)
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256")
+
+
+@query("op6_decontaminate", r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+item AS (SELECT DISTINCT item_id, m, array_to_string(ws[i + 1:i + m], ' ') AS t FROM (SELECT item_id, ws, least(10, len(ws)) AS m, unnest(range(0, len(ws) - least(10, len(ws)) + 1)) AS i FROM b WHERE len(ws) > 0)),
+win AS (SELECT r, m, i, array_to_string(ws[i + 1:i + m], ' ') AS t FROM (SELECT r, ws, m, unnest(range(0, len(ws) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM item))),
+hit AS MATERIALIZED (SELECT r, i, win.m, item_id FROM win JOIN item ON win.m = item.m AND win.t = item.t),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) WHERE id IS NOT NULL GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN ids USING (r)
+""")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids")

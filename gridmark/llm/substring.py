@@ -136,25 +136,22 @@ def _open(length: int):
             chosen = batch.column(3)
             for lo, hi, data, offsets in steps(batch.column(2)):
                 w = Words(data, offsets)
-                rows, place, path, at, high, lower, n = [], [], [], [], [], [], []
+                rows, place, high, lower, n = [], [], [], [], []
                 for i in range(lo, hi):
                     base = int(w.first[i - lo])
                     for c in chosen[i].as_py():
-                        for o in range(c["run"]):
-                            s = base + c["start"] + o
-                            h = xxhash.xxh3_128_digest(w.text(s, s + length - 1))
+                        for s in range(c["start"], c["start"] + c["run"]):
+                            h = xxhash.xxh3_128_intdigest(w.text(base + s, base + s + length - 1))
                             rows.append(i)
-                            place.append(c["start"] + o)
-                            path.append(c["seg"])
-                            at.append(o)
-                            high.append(int.from_bytes(h[:8], "little", signed=True))
-                            lower.append(int.from_bytes(h[8:], "little", signed=True))
+                            place.append(s)
+                            high.append(h >> 64)
+                            lower.append(h & 0xFFFFFFFFFFFFFFFF)
                             n.append(c["n"])
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(path, pa.int64()),
-                     pa.array(at, pa.int32()), pa.array(high, pa.int64()), pa.array(lower, pa.int64()), pa.array(n, pa.int64())],
-                    ["d", "k", "place", "seg", "o", "w1", "w2", "n"])
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()),
+                     pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(lower, np.uint64).view(np.int64)), pa.array(n, pa.int64())],
+                    ["d", "k", "place", "w1", "w2", "n"])
     return run
 
 
@@ -182,13 +179,12 @@ def repeated_paths(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     forks = hits.filter("branches").drop("branches")
     copies = store(forks.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "start", "run")).alias("p")), "forks")
     whole = forks.join(narrow(store(copies.filter("n > 1").select("anchor", "seg"), "whole")), ["anchor", "seg"]).select("d", "k", "start", "run")
-    opened = store(copies.groupBy("p.d", "p.k").agg(F.collect_list(F.struct("p.start", "p.run", "seg", "n")).alias("chosen")), "opened")
-    edges = (named.join(narrow(opened), ["d", "k"]).select("d", "k", "body", "chosen")
-             .mapInArrow(_open(length), "d long, k long, place int, seg long, o int, w1 long, w2 long, n long"))
-    # repeated rows of one document read the same path twice: one of each counts
-    edges = store(edges.groupBy("w1", "w2", "seg", "o").agg(F.max("n").alias("n"), F.min(F.struct("d", "k", "place")).alias("p")), "edges")
-    twice = edges.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    single = edges.filter("n = 1").join(twice, ["w1", "w2"]).select("p.d", "p.k", F.col("p.place").alias("start"), F.lit(1).alias("run"))
+    opened = store(copies.groupBy("p.d", "p.k").agg(F.collect_list(F.struct("p.start", "p.run", "n")).alias("chosen")), "opened")
+    edges = store(named.join(opened, ["d", "k"]).select("d", "k", "body", "chosen")
+                  .mapInArrow(_open(length), "d long, k long, place int, w1 long, w2 long, n long"), "edges")
+    # a path of n = 1 stands in one row of one document; repeated rows make n > 1, so reading those twice adds nothing new
+    twice = edges.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min("n").alias("least")).filter("total > 1 and least = 1").select("w1", "w2")
+    single = edges.filter("n = 1").join(twice, ["w1", "w2"]).select("d", "k", F.col("place").alias("start"), F.lit(1).alias("run"))
     marks = settled.unionByName(whole).unionByName(single).groupBy("d", "k").agg(F.collect_set(F.struct("start", "run")).alias("spots"))
     own = found.filter("inner").select("d", "k", "inner").distinct()
     return marks.join(own, ["d", "k"], "full").select("d", "k", F.coalesce("inner", F.lit(False)).alias("inner"),
