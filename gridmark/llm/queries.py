@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import decontaminate, packing, sharding, simhash, substring, topk, warc
+from gridmark.llm import decontaminate, extract, packing, sharding, simhash, substring, topk, warc
 from gridmark.llm.frames import table
 from gridmark.session import shared_folder
 
@@ -103,3 +103,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.expr(f"try_cast({c} as bigint)")
     return warc.read_records(written, text=False).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                                                          number("refers_to").alias("refers_to"))
+
+
+@query("op3_extract")
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
