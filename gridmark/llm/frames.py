@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,12 @@ def remainder(key: Column, divisor: int) -> Column:
 
 def stored(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False))
+
+
+def carried(docs: DataFrame, text: str, drop: Sequence[str], keep: Sequence[str] | None) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """Columns to pass by a task as one struct ``row``, the text only once, and how a task finds the text in a batch."""
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in drop]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
+    if text in rest:
+        return docs.select(row), lambda batch: batch.column(0).field(text)
+    return docs.select(row, F.col(text).alias("body")), lambda batch: batch.column(1)

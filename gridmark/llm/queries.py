@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import decontaminate, extract, packing, sharding, simhash, substring, topk, warc
-from gridmark.llm.frames import table
+from gridmark.llm import decontaminate, extract, language, packing, quality, sharding, simhash, substring, topk, warc
+from gridmark.llm.frames import remainder, stored, table
 from gridmark.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_extract")
 def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    found = language.learn_and_predict(docs, held_out, keep=["doc_id"])
+    return found.select("doc_id", stored(held_out).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    found = quality.learn_and_score(docs, labels, held_out, keep=["doc_id"])
+    return found.select("doc_id", stored(held_out).alias("held_out"), "score", "predicted")
