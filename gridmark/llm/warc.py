@@ -284,5 +284,6 @@ def read_records(archives: DataFrame, text: bool = True) -> DataFrame:
 
     kinds = {"string": pa.string(), "long": pa.int64()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _RECORD.split(", ")])
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given as a number, so that the small rows are not drawn together
     block = F.floor(F.col("offset") / READ_BYTES)
-    return list_records(archives).repartition("archive", block).mapInArrow(run, _RECORD).select(*names)
+    return list_records(archives).repartition(tasks, "archive", block).mapInArrow(run, _RECORD).select(*names)
