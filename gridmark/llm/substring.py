@@ -184,6 +184,7 @@ def repeated_paths(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                   .mapInArrow(_open(length), "d long, k long, place int, w1 long, w2 long, n long"), "edges")
     # a path of n = 1 stands in one row of one document; repeated rows make n > 1, so reading those twice adds nothing new
     twice = edges.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min("n").alias("least")).filter("total > 1 and least = 1").select("w1", "w2")
+    twice = narrow(store(twice, "twice"))  # written, so that a join on an edge of very many paths can be split
     single = edges.filter("n = 1").join(twice, ["w1", "w2"]).select("d", "k", F.col("place").alias("start"), F.lit(1).alias("run"))
     marks = settled.unionByName(whole).unionByName(single).groupBy("d", "k").agg(F.collect_set(F.struct("start", "run")).alias("spots"))
     own = found.filter("inner").select("d", "k", "inner").distinct()
