@@ -24,7 +24,7 @@ from gridmark.llm.words import LOWER, steps
 from gridmark.session import store
 
 #: Documents per language that the model is trained and calibrated on, chosen by hash; the rest of the corpus is not learned from.
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_PER_LANGUAGE = 300
 #: Bytes of the training snippets cut from each of them, besides the whole text.
 SNIPPETS = (16, 32, 64, 128, 256)
 BUCKETS, DIMENSIONS, GRAMS = 1 << 15, 16, (2, 3, 4)
@@ -67,7 +67,7 @@ def _subwords(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.n
 
 
 def _training_rows(buckets: int):
-    """Per sampled text: subword counts of the whole and of a few snippets, cut at places its own bytes decide."""
+    """Per sampled text: subword shares of the whole and of a few snippets, cut at places its own bytes decide."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offsets in steps(batch.column(0)):
@@ -79,14 +79,13 @@ def _training_rows(buckets: int):
                         if len(text) > n:
                             s = int(place.integers(0, len(text) - n))
                             parts.append(text[s:s + n])
-                    ids, counts = [], []
-                    for p in parts:
-                        bucket, n = np.unique(_subwords(p, np.array([0, len(p)]), buckets)[0], return_counts=True)
-                        ids.append(bucket.astype(np.int32))
-                        counts.append(n.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(1).slice(lo + i, 1), batch.column(2).slice(lo + i, 1), pa.array([ids], pa.list_(pa.list_(pa.int32()))),
-                         pa.array([counts], pa.list_(pa.list_(pa.int32())))], ["lang", "place", "ids", "counts"])
+                    rows = [np.unique(_subwords(p, np.array([0, len(p)]), buckets)[0], return_counts=True) for p in parts]
+                    rows = [(b.astype("<i4").tobytes(), (n / n.sum()).astype("<f4").tobytes()) for b, n in rows if len(b)]
+                    if rows:
+                        same = pa.array([lo + i] * len(rows), pa.int64())
+                        yield pa.RecordBatch.from_arrays([batch.column(1).take(same), batch.column(2).take(same), pa.array(range(len(rows)), pa.int32()),
+                                                          pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+                                                         ["lang", "place", "part", "ids", "shares"])
     return run
 
 
@@ -95,29 +94,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """A model of the languages in ``labelled``; None if no row has both a language and a subword.
-
-    At most ``sample`` documents of each language are learned from, the ones of smallest hash; a
-    fifth of them sets the temperature and is not trained on.
-    """
-    known = (labelled.select(F.col(text).alias("body"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("place"))
-             .filter("lang is not null and body is not null"))
-    # four times the sample by hash range, so that few texts are moved, then exactly the smallest
-    counts = store(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    near = F.col("place") / F.lit(float(1 << 63)) + 1 <= F.lit(8.0 * sample) / F.col("n")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    chosen = (known.join(narrow(counts), "lang").filter(near).drop("n").withColumn("rank", rank).filter(F.col("rank") <= sample)
-              .select("body", "lang", "place"))
-    rows = (chosen.mapInArrow(_training_rows(BUCKETS), "lang string, place long, ids array<array<int>>, counts array<array<int>>")
-            .toArrow().sort_by([("lang", "ascending"), ("place", "ascending")]).to_pylist())
-    names = sorted({r["lang"] for r in rows})
+def _fit(rows: pa.Table) -> Model | None:
+    """The model of a bounded table of training rows; its last fifth, by hash of the text, sets the temperature."""
+    rows = rows.sort_by([("lang", "ascending"), ("place", "ascending"), ("part", "ascending")])
+    names = sorted(set(rows.column("lang").to_pylist()))
     texts, held = [], []
-    for r in rows:
-        for ids, counts in zip(r["ids"], r["counts"]):
-            if ids:
-                c = np.array(counts, np.float32)
-                (held if r["place"] % 5 == 0 else texts).append((np.array(ids), c / c.sum(), names.index(r["lang"])))
+    for name, place, ids, shares in zip(rows.column("lang").to_pylist(), rows.column("place").to_pylist(), rows.column("ids"), rows.column("shares")):
+        row = (np.frombuffer(ids.as_buffer(), "<i4"), np.frombuffer(shares.as_buffer(), "<f4"), names.index(name))
+        (held if place % 5 == 0 else texts).append(row)
     texts, held = texts or held, held or texts
     if not texts:
         return None
@@ -145,6 +129,36 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     return Model(names, scores, bias, float(grid[int(np.argmin(loss))]))
 
 
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
+    """A model of the languages in ``labelled``; None if no row has both a language and a subword.
+
+    At most ``sample`` documents of each language are learned from, the ones of smallest hash; a
+    fifth of them sets the temperature and is not trained on.
+    """
+    known = (labelled.select(F.col(text).alias("body"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("place"))
+             .filter("lang is not null and body is not null"))
+    # four times the sample by hash range, so that few texts are moved, then exactly the smallest
+    counts = store(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    near = F.col("place") / F.lit(float(1 << 63)) + 1 <= F.lit(8.0 * sample) / F.col("n")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = (known.join(narrow(counts), "lang").filter(near).drop("n").withColumn("rank", rank).filter(F.col("rank") <= sample)
+              .select("body", "lang", "place"))
+    rows = chosen.mapInArrow(_training_rows(BUCKETS), "lang string, place long, part int, ids binary, shares binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        model = _fit(pa.Table.from_batches(got)) if got else None
+        if model is not None:
+            yield pa.RecordBatch.from_pylist([{"languages": model.languages, "scores": model.scores.astype("<f4").tobytes(),
+                                               "bias": model.bias.astype("<f4").tobytes(), "temperature": model.temperature}])
+
+    # one task, as the sample is bounded; the driver receives the finished table only
+    found = rows.repartition(1).mapInArrow(run, "languages array<string>, scores binary, bias binary, temperature double").first()
+    if found is None:
+        return None
+    return Model(list(found.languages), np.frombuffer(found.scores, "<f4").reshape(BUCKETS, -1), np.frombuffer(found.bias, "<f4"), found.temperature)
+
+
 def predict(docs: DataFrame, model: Model | None, text: str = "text", reject_below: float = REJECT_BELOW,
             keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``lang_pred``, ``score`` (calibrated probability, 0 to 1) and ``accepted``; whole texts, other columns unchanged.
