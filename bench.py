@@ -9,9 +9,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ("A22_sweep_grouping_sets", "W06_best_threshold", "A10_tile_boundary_fraction", "F02_build_folds", "A16_fold_statistics",
+HEADLINE = ("A22_sweep_grouping_sets", "W06_best_threshold", "A10_tile_outline_fraction", "F02_build_folds", "A16_fold_statistics",
             "K05_weighted_sample", "A09_derive_palette", "J05_nearest_colour", "A02_palette_report", "G04_components_labels_4",
-            "G06_skeletonize_truth", "G10_regions_from_boundary", "A27_panoptic_quality", "A25_adjusted_rand_index")
+            "G06_skeletonize_truth", "G10_regions_from_outline", "A27_panoptic_quality", "A25_adjusted_rand_index")
 
 
 def main() -> None:

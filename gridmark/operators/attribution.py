@@ -24,12 +24,12 @@ def classify(table: DataFrame, tiny_area: int, keys: Sequence[str] = KEYS, iou:
     return missed.withColumn("class", F.when(F.col("area") < tiny_area, "TINY").otherwise(F.col("natural")))
 
 
-def merge_gaps(missed: DataFrame, table: DataFrame, true_regions: DataFrame, true_boundary: DataFrame,
-               pred_boundary: DataFrame, gap_tolerance: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
+def merge_gaps(missed: DataFrame, table: DataFrame, true_regions: DataFrame, true_outline: DataFrame,
+               pred_outline: DataFrame, gap_tolerance: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
     """``(keys, t, interface_px, gap_px)`` of merged regions.
 
-    An interface pixel is true boundary with the region and a merge partner in its 3 x 3; it is a
-    gap where no predicted boundary lies within the tolerance.  A pixel sees at most nine regions,
+    An interface pixel is true outline with the region and a merge partner in its 3 x 3; it is a
+    gap where no predicted outline lies within the tolerance.  A pixel sees at most nine regions,
     so partners meet per pixel and never as region pairs.
     """
     k = list(keys)
@@ -38,11 +38,11 @@ def merge_gaps(missed: DataFrame, table: DataFrame, true_regions: DataFrame, tru
     groups = dominant_share(table, keys).filter("dominant_share > 0.5 and rivals > 0").select(
         *k, F.col("t").alias("region"), F.col("p").alias("merge"))
     seen = (scatter(true_regions, SQUARE, ["region"], keys).select(*k, "y", "x", "region").distinct()
-            .join(true_boundary.select(*k, "y", "x"), [*k, "y", "x"], "left_semi")
+            .join(true_outline.select(*k, "y", "x"), [*k, "y", "x"], "left_semi")
             .join(groups, [*k, "region"]))
     together = (seen.groupBy(*k, "y", "x", "merge").agg(F.collect_set("region").alias("regions"))
                 .filter(F.size("regions") > 1))
-    near = pred_boundary if gap_tolerance == 0 else dilate(pred_boundary.select(*frame(keys)), disk(gap_tolerance), keys)
+    near = pred_outline if gap_tolerance == 0 else dilate(pred_outline.select(*frame(keys)), disk(gap_tolerance), keys)
     touched = together.join(near.select(*k, "y", "x", F.lit(1).alias("covered")), [*k, "y", "x"], "left")
     per = touched.select(*k, F.explode("regions").alias("t"), "covered").groupBy(*k, "t").agg(
         F.count("*").alias("interface_px"), F.sum(F.when(F.col("covered").isNull(), 1).otherwise(0)).alias("gap_px"))

@@ -45,7 +45,7 @@ def unknown_exclusions(folds: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def sanity_bands(table: DataFrame, width: Column, pos_weight: Column, fraction: Column) -> DataFrame:
-    """Whether class weight and boundary fraction lie in the bands a line width allows."""
+    """Whether class weight and outline fraction lie in the bands a line width allows."""
     return table.withColumns({
         "pos_weight_ok": pos_weight.between(F.greatest(F.lit(1.0), 10.0 / width), 400.0 / width),
         "fraction_ok": fraction.between(F.lit(0.005), F.least(F.lit(0.95), 0.25 * width / 2)),
@@ -60,7 +60,7 @@ def fold_integrity(folds: DataFrame, test_only: Sequence[str], width: float = 2.
     split = F.col("split")
     sides = folds.groupBy("fold", "dataset", "parent_id").agg(
         F.sum((split == "train").cast("int")).alias("train"), F.sum((split == "val").cast("int")).alias("val"),
-        F.sum(F.when(split == "train", F.col("boundary_fraction"))).alias("mass"))
+        F.sum(F.when(split == "train", F.col("outline_fraction"))).alias("mass"))
     per = sides.groupBy("fold").agg(
         F.sum("train").alias("train"), F.sum("val").alias("val"), F.sum("mass").alias("mass"),
         F.sum(((F.col("train") > 0) & (F.col("val") > 0)).cast("int")).alias("shared"),

@@ -1,4 +1,4 @@
-"""Splitting a boundary error into placement, thickness and over-detection."""
+"""Splitting an outline error into placement, thickness and over-detection."""
 
 from __future__ import annotations
 

@@ -192,11 +192,11 @@ def sampling_weights(rows: DataFrame, mode: str, group: Sequence[str] = ("fold",
 
 def fold_statistics(folds: DataFrame) -> DataFrame:
     """One row per fold and split: sizes, parents, datasets, fraction statistics and class weight."""
-    stats = describe(folds, F.col("boundary_fraction"), ["fold", "split"])
+    stats = describe(folds, F.col("outline_fraction"), ["fold", "split"])
     parents = (folds.groupBy("fold", "split", "dataset", "parent_id").agg(F.count("*").alias("n"))
                .groupBy("fold", "split").agg(F.sum("n").alias("n_tiles"), F.count("*").alias("n_parents"),
                                              F.array_sort(F.collect_set("dataset")).alias("datasets")))
-    means = folds.groupBy("fold", "split").agg(F.avg("boundary_fraction").alias("m"))
+    means = folds.groupBy("fold", "split").agg(F.avg("outline_fraction").alias("m"))
     return (parents.join(stats, ["fold", "split"]).join(means, ["fold", "split"])
             .withColumn("pos_weight", F.when(F.col("split") == "train", F.round(pos_weight(F.col("m")), 3)))
             .drop("n", "m"))
@@ -204,7 +204,7 @@ def fold_statistics(folds: DataFrame) -> DataFrame:
 
 def pos_weight_drift(folds: DataFrame, recorded: DataFrame) -> DataFrame:
     """Recorded class weight against the one the current training rows imply."""
-    now = (folds.filter("split = 'train'").groupBy("fold").agg(F.avg("boundary_fraction").alias("m"))
+    now = (folds.filter("split = 'train'").groupBy("fold").agg(F.avg("outline_fraction").alias("m"))
            .select("fold", pos_weight(F.col("m")).alias("implied")))
     return recorded.join(now, "fold").withColumn("ratio", F.when(F.col("implied") > 0,
                                                                  F.col("recorded") / F.col("implied")))

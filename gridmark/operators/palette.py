@@ -205,7 +205,7 @@ def votes(df: DataFrame, value: str, group: Sequence[str] = ("dataset",)) -> Dat
 
 
 def hsv_window(px: DataFrame, lo: float = 0.02, hi: float = 0.98, group: Sequence[str] = ("dataset",)) -> DataFrame:
-    """Percentile window of H, S and V over pixels of the boundary colour.
+    """Percentile window of H, S and V over pixels of the outline colour.
 
     Hue is circular: when it spreads over more than 90 it is shifted by 90, taken again and
     shifted back.  All inputs are bytes, so tallies bound the percentile state to 256 values.

@@ -1,4 +1,4 @@
-"""Turning probability pixels into boundary masks, plain or with gaps closed."""
+"""Turning probability pixels into outline masks, plain or with gaps closed."""
 
 from __future__ import annotations
 
@@ -16,14 +16,14 @@ MODES = ("none", "skeleton_redilate", "morph_close", "skeleton_bridge")
 
 
 def check_mode(mode: str, width: int | None = None, radius: float | None = None, bridge: float | None = None,
-               partition: str = "binary_boundary") -> None:
+               partition: str = "binary_outline") -> None:
     """Each mode's own required parameter, and no post-processing under the watershed partition."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    if partition not in ("binary_boundary", "watershed_prob"):
+    if partition not in ("binary_outline", "watershed_prob"):
         raise ValueError(f"unknown partition {partition!r}")
     if partition == "watershed_prob" and mode != "none":
-        raise ValueError("the watershed partition does not use a post-processed boundary")
+        raise ValueError("the watershed partition does not use a post-processed outline")
     if mode != "none" and (width is None or round(float(width)) < 1):
         raise ValueError(f"{mode} needs a target width of at least 1, got {width}")
     if mode == "morph_close" and (radius is None or round(float(radius)) < 1):

@@ -1,4 +1,4 @@
-"""Shape, size and endpoint profiles of classes, regions and boundaries."""
+"""Shape, size and endpoint profiles of classes, regions and outlines."""
 
 from __future__ import annotations
 
@@ -17,17 +17,17 @@ AREA_POINTS = (5, 10, 25, 50, 75, 90, 95, 99)
 AREA_LIMITS = (10, 25, 50, 100)
 
 
-def artifact_overlap(px: DataFrame, boundary: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Is the watched colour (boolean ``hit``) present, and how much boundary lies on it or its ring?"""
+def artifact_overlap(px: DataFrame, outline: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Is the watched colour (boolean ``hit``) present, and how much outline lies on it or its ring?"""
     k = list(keys)
     present = px.groupBy(*k).agg(F.sum(F.col("hit").cast("bigint")).alias("pixels"), F.count("*").alias("px"))
     near = dilate(px.filter("hit").select(*frame(keys)), SQUARE, keys).select(*k, "y", "x", F.lit(1).alias("near"))
-    touched = boundary.select(*k, "y", "x").join(near, [*k, "y", "x"], "left").groupBy(*k).agg(
-        F.count("*").alias("boundary_px"), F.count("near").alias("boundary_pixels_on_outline"))
-    j = present.join(touched, k, "left").na.fill(0, ["boundary_px", "boundary_pixels_on_outline"])
+    touched = outline.select(*k, "y", "x").join(near, [*k, "y", "x"], "left").groupBy(*k).agg(
+        F.count("*").alias("outline_px"), F.count("near").alias("outline_pixels_on_outline"))
+    j = present.join(touched, k, "left").na.fill(0, ["outline_px", "outline_pixels_on_outline"])
     return j.select(*k, (F.col("pixels") > 0).alias("present"), "pixels", safe_div(F.col("pixels"), F.col("px")).alias("fraction"),
-                    "boundary_pixels_on_outline",
-                    safe_div(F.col("boundary_pixels_on_outline"), F.col("boundary_px")).alias("share_of_boundary"))
+                    "outline_pixels_on_outline",
+                    safe_div(F.col("outline_pixels_on_outline"), F.col("outline_px")).alias("share_of_outline"))
 
 
 def label_map_stats(px: DataFrame, label: str = "label", keys: Sequence[str] = KEYS) -> DataFrame:

@@ -113,7 +113,7 @@ def dilate_to_width(skeleton: DataFrame, width: int, keys: Sequence[str] = KEYS)
     return out
 
 
-def find_boundaries(labels: DataFrame, label: str = "label", keys: Sequence[str] = KEYS) -> DataFrame:
+def find_outlines(labels: DataFrame, label: str = "label", keys: Sequence[str] = KEYS) -> DataFrame:
     """Pixels that differ from some in-image 4-neighbour, as a mask."""
     spread = focal(labels, PLUS, [F.min(label).alias("lo"), F.max(label).alias("hi")], [label], keys)
     return spread.filter(F.col("lo") < F.col("hi")).select(*frame(keys))

@@ -1,4 +1,4 @@
-"""Region partitions of boundary masks and label maps."""
+"""Region partitions of outline masks and label maps."""
 
 from __future__ import annotations
 
@@ -9,34 +9,34 @@ from pyspark.sql import functions as F
 
 from gridmark.functions.scalars import safe_div
 from gridmark.operators import components, distance
-from gridmark.operators.raster import KEYS, PLUS, find_boundaries, frame, scatter
+from gridmark.operators.raster import KEYS, PLUS, find_outlines, frame, scatter
 from gridmark.session import cut
 
 
-def regions_from_boundary(px: DataFrame, boundary: str = "boundary", connectivity: int = 4,
+def regions_from_outline(px: DataFrame, outline: str = "outline", connectivity: int = 4,
                           keys: Sequence[str] = KEYS) -> DataFrame:
-    """Partition implied by a boundary: connected background, grown into the boundary by nearest.
+    """Partition implied by an outline: connected background, grown into the outline by nearest.
 
-    Background is labelled 4-connected so that a diagonal boundary cannot leak; ties in the growth
-    go to the lowest region; an image that is all boundary is one region.
+    Background is labelled 4-connected so that a diagonal outline cannot leak; ties in the growth
+    go to the lowest region; an image that is all outline is one region.
     """
     k = list(keys)
-    ground = px.filter(~F.col(boundary))
+    ground = px.filter(~F.col(outline))
     runs = components.label_runs(ground, connectivity, keys=keys)
     known = components.expand_runs(runs, "component", keys=keys)
-    labelled = cut(px.select(*frame(keys), F.col(boundary).alias("b")).join(known, [*k, "y", "x"], "left"))
+    labelled = cut(px.select(*frame(keys), F.col(outline).alias("b")).join(known, [*k, "y", "x"], "left"))
     grown = distance.nearest_site(labelled.withColumn("site", ~F.col("b")), "site", "component", keys=keys)
     filled = labelled.join(grown.select(*k, "y", "x", "payload"), [*k, "y", "x"], "left")
     return filled.select(*frame(keys), F.coalesce("component", "payload", F.lit(1).cast("bigint")).alias("region"))
 
 
-def connectivity_difference(px: DataFrame, boundary: str = "boundary", keys: Sequence[str] = KEYS) -> DataFrame:
+def connectivity_difference(px: DataFrame, outline: str = "outline", keys: Sequence[str] = KEYS) -> DataFrame:
     """Regions of the 4-connected partition strictly inside a larger 8-connected one."""
     from gridmark.operators.partition_scores import contingency, overlay
 
     k = list(keys)
-    fine = cut(regions_from_boundary(px, boundary, 4, keys))
-    coarse = cut(regions_from_boundary(px, boundary, 8, keys))
+    fine = cut(regions_from_outline(px, outline, 4, keys))
+    coarse = cut(regions_from_outline(px, outline, 8, keys))
     cells = contingency(overlay(fine, coarse, keys), keys)
     home = cells.groupBy(*k, "t").agg(F.sum("n").alias("area_px"),
                                       F.max_by("p", F.struct(F.col("n"), -F.col("p"))).alias("p"))
@@ -112,9 +112,9 @@ def split_lines_and_blobs(labels: DataFrame, thickness: float, label: str = "lab
     return every.select(*k, "width_px", kind.alias("kind"))
 
 
-def line_class_boundary(labels: DataFrame, line_label: DataFrame, thickness: float, keys: Sequence[str] = KEYS,
+def line_class_outline(labels: DataFrame, line_label: DataFrame, thickness: float, keys: Sequence[str] = KEYS,
                         group: str = "dataset") -> DataFrame:
-    """Raw boundary where one class is itself the painted line: line pixels and outlines of blobs."""
+    """Raw outline where one class is itself the painted line: line pixels and outlines of blobs."""
     hit = cut(labels.join(line_label, group).filter(F.col("label") == F.col("line_label")))
     kinds = cut(split_lines_and_blobs(hit, thickness, keys=keys))
     runs = components.label_runs(hit, 8, keys=keys)
@@ -122,7 +122,7 @@ def line_class_boundary(labels: DataFrame, line_label: DataFrame, thickness: flo
     marked = labels.join(inside.select(*keys, "y", "x", "kind"), [*keys, "y", "x"], "left")
     marked = cut(marked.select(*frame(keys), "kind"))
     lines = marked.filter("kind = 'line'").select(*frame(keys))
-    outline = find_boundaries(marked.withColumn("blob", F.coalesce((F.col("kind") == "blob").cast("int"), F.lit(0))), "blob", keys)
+    outline = find_outlines(marked.withColumn("blob", F.coalesce((F.col("kind") == "blob").cast("int"), F.lit(0))), "blob", keys)
     return lines.unionByName(outline).distinct()
 
 

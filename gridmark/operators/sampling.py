@@ -33,10 +33,10 @@ def first_per_group(df: DataFrame, k: int, order: Sequence[Column | str], group:
 
 
 def densest_tile(tiles: DataFrame, minimum_px: int = 200, top: int = 20) -> DataFrame:
-    """Among the ``top`` tiles by fraction the first with more than ``minimum_px`` boundary pixels."""
-    head = tiles.orderBy(F.col("boundary_fraction").desc(), "tile_id").limit(top)
-    return (head.filter(F.col("boundary_px") > minimum_px)
-            .orderBy(F.col("boundary_fraction").desc(), "tile_id").limit(1))
+    """Among the ``top`` tiles by fraction the first with more than ``minimum_px`` outline pixels."""
+    head = tiles.orderBy(F.col("outline_fraction").desc(), "tile_id").limit(top)
+    return (head.filter(F.col("outline_px") > minimum_px)
+            .orderBy(F.col("outline_fraction").desc(), "tile_id").limit(1))
 
 
 def running_ranges(df: DataFrame, ident: str, weight: str) -> DataFrame:

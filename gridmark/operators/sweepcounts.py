@@ -65,7 +65,7 @@ def ge_counts(df: DataFrame, value: Column, thresholds: Sequence[float], group:
     return tail_counts(bucket_counts(df, value, thresholds, group), thresholds, group)
 
 
-def boundary_neighbourhood(prob_px: DataFrame, tolerance: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def outline_neighbourhood(prob_px: DataFrame, tolerance: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each pixel with the maximum probability and any truth within the tolerance disk.
 
     Columns that are constant per image (the dataset, say) travel as extra ``keys``.
@@ -110,7 +110,7 @@ def counters_from_buckets(buckets: DataFrame, thresholds: Sequence[float], group
 def accumulate(prob_px: DataFrame, thresholds: Sequence[float], tolerance: int = 2,
                group: str = "dataset", keys: Sequence[str] = KEYS) -> DataFrame:
     """Counters of every dataset and threshold from one pass over the pixels."""
-    near = boundary_neighbourhood(prob_px, tolerance, tuple(dict.fromkeys((*keys, group))))
+    near = outline_neighbourhood(prob_px, tolerance, tuple(dict.fromkeys((*keys, group))))
     return counters_from_buckets(sweep_buckets(near, thresholds, (group,)), thresholds, group)
 
 
@@ -124,7 +124,7 @@ def with_pooled(counters: DataFrame, group: str = "dataset") -> DataFrame:
 
 
 def metrics_from_counts(counters: DataFrame) -> DataFrame:
-    """IoU, Dice, precision, recall, F1 and the boundary scores; zero wherever the base is empty."""
+    """IoU, Dice, precision, recall, F1 and the outline scores; zero wherever the base is empty."""
     tp, n_pred, true_px = F.col("tp"), F.col("n_pred"), F.col("true_px")
 
     def harmonic(p: Column, r: Column) -> Column:
@@ -133,12 +133,12 @@ def metrics_from_counts(counters: DataFrame) -> DataFrame:
     table = counters.withColumns({
         "precision": safe_div(tp, n_pred), "recall": safe_div(tp, true_px),
         "iou": safe_div(tp, n_pred + true_px - tp), "dice": safe_div(2 * tp, n_pred + true_px),
-        "boundary_precision": safe_div(F.col("hits_p"), n_pred), "boundary_recall": safe_div(F.col("hits_r"), true_px),
+        "outline_precision": safe_div(F.col("hits_p"), n_pred), "outline_recall": safe_div(F.col("hits_r"), true_px),
         "true_fraction": safe_div(true_px, F.col("total_px")), "pred_fraction": safe_div(n_pred, F.col("total_px")),
         "prob_mean": safe_div(F.col("prob_sum"), F.col("total_px"))})
     return table.withColumns({
         "f1": harmonic(F.col("precision"), F.col("recall")),
-        "boundary_f": harmonic(F.col("boundary_precision"), F.col("boundary_recall"))})
+        "outline_f": harmonic(F.col("outline_precision"), F.col("outline_recall"))})
 
 
 def best_threshold(metrics: DataFrame, group: str = "dataset") -> DataFrame:

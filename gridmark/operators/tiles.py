@@ -56,16 +56,16 @@ def tile_pixels(px: DataFrame, patch: int, stride: int, keys: Sequence[str] = KE
     return rows.withColumn("tile_x", F.explode(covering(F.col("x"), F.col("width"), patch, stride)))
 
 
-def boundary_fractions(mask: DataFrame, plan: DataFrame, patch: int, stride: int,
+def outline_fractions(mask: DataFrame, plan: DataFrame, patch: int, stride: int,
                        keys: Sequence[str] = KEYS) -> DataFrame:
-    """Planned tiles with the share of their pixels that is boundary, rounded to six places."""
+    """Planned tiles with the share of their pixels that is outline, rounded to six places."""
     hits = tile_pixels(mask, patch, stride, keys).groupBy(*keys, "tile_y", "tile_x").agg(F.count("*").alias("hits"))
     share = F.round(F.coalesce("hits", F.lit(0)).cast("double") / (patch * patch), 6)
-    return plan.join(hits, [*keys, "tile_y", "tile_x"], "left").withColumn("boundary_fraction", share).drop("hits")
+    return plan.join(hits, [*keys, "tile_y", "tile_x"], "left").withColumn("outline_fraction", share).drop("hits")
 
 
 def keep_by_content(tiles: DataFrame, minimum: float = 0.005) -> DataFrame:
-    return tiles.withColumn("kept", F.col("boundary_fraction") >= minimum)
+    return tiles.withColumn("kept", F.col("outline_fraction") >= minimum)
 
 
 def lost_images(flagged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Audit of paired masks: colours, line-likeness votes and the boundary mode of every dataset."""
+"""Audit of paired masks: colours, line-likeness votes and the outline mode of every dataset."""
 
 from __future__ import annotations
 

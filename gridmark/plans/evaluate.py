@@ -15,7 +15,7 @@ def operating_point(limits: DataFrame, name: str = "none@tuned") -> DataFrame:
     null = F.lit(None).cast("double")
     return limits.select("dataset", F.lit(name).alias("config"), F.lit("none").alias("mode"), F.col("threshold").cast("double").alias("threshold"),
                          null.alias("radius"), null.alias("bridge"), null.alias("marker"),
-                         F.lit("binary_boundary").alias("partition"), F.lit(False).alias("reference"))
+                         F.lit("binary_outline").alias("partition"), F.lit(False).alias("reference"))
 
 
 def evaluate(prob_px: DataFrame, limits: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def attribute_false_negatives(prob_px: DataFrame, limits: DataFrame, tiny_area:
     px = cut(prob_px.join(limits.select("dataset", F.col("threshold").cast("float").alias("t")), "dataset")
              .withColumn("pred", F.col("prob") >= F.col("t")).drop("t"))
     keys = ("image_id", "dataset")
-    truth = cut(regions.regions_from_boundary(px.withColumn("boundary", F.col("true")), keys=keys))
-    found = regions.regions_from_boundary(px.withColumn("boundary", F.col("pred")), keys=keys)
+    truth = cut(regions.regions_from_outline(px.withColumn("outline", F.col("true")), keys=keys))
+    found = regions.regions_from_outline(px.withColumn("outline", F.col("pred")), keys=keys)
     table = cut(partition_scores.contingency(partition_scores.overlay(truth, found, keys), keys))
     missed = cut(attribution.classify(table, tiny_area, keys))
     gaps = attribution.merge_gaps(missed, table, truth, px.filter(F.col("true")), px.filter(F.col("pred")), gap_tolerance, keys)

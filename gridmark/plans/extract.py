@@ -1,4 +1,4 @@
-"""Boundary extraction: from coloured masks to cleaned, uniform-width boundary maps."""
+"""Outline extraction: from coloured masks to cleaned, uniform-width outline maps."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from gridmark.operators.raster import KEYS, frame
 from gridmark.session import cut
 
 
-def clean_boundary(raw: DataFrame, width: int, open_kernel: int = 3, close: bool = True, open_mode: str = "speckle",
+def clean_outline(raw: DataFrame, width: int, open_kernel: int = 3, close: bool = True, open_mode: str = "speckle",
                    keys: Sequence[str] = KEYS) -> dict[str, DataFrame]:
     """Despeckle, close, thin and grow to one width; the mask after every stage by name."""
     if open_mode not in ("speckle", "morph"):
@@ -26,7 +26,7 @@ def clean_boundary(raw: DataFrame, width: int, open_kernel: int = 3, close: bool
         stages["open"] = cut(raster.opening(stages["raw"], keys)) if open_kernel > 1 else stages["raw"]
     stages["close"] = cut(raster.closing(stages["open"], keys)) if close else stages["open"]
     stages["skeleton"] = thinning.skeletonize(stages["close"], keys)
-    stages["boundary"] = cut(raster.dilate_to_width(stages["skeleton"], width, keys))
+    stages["outline"] = cut(raster.dilate_to_width(stages["skeleton"], width, keys))
     return stages
 
 
@@ -55,12 +55,12 @@ def _reject(judged: DataFrame, flags: DataFrame, flag: str, reason: str, keys: S
 def extract(mask_px: DataFrame, width: int = 2, min_region: int = 0, max_unsnapped: float = 0.02,
             watched: DataFrame | None = None, min_share: float = 0.002, merge_distance: float = 48.0,
             line_thickness: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(status, boundary)`` for masks whose colours are phases.
+    """``(status, outline)`` for masks whose colours are phases.
 
     Per image: snap to the dataset palette, reject where too many pixels fit no colour, fold watched
-    colours, absorb small regions, reject where one label is left, draw and clean the boundary, and
+    colours, absorb small regions, reject where one label is left, draw and clean the outline, and
     report an empty result.  With ``line_thickness`` the darkest class counts as a painted line.
-    Every image gets a status row; only accepted ones get a boundary.
+    Every image gets a status row; only accepted ones get an outline.
     """
     keys = ("image_id", "dataset")
     mask_px = cut(mask_px.select(*frame(keys), "rgb"))
@@ -78,14 +78,14 @@ def extract(mask_px: DataFrame, width: int = 2, min_region: int = 0, max_unsnapp
         judged = cut(_reject(judged, _labels_left(px, keys), "flat", "merged to a single label", keys))
         px = px.join(judged.filter("reason is null").select(*keys), list(keys), "left_semi")
     if line_thickness is None:
-        raw = raster.find_boundaries(px, keys=keys)
+        raw = raster.find_outlines(px, keys=keys)
     else:
-        raw = regions.line_class_boundary(px, regions.line_class(peaks), line_thickness, keys)
+        raw = regions.line_class_outline(px, regions.line_class(peaks), line_thickness, keys)
     return _finish(raw, judged, mask_px, width, keys)
 
 
 def extract_painted(mask_px: DataFrame, windows: DataFrame, width: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``(status, boundary)`` for masks whose boundary is painted: pixels inside the HSV window."""
+    """``(status, outline)`` for masks whose outline is painted: pixels inside the HSV window."""
     keys = ("image_id", "dataset")
     mask_px = cut(mask_px.select(*frame(keys), "rgb"))
     rgb = F.col("rgb")
@@ -97,9 +97,9 @@ def extract_painted(mask_px: DataFrame, windows: DataFrame, width: int = 2) -> t
 
 
 def _finish(raw: DataFrame, judged: DataFrame, mask_px: DataFrame, width: int, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    stages = clean_boundary(raw, width, keys=keys)
+    stages = clean_outline(raw, width, keys=keys)
     images = mask_px.filter("y = 0 and x = 0").select(*keys, "height", "width")
     j = judged.join(stage_fractions(stages, images, keys), list(keys))
-    reason = F.coalesce("reason", F.when(F.col("boundary") == 0, "cleaned boundary is empty"))
+    reason = F.coalesce("reason", F.when(F.col("outline") == 0, "cleaned outline is empty"))
     status = j.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("rejected"))
-    return status, stages["boundary"]
+    return status, stages["outline"]

@@ -18,7 +18,7 @@ FIELDS = ("config", "mode", "threshold", "radius", "bridge", "marker", "partitio
 SHAPES = ("config", "image_id", "dataset")
 
 
-def _cell(name: Column, mode: str, threshold: Column, partition: str = "binary_boundary", radius=None, bridge=None,
+def _cell(name: Column, mode: str, threshold: Column, partition: str = "binary_outline", radius=None, bridge=None,
           marker=None, reference: bool = False) -> Column:
     def opt(v) -> Column:
         return F.lit(None if v is None else float(v)).cast("double")
@@ -81,7 +81,7 @@ def invalid_configs(configs: DataFrame, width: int | None) -> DataFrame:
     """Configuration rows that break a rule, with the rule (must be empty)."""
     outside = lambda c: ~((F.col(c) > 0) & (F.col(c) < 1))
     rule = (F.when(~F.col("mode").isin(*postprocess.MODES), "unknown mode")
-            .when(~F.col("partition").isin("binary_boundary", "watershed_prob"), "unknown partition")
+            .when(~F.col("partition").isin("binary_outline", "watershed_prob"), "unknown partition")
             .when((F.col("partition") == "watershed_prob") & (F.col("mode") != "none"), "watershed takes no post-processing")
             .when(F.coalesce(outside("threshold"), F.lit(True)), "threshold outside (0, 1)")
             .when(F.coalesce(outside("marker"), F.lit(False)), "marker outside (0, 1)")
@@ -92,7 +92,7 @@ def invalid_configs(configs: DataFrame, width: int | None) -> DataFrame:
 
 
 def predicted_masks(prob_px: DataFrame, configs: DataFrame, width: int | None) -> DataFrame:
-    """Boundary mask of every configuration and image, keyed by ``config``.
+    """Outline mask of every configuration and image, keyed by ``config``.
 
     Configurations that share a post-processing shape run through it together: the loop is over
     the few distinct (mode, radius, bridge) shapes, never over configurations or tiles.
@@ -118,7 +118,7 @@ def sweep(prob_px: DataFrame, configs: DataFrame, width: int | None = None, mark
     prob_px = cut(prob_px.select("image_id", "dataset", "split", "height", "width", "y", "x", "prob", "true"))
     missing = prob_px.select("dataset").distinct().join(configs.select("dataset").distinct(), "dataset", "left_anti")
     require_none(missing, "datasets without configuration")
-    truth = cut(regions.regions_from_boundary(prob_px.withColumn("boundary", F.col("true"))))
+    truth = cut(regions.regions_from_outline(prob_px.withColumn("outline", F.col("true"))))
     pred = predicted_masks(prob_px, configs, width)
     j = prob_px.join(configs.select("dataset", *FIELDS), "dataset")
     scored = cut(j.join(pred.select(*SHAPES, "y", "x", F.lit(True).alias("hit")), [*SHAPES, "y", "x"], "left")
@@ -126,9 +126,9 @@ def sweep(prob_px: DataFrame, configs: DataFrame, width: int | None = None, mark
                          F.coalesce("hit", F.lit(False)).alias("pred")))
     counts = decomposition_counts(with_skeletons(scored, SHAPES), ("config", "dataset"), radii, distances, SHAPES)
     parts = verdict(counts, radii, distances, tolerance)
-    line = scored.filter("partition = 'binary_boundary'").withColumn("boundary", F.col("pred"))
+    line = scored.filter("partition = 'binary_outline'").withColumn("outline", F.col("pred"))
     flood = scored.filter("partition = 'watershed_prob'")
-    found = regions.regions_from_boundary(line, keys=SHAPES)
+    found = regions.regions_from_outline(line, keys=SHAPES)
     if not flood.isEmpty():
         found = found.unionByName(watershed_regions(flood, "marker", keys=SHAPES))
     both = found.select(*SHAPES, "y", "x", F.col("region").alias("p")).join(
@@ -155,8 +155,8 @@ def flatten(rows: DataFrame) -> DataFrame:
 
 def config_from_selection(selected: DataFrame, name: str = "selected (val-best)") -> DataFrame:
     """The selected rows as one configuration, parameters carried through; the only thing scored on test."""
-    require_none(selected.filter("partition <> 'binary_boundary'").select("dataset", "partition"),
-                 "a selected configuration must use the binary boundary")
+    require_none(selected.filter("partition <> 'binary_outline'").select("dataset", "partition"),
+                 "a selected configuration must use the binary outline")
     return selected.select("dataset", F.lit(name).alias("config"), *[c for c in FIELDS if c not in ("config", "reference")],
                            F.lit(False).alias("reference"))
 

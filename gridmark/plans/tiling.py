@@ -15,12 +15,12 @@ def build_index(pairs: DataFrame, mask_px: DataFrame, patch: int, stride: int, r
                 minimum: float = 0.005) -> DataFrame:
     """All planned tiles of ``pairs(image_id, dataset, image_path, width, height)`` with ``kept``."""
     plan = tiles.plan_tiles(pairs, patch, stride)
-    measured = tiles.boundary_fractions(mask_px, plan, patch, stride)
+    measured = tiles.outline_fractions(mask_px, plan, patch, stride)
     s = stem(F.col("image_path"))
     out = tiles.keep_by_content(measured, minimum)
     return out.select(tile_id(F.col("dataset"), s, F.col("tile_x"), F.col("tile_y")).alias("tile_id"), "dataset",
                       parent_id(F.col("dataset"), s, rules or {}).alias("parent_id"), file_name(F.col("image_path")).alias("source_image"),
-                      F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "boundary_fraction", F.lit(patch).alias("patch"),
+                      F.col("tile_x").alias("x"), F.col("tile_y").alias("y"), "outline_fraction", F.lit(patch).alias("patch"),
                       "pad_right", "pad_bottom", "kept")
 
 

@@ -14,13 +14,13 @@ _TEXT, _INT, _REAL = T.StringType(), T.IntegerType(), T.DoubleType()
 #: fixed columns of a manifest, in file order
 MANIFEST = T.StructType([T.StructField(n, t) for n, t in (
     ("tile_id", _TEXT), ("dataset", _TEXT), ("parent_id", _TEXT), ("source_image", _TEXT), ("x", _INT), ("y", _INT),
-    ("boundary_fraction", _REAL), ("split", _TEXT), ("patch", _INT), ("image_path", _TEXT), ("gt_path", _TEXT), ("crop_left", _INT),
+    ("outline_fraction", _REAL), ("split", _TEXT), ("patch", _INT), ("image_path", _TEXT), ("gt_path", _TEXT), ("crop_left", _INT),
     ("crop_top", _INT), ("crop_width", _INT), ("crop_height", _INT), ("pad_right", _INT), ("pad_bottom", _INT))])
 
 
 def manifest_violations(rows: DataFrame) -> DataFrame:
     """Rows a tile reader cannot use, with the reason."""
-    needed = [c for c in MANIFEST.fieldNames() if c not in ("boundary_fraction", "split")]
+    needed = [c for c in MANIFEST.fieldNames() if c not in ("outline_fraction", "split")]
     absent = F.lit(False)
     for c in needed:
         absent = absent | F.col(c).isNull()

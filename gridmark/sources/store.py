@@ -1,4 +1,4 @@
-"""Materialised tables: fingerprints, keyed caches, boundary tables and fold statistics."""
+"""Materialised tables: fingerprints, keyed caches, outline tables and fold statistics."""
 
 from __future__ import annotations
 
@@ -67,9 +67,9 @@ def materialize(df: DataFrame, folder: str, key: str) -> tuple[DataFrame, str]:
     return stored, reason
 
 
-def write_boundary(px: DataFrame, path: str, value: str = "value") -> None:
-    """Boundary raster as a table by dataset; any value but 0 and 255 is refused."""
-    require_none(outside_domain(px, value, (0, 255)), "a boundary map holds 0 and 255 only")
+def write_outline(px: DataFrame, path: str, value: str = "value") -> None:
+    """Outline raster as a table by dataset; any value but 0 and 255 is refused."""
+    require_none(outside_domain(px, value, (0, 255)), "an outline map holds 0 and 255 only")
     px.write.mode("overwrite").partitionBy("dataset").parquet(path)
 
 

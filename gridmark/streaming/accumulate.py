@@ -20,7 +20,7 @@ def accumulate_stream(stream: DataFrame, folder: str, thresholds: Sequence[float
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         px = prepare(batch) if prepare else batch
-        near = sweepcounts.boundary_neighbourhood(px, tolerance, ("image_id", "dataset"))
+        near = sweepcounts.outline_neighbourhood(px, tolerance, ("image_id", "dataset"))
         sweepcounts.sweep_buckets(near, thresholds).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")

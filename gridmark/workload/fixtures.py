@@ -47,14 +47,14 @@ def px_of(embeddings: DataFrame) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thick label boundary of the mosaic, as a mask."""
-    from gridmark.operators.raster import find_boundaries
+    """Thick label outline of the mosaic, as a mask."""
+    from gridmark.operators.raster import find_outlines
 
-    return find_boundaries(px(spark, sf_dir))
+    return find_outlines(px(spark, sf_dir))
 
 
 def prob_px(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mosaic pixels with probability and boundary truth.
+    """Mosaic pixels with probability and outline truth.
 
     Truth comes from the same neighbourhood pass that carries the pixel, so no join is needed.
     """
@@ -75,7 +75,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("tile_id"), F.col("o_orderpriority").alias("dataset"),
                     (F.col("o_custkey") % 97).alias("parent_id"),
-                    ((F.col("o_orderkey") % 1000).cast("double") / F.lit(10000.0)).alias("boundary_fraction"))
+                    ((F.col("o_orderkey") % 1000).cast("double") / F.lit(10000.0)).alias("outline_fraction"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,7 +285,7 @@ def run_audit(spark, d):
     return audit.audit(fixtures.mask_px(spark, d))
 
 
-# ---- label maps to boundaries ----
+# ---- label maps to outlines ----
 view("zero", "SELECT image_id, height, width, y, x FROM px WHERE label = 3", "px")
 components_view("z8", "zero", 8, "zero")
 view("zpx", "SELECT image_id, y, x, component, image_id * 4294967296000 + component AS g FROM z8_px", "z8_px")
@@ -301,14 +301,14 @@ def line_blob(spark, d):
     return rounded(regions.split_lines_and_blobs(hit, 7.0), "width_px")
 
 
-@query("G16_line_class_boundary", "kinds zpx px", """
+@query("G16_line_class_outline", "kinds zpx px", """
 WITH b AS (SELECT p.image_id, p.y, p.x, k.kind, coalesce(k.kind = 'blob', false) AS blob FROM px p LEFT JOIN (SELECT z.image_id, z.y, z.x, kind FROM zpx z JOIN kinds USING (g)) k USING (image_id, y, x))
 SELECT image_id, y, x FROM b WHERE kind = 'line' UNION
 SELECT DISTINCT p.image_id, p.y, p.x FROM b p JOIN b q ON q.image_id = p.image_id AND abs(q.y - p.y) + abs(q.x - p.x) = 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 WHERE p.blob <> q.blob""".replace("\nWITH b AS", "\n, b AS"))
 def line_class(spark, d):
     px = cut(fixtures.px(spark, d).select("image_id", "dataset", "height", "width", "y", "x", "label"))
     lines = px.select("dataset").distinct().withColumn("line_label", F.lit(3))
-    return regions.line_class_boundary(px, lines, 7.0).select("image_id", "y", "x")
+    return regions.line_class_outline(px, lines, 7.0).select("image_id", "y", "x")
 
 
 @query("G16_line_class_index", "palette", """SELECT dataset, arg_min(idx, ((rgb >> 16) + ((rgb >> 8) & 255) + (rgb & 255)) * 1000 + idx) AS line_label FROM palette GROUP BY 1""")
@@ -329,11 +329,11 @@ view("c_out", """SELECT DISTINCT p.image_id, p.y, p.x FROM c_skel s CROSS JOIN (
 ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""", "c_skel px")
 
 
-@query("G17_clean_boundary_stages", "pred70 c_open c_close c_skel c_out px", """
+@query("G17_clean_outline_stages", "pred70 c_open c_close c_skel c_out px", """
 SELECT i.image_id, """ + ", ".join(f"round((SELECT count(*) FROM {v} s WHERE s.image_id = i.image_id) / (i.height * i.width)::DOUBLE, 6) AS {n}" for n, v in (
-    ("raw", "pred70"), ("open", "c_open"), ("close", "c_close"), ("skeleton", "c_skel"), ("boundary", "c_out"))) + " FROM (SELECT DISTINCT image_id, height, width FROM px) i")
+    ("raw", "pred70"), ("open", "c_open"), ("close", "c_close"), ("skeleton", "c_skel"), ("outline", "c_out"))) + " FROM (SELECT DISTINCT image_id, height, width FROM px) i")
 def clean(spark, d):
-    stages = extract.clean_boundary(mask(spark, d, 70), 2)
+    stages = extract.clean_outline(mask(spark, d, 70), 2)
     images = fixtures.px(spark, d).filter("y = 0 and x = 0").select("image_id", "height", "width")
     return rounded(extract.stage_fractions(stages, images), *stages)
 
@@ -341,7 +341,7 @@ def clean(spark, d):
 @query("G18_extract_status")
 def extract_status(spark, d):
     status, _ = extract.extract(fixtures.mask_px(spark, d), 2)
-    return rounded(status.drop("dataset"), "unsnapped", "raw", "open", "close", "skeleton", "boundary")
+    return rounded(status.drop("dataset"), "unsnapped", "raw", "open", "close", "skeleton", "outline")
 
 
 # ---- post-processing ----
@@ -420,14 +420,14 @@ def tuned(spark):
 
 def priority_tuned(spark, d):
     """Tuned thresholds per tile dataset, derived from the tiles."""
-    return fixtures.tiles(spark, d).groupBy("dataset").agg(F.round(0.3 + F.max("boundary_fraction"), 6).alias("tuned"))
+    return fixtures.tiles(spark, d).groupBy("dataset").agg(F.round(0.3 + F.max("outline_fraction"), 6).alias("tuned"))
 
 
-view("ptuned", "SELECT dataset, round(0.3::DOUBLE + max(boundary_fraction), 6) AS tuned FROM tiles GROUP BY 1", "tiles")
+view("ptuned", "SELECT dataset, round(0.3::DOUBLE + max(outline_fraction), 6) AS tuned FROM tiles GROUP BY 1", "tiles")
 
 
 @query("F07_postprocess_grid", "ptuned", """
-SELECT dataset, m || '@' || coalesce(format('{:.2f}', t), 'tuned') AS config, m AS mode, coalesce(t, tuned) AS threshold, 'binary_boundary' AS partition, false AS reference
+SELECT dataset, m || '@' || coalesce(format('{:.2f}', t), 'tuned') AS config, m AS mode, coalesce(t, tuned) AS threshold, 'binary_outline' AS partition, false AS reference
 FROM ptuned, (VALUES ('none'), ('skeleton_redilate')) a(m), (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (NULL)) b(t)
 UNION ALL SELECT dataset, 'reference: watershed_prob@tuned', 'none', tuned, 'watershed_prob', true FROM ptuned""")
 def grid(spark, d):
@@ -449,11 +449,11 @@ def markers(spark, d):
 
 
 @query("J10_config_by_tile", "ptuned tiles", """
-SELECT t.dataset, m AS config, count(*) AS n, count(*) FILTER (boundary_fraction >= tuned - 0.35) AS hits FROM tiles t JOIN ptuned USING (dataset), (VALUES ('a'), ('b')) c(m) GROUP BY 1, 2""")
+SELECT t.dataset, m AS config, count(*) AS n, count(*) FILTER (outline_fraction >= tuned - 0.35) AS hits FROM tiles t JOIN ptuned USING (dataset), (VALUES ('a'), ('b')) c(m) GROUP BY 1, 2""")
 def config_by_tile(spark, d):
     configs = priority_tuned(spark, d).withColumn("config", F.explode(F.array(F.lit("a"), F.lit("b"))))
     j = fixtures.tiles(spark, d).join(configs, "dataset")
-    return j.groupBy("dataset", "config").agg(F.count("*").alias("n"), F.count_if(F.col("boundary_fraction") >= F.col("tuned") - 0.35).alias("hits"))
+    return j.groupBy("dataset", "config").agg(F.count("*").alias("n"), F.count_if(F.col("outline_fraction") >= F.col("tuned") - 0.35).alias("hits"))
 
 
 @query("P26_request_validation", "ptuned", """
@@ -461,7 +461,7 @@ SELECT dataset, config, 'morph_close needs a radius' AS rule FROM ptuned, (VALUE
 SELECT dataset, 'c', 'watershed takes no post-processing' FROM ptuned UNION ALL SELECT dataset, 'd', 'threshold outside (0, 1)' FROM ptuned""")
 def validation(spark, d):
     null = F.lit(None).cast("double")
-    def cell(name, mode, t, partition="binary_boundary"):
+    def cell(name, mode, t, partition="binary_outline"):
         return F.struct(F.lit(name).alias("config"), F.lit(mode).alias("mode"), F.lit(t).alias("threshold"), null.alias("radius"), null.alias("bridge"),
                         null.alias("marker"), F.lit(partition).alias("partition"))
     cells = F.array(cell("a", "none", 0.5), cell("b", "morph_close", 0.5), cell("c", "skeleton_redilate", 0.5, "watershed_prob"), cell("d", "none", 1.5))
@@ -470,7 +470,7 @@ def validation(spark, d):
 
 view("sweeprows", """
 SELECT 'd' || (user_id % 3) AS dataset, 'c' || event_id AS config, CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'skeleton_redilate' WHEN 2 THEN 'morph_close' ELSE 'skeleton_bridge' END AS mode,
-  (1 + event_id % 19) * 0.05::DOUBLE AS threshold, CASE WHEN event_id % 5 = 0 THEN 'watershed_prob' ELSE 'binary_boundary' END AS partition, event_id % 11 = 0 AS reference, 'val' AS split,
+  (1 + event_id % 19) * 0.05::DOUBLE AS threshold, CASE WHEN event_id % 5 = 0 THEN 'watershed_prob' ELSE 'binary_outline' END AS partition, event_id % 11 = 0 AS reference, 'val' AS split,
   (1 + event_id % 9) / 10.0::DOUBLE AS marker, round(value / 500, 2) AS pq FROM events""")
 
 
@@ -479,7 +479,7 @@ def sweep_rows(spark, d):
     k = i % 4
     return e.select(F.concat(F.lit("d"), F.col("user_id") % 3).alias("dataset"), F.concat(F.lit("c"), i).alias("config"),
                     F.when(k == 0, "none").when(k == 1, "skeleton_redilate").when(k == 2, "morph_close").otherwise("skeleton_bridge").alias("mode"),
-                    ((1 + i % 19) * F.lit(0.05)).alias("threshold"), F.when(i % 5 == 0, "watershed_prob").otherwise("binary_boundary").alias("partition"),
+                    ((1 + i % 19) * F.lit(0.05)).alias("threshold"), F.when(i % 5 == 0, "watershed_prob").otherwise("binary_outline").alias("partition"),
                     (i % 11 == 0).alias("reference"), F.lit("val").alias("split"), ((1 + i % 9) / F.lit(10.0)).alias("marker"), F.round(F.col("value") / 500, 2).alias("pq"))
 
 
@@ -510,10 +510,10 @@ def multiplicity(spark, d):
     return selection.wrong_multiplicity(sweep_rows(spark, d).withColumn("kind", F.col("mode")), ["none", "morph_close"])
 
 
-@query("F09_selected_config", "sweeprows", f"""SELECT dataset, 'selected (val-best)' AS config, mode, threshold, partition FROM sweeprows WHERE NOT reference AND partition = 'binary_boundary'
+@query("F09_selected_config", "sweeprows", f"""SELECT dataset, 'selected (val-best)' AS config, mode, threshold, partition FROM sweeprows WHERE NOT reference AND partition = 'binary_outline'
 QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY pq DESC, {RANK}, threshold, config) = 1""")
 def selected(spark, d):
-    rows = sweep_rows(spark, d).filter("partition = 'binary_boundary'").withColumns({c: F.lit(None).cast("double") for c in ("radius", "bridge")})
+    rows = sweep_rows(spark, d).filter("partition = 'binary_outline'").withColumns({c: F.lit(None).cast("double") for c in ("radius", "bridge")})
     return sweep.config_from_selection(selection.select_config(rows)).select("dataset", "config", "mode", "threshold", "partition")
 
 

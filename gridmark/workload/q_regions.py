@@ -82,16 +82,16 @@ def mask(spark, d, cut_at):
 
 
 def true_regions(spark, d):
-    return regions.regions_from_boundary(fixtures.prob_px(spark, d).withColumn("boundary", F.col("true")))
+    return regions.regions_from_outline(fixtures.prob_px(spark, d).withColumn("outline", F.col("true")))
 
 
 def pred_regions(spark, d, cut_at=60, connectivity=4):
-    return regions.regions_from_boundary(fixtures.px(spark, d).withColumn("boundary", F.col("p100") >= cut_at), connectivity=connectivity)
+    return regions.regions_from_outline(fixtures.px(spark, d).withColumn("outline", F.col("p100") >= cut_at), connectivity=connectivity)
 
 
 # ---- neighbourhoods ----
-@query("G05_find_boundaries", "truth", "SELECT image_id, y, x FROM truth")
-def find_boundaries(spark, d):
+@query("G05_find_outlines", "truth", "SELECT image_id, y, x FROM truth")
+def find_outlines(spark, d):
     return fixtures.truth(spark, d).select("image_id", "y", "x")
 
 
@@ -153,14 +153,14 @@ for _w, _lo, _hi in ((1, 0, 0), (2, 0, 1), (3, -1, 1), (4, -1, 2), (7, -3, 3)):
 
 
 @query("G23_artifact_overlap", "px truth", """
-SELECT image_id, max(pixels) > 0 AS present, max(pixels)::BIGINT AS pixels, count(*) FILTER (near) AS boundary_pixels_on_outline,
-  round(count(*) FILTER (near) / count(*)::DOUBLE, 6) AS share_of_boundary FROM (
+SELECT image_id, max(pixels) > 0 AS present, max(pixels)::BIGINT AS pixels, count(*) FILTER (near) AS outline_pixels_on_outline,
+  round(count(*) FILTER (near) / count(*)::DOUBLE, 6) AS share_of_outline FROM (
   SELECT t.image_id, (SELECT count(*) FROM px q WHERE q.image_id = t.image_id AND q.label = 3) AS pixels,
     EXISTS (SELECT 1 FROM px q WHERE q.image_id = t.image_id AND q.label = 3 AND abs(q.y - t.y) <= 1 AND abs(q.x - t.x) <= 1) AS near FROM truth t) GROUP BY 1""")
 def artifact(spark, d):
     from gridmark.operators.profiles import artifact_overlap
     out = artifact_overlap(fixtures.px(spark, d).withColumn("hit", F.col("label") == 3), fixtures.truth(spark, d))
-    return rounded(out.select("image_id", "present", "pixels", "boundary_pixels_on_outline", "share_of_boundary"), "share_of_boundary")
+    return rounded(out.select("image_id", "present", "pixels", "outline_pixels_on_outline", "share_of_outline"), "share_of_outline")
 
 
 @query("A17_artifact_rollup", "px truth", """
@@ -174,8 +174,8 @@ def artifact_rollup(spark, d):
     out = out.withColumn("dataset", F.concat(F.lit("d"), (F.col("image_id") % 3).cast("string")))
     return out.groupBy("dataset").agg(
         F.sum(F.col("present").cast("bigint")).alias("files_present"), F.count("*").alias("files_checked"),
-        F.round(F.min("share_of_boundary"), 6).alias("share_min"), F.round(F.median("share_of_boundary"), 6).alias("share_median"),
-        F.round(F.max("share_of_boundary"), 6).alias("share_max"))
+        F.round(F.min("share_of_outline"), 6).alias("share_min"), F.round(F.median("share_of_outline"), 6).alias("share_median"),
+        F.round(F.max("share_of_outline"), 6).alias("share_max"))
 
 
 # ---- components ----
@@ -291,7 +291,7 @@ def endpoint_profile(spark, d):
 SUMMARY = "image_id, region, count(*) AS n, sum(y * 64 + x)::BIGINT AS place"
 
 
-@query("G10_regions_from_boundary", "treg", f"SELECT {SUMMARY} FROM treg GROUP BY 1, 2")
+@query("G10_regions_from_outline", "treg", f"SELECT {SUMMARY} FROM treg GROUP BY 1, 2")
 def regions_true(spark, d):
     return true_regions(spark, d).groupBy("image_id", "region").agg(F.count("*").alias("n"), F.sum(F.col("y") * 64 + F.col("x")).alias("place"))
 
@@ -309,7 +309,7 @@ SELECT h.image_id, h.t AS region, h.area AS area_px, o.area AS old_region_area_p
   SELECT image_id, t, sum(n)::BIGINT AS area, arg_max(p, n::HUGEINT * 1000000000000000::HUGEINT - p) AS p FROM conn GROUP BY 1, 2) h
 JOIN (SELECT image_id, p, sum(n)::BIGINT AS area FROM conn GROUP BY 1, 2) o ON o.image_id = h.image_id AND o.p = h.p WHERE o.area > h.area""")
 def connectivity(spark, d):
-    return regions.connectivity_difference(fixtures.px(spark, d).withColumn("boundary", F.col("p100") >= 60))
+    return regions.connectivity_difference(fixtures.px(spark, d).withColumn("outline", F.col("p100") >= 60))
 
 
 view("areas", "SELECT image_id, 'd' || (image_id % 3) AS dataset, region, count(*) AS area FROM treg GROUP BY 1, 2, 3", "treg")

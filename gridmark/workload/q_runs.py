@@ -142,7 +142,7 @@ def iso(spark, d):
     return fixtures.table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
 
 
-@query("F05_tile_index", "mtiles", """SELECT dataset, count(*) AS planned, count(*) FILTER (boundary_fraction >= 0.3) AS kept, count(*) FILTER (boundary_fraction < 0.3) AS dropped FROM mtiles GROUP BY 1""")
+@query("F05_tile_index", "mtiles", """SELECT dataset, count(*) AS planned, count(*) FILTER (outline_fraction >= 0.3) AS kept, count(*) FILTER (outline_fraction < 0.3) AS dropped FROM mtiles GROUP BY 1""")
 def tile_index(spark, d):
     from gridmark.workload.q_tiling import mosaic_images
     pairs = mosaic_images(spark, d).withColumn("image_path", F.format_string("/data/%s/im%d.png", "dataset", "image_id"))

@@ -10,7 +10,7 @@ from gridmark.workload.registry import query
 from gridmark.workload.views import ratio, view
 
 GRID = sweepcounts.threshold_grid(0.05, 0.95, 0.05)
-RATIOS = ("precision", "recall", "iou", "dice", "f1", "boundary_precision", "boundary_recall", "boundary_f",
+RATIOS = ("precision", "recall", "iou", "dice", "f1", "outline_precision", "outline_recall", "outline_f",
           "true_fraction", "pred_fraction")
 
 
@@ -49,8 +49,8 @@ def _metrics_sql(source: str) -> str:
 SELECT dataset, threshold, tp::BIGINT AS tp, n_pred::BIGINT AS n_pred, {ratio("tp", "n_pred")} AS precision,
        {ratio("tp", "true_px")} AS recall, {ratio("tp", "n_pred + true_px - tp")} AS iou,
        {ratio("2 * tp", "n_pred + true_px")} AS dice, {ratio(f"2 * {p} * {r}", f"{p} + {r}")} AS f1,
-       {ratio("hits_p", "n_pred")} AS boundary_precision, {ratio("hits_r", "true_px")} AS boundary_recall,
-       {ratio(f"2 * {bp} * {br}", f"{bp} + {br}")} AS boundary_f, {ratio("true_px", "total_px")} AS true_fraction,
+       {ratio("hits_p", "n_pred")} AS outline_precision, {ratio("hits_r", "true_px")} AS outline_recall,
+       {ratio(f"2 * {bp} * {br}", f"{bp} + {br}")} AS outline_f, {ratio("true_px", "total_px")} AS true_fraction,
        {ratio("n_pred", "total_px")} AS pred_fraction FROM {source}"""
 
 
@@ -76,12 +76,12 @@ def sweep_grouping_sets(spark, d):
 
 
 @query("W06_best_threshold", "metrics", """
-SELECT dataset, threshold, dice, boundary_f FROM metrics
+SELECT dataset, threshold, dice, outline_f FROM metrics
 QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY dice DESC, threshold DESC) = 1""")
 def best_threshold(spark, d):
     out = rounded(sweepcounts.metrics_from_counts(sweepcounts.with_pooled(
-        sweepcounts.accumulate(fixtures.prob_px(spark, d), GRID))), "dice", "boundary_f")
-    return sweepcounts.best_threshold(out.select("dataset", "threshold", "dice", "boundary_f"))
+        sweepcounts.accumulate(fixtures.prob_px(spark, d), GRID))), "dice", "outline_f")
+    return sweepcounts.best_threshold(out.select("dataset", "threshold", "dice", "outline_f"))
 
 
 @query("P18_threshold_grid", "scores", """

@@ -62,7 +62,7 @@ SELECT image_id, dataset, CAST(tile_y AS INTEGER) AS tile_y, CAST(unnest({pos_sq
 FROM (SELECT *, unnest({pos_sql("height", 14, 7)}) AS tile_y FROM (SELECT DISTINCT image_id, dataset, height, width FROM px))""",
      "px")
 view("mtiles", """
-SELECT m.image_id, m.dataset, m.tile_y, m.tile_x, round(count(t.y) / 196.0::DOUBLE, 6) AS boundary_fraction
+SELECT m.image_id, m.dataset, m.tile_y, m.tile_x, round(count(t.y) / 196.0::DOUBLE, 6) AS outline_fraction
 FROM mplan m LEFT JOIN truth t ON t.image_id = m.image_id AND t.y >= tile_y AND t.y < tile_y + 14
      AND t.x >= tile_x AND t.x < tile_x + 14 GROUP BY 1, 2, 3, 4""", "mplan truth")
 
@@ -73,12 +73,12 @@ def mosaic_images(spark, d):
 
 def mosaic_tiles(spark, d):
     plan = tiles.plan_tiles(mosaic_images(spark, d), 14, 7)
-    return tiles.boundary_fractions(fixtures.truth(spark, d), plan, 14, 7)
+    return tiles.outline_fractions(fixtures.truth(spark, d), plan, 14, 7)
 
 
-@query("A10_tile_boundary_fraction", "mtiles", "SELECT image_id, tile_y, tile_x, boundary_fraction FROM mtiles")
+@query("A10_tile_outline_fraction", "mtiles", "SELECT image_id, tile_y, tile_x, outline_fraction FROM mtiles")
 def tile_fraction(spark, d):
-    return mosaic_tiles(spark, d).select("image_id", "tile_y", "tile_x", "boundary_fraction")
+    return mosaic_tiles(spark, d).select("image_id", "tile_y", "tile_x", "outline_fraction")
 
 
 @query("J07_pixel_tile_coverage", "px mplan", """
@@ -90,8 +90,8 @@ def coverage(spark, d):
 
 
 @query("P05_min_content_filter", "mtiles", """
-SELECT image_id, count(*) AS planned, count(*) FILTER (boundary_fraction >= 0.3::DOUBLE) AS kept,
-       count(*) = 1 AND count(*) FILTER (boundary_fraction >= 0.3::DOUBLE) = 0 AS lost FROM mtiles GROUP BY 1""")
+SELECT image_id, count(*) AS planned, count(*) FILTER (outline_fraction >= 0.3::DOUBLE) AS kept,
+       count(*) = 1 AND count(*) FILTER (outline_fraction >= 0.3::DOUBLE) = 0 AS lost FROM mtiles GROUP BY 1""")
 def min_content(spark, d):
     flagged = tiles.keep_by_content(mosaic_tiles(spark, d), 0.3)
     lost = tiles.lost_images(flagged).withColumn("lost", F.lit(True))
@@ -163,11 +163,11 @@ def composition(spark, d):
 
 
 @query("A12_summary_stats", "tiles", """
-SELECT dataset, round(min(boundary_fraction), 6) AS min, round(avg(boundary_fraction), 6) AS mean,
-       round(median(boundary_fraction), 6) AS median, round(max(boundary_fraction), 6) AS max, count(*) AS n
+SELECT dataset, round(min(outline_fraction), 6) AS min, round(avg(outline_fraction), 6) AS mean,
+       round(median(outline_fraction), 6) AS median, round(max(outline_fraction), 6) AS max, count(*) AS n
 FROM tiles GROUP BY 1""")
 def summary_stats(spark, d):
-    return summaries.describe(fixtures.tiles(spark, d), F.col("boundary_fraction"), ["dataset"])
+    return summaries.describe(fixtures.tiles(spark, d), F.col("outline_fraction"), ["dataset"])
 
 
 @query("A03_minmedmax", "", """
@@ -241,15 +241,15 @@ def pooled(spark, d):
 
 
 @query("A13_pos_weight", "folds", """
-SELECT fold, round((1 - avg(boundary_fraction)) / avg(boundary_fraction), 6) AS pos_weight FROM folds WHERE split = 'train' GROUP BY 1""")
+SELECT fold, round((1 - avg(outline_fraction)) / avg(outline_fraction), 6) AS pos_weight FROM folds WHERE split = 'train' GROUP BY 1""")
 def pos_weight(spark, d):
     return (all_folds(spark, d).filter("split = 'train'").groupBy("fold")
-            .agg(F.round(folds.pos_weight(F.avg("boundary_fraction")), 6).alias("pos_weight")))
+            .agg(F.round(folds.pos_weight(F.avg("outline_fraction")), 6).alias("pos_weight")))
 
 
 @query("A14_pos_weight_drift", "folds", """
-SELECT fold, 20.0::DOUBLE AS recorded, round((1 - avg(boundary_fraction)) / avg(boundary_fraction), 6) AS implied,
-       round(20.0::DOUBLE / ((1 - avg(boundary_fraction)) / avg(boundary_fraction)), 6) AS ratio
+SELECT fold, 20.0::DOUBLE AS recorded, round((1 - avg(outline_fraction)) / avg(outline_fraction), 6) AS implied,
+       round(20.0::DOUBLE / ((1 - avg(outline_fraction)) / avg(outline_fraction)), 6) AS ratio
 FROM folds WHERE split = 'train' GROUP BY 1""")
 def drift(spark, d):
     f = all_folds(spark, d)
@@ -271,10 +271,10 @@ FROM (SELECT *, CAST({_target} AS DOUBLE) AS tgt, sum(c) OVER (PARTITION BY fold
 
 @query("A16_fold_statistics", "folds", """
 SELECT fold, split, count(*) AS n_tiles, count(DISTINCT dataset || '|' || parent_id) AS n_parents,
-       array_to_string(list_sort(list(DISTINCT dataset)), ',') AS datasets, round(min(boundary_fraction), 6) AS min,
-       round(avg(boundary_fraction), 6) AS mean, round(median(boundary_fraction), 6) AS median,
-       round(max(boundary_fraction), 6) AS max,
-       CASE WHEN split = 'train' THEN round((1 - avg(boundary_fraction)) / avg(boundary_fraction), 3) END AS pos_weight
+       array_to_string(list_sort(list(DISTINCT dataset)), ',') AS datasets, round(min(outline_fraction), 6) AS min,
+       round(avg(outline_fraction), 6) AS mean, round(median(outline_fraction), 6) AS median,
+       round(max(outline_fraction), 6) AS max,
+       CASE WHEN split = 'train' THEN round((1 - avg(outline_fraction)) / avg(outline_fraction), 3) END AS pos_weight
 FROM folds GROUP BY 1, 2""")
 def fold_statistics(spark, d):
     return folds.fold_statistics(all_folds(spark, d)).withColumn("datasets", F.array_join("datasets", ","))
@@ -351,12 +351,12 @@ def probe_sample(spark, d):
 
 
 @query("K04_densest_tile", "mtiles", """
-SELECT tile, boundary_fraction FROM (SELECT image_id || '/' || tile_y || '/' || tile_x AS tile, boundary_fraction FROM mtiles
-  ORDER BY boundary_fraction DESC, tile LIMIT 20) WHERE boundary_fraction * 196 > 80 ORDER BY boundary_fraction DESC, tile LIMIT 1""")
+SELECT tile, outline_fraction FROM (SELECT image_id || '/' || tile_y || '/' || tile_x AS tile, outline_fraction FROM mtiles
+  ORDER BY outline_fraction DESC, tile LIMIT 20) WHERE outline_fraction * 196 > 80 ORDER BY outline_fraction DESC, tile LIMIT 1""")
 def densest(spark, d):
     t = mosaic_tiles(spark, d).withColumns({
-        "tile_id": F.concat_ws("/", "image_id", "tile_y", "tile_x"), "boundary_px": F.col("boundary_fraction") * 196})
-    return sampling.densest_tile(t, 80).select(F.col("tile_id").alias("tile"), "boundary_fraction")
+        "tile_id": F.concat_ws("/", "image_id", "tile_y", "tile_x"), "outline_px": F.col("outline_fraction") * 196})
+    return sampling.densest_tile(t, 80).select(F.col("tile_id").alias("tile"), "outline_fraction")
 
 
 @query("K05_weighted_sample", "ktiles", """
@@ -391,10 +391,10 @@ def exclusions(spark, d):
 @query("P17_sanity_bands", "folds", """
 SELECT fold, width, pw, pw >= greatest(1.0, 10.0 / width) AND pw <= 400.0 / width AS pos_weight_ok,
        frac, frac >= 0.005 AND frac <= least(0.95, 0.25 * width / 2) AS fraction_ok, greatest(1, round(width, 0))::INTEGER AS tolerance_px
-FROM (SELECT fold, 2.0::DOUBLE AS width, round((1 - avg(boundary_fraction)) / avg(boundary_fraction), 6) AS pw,
-      round(avg(boundary_fraction), 6) AS frac FROM folds WHERE split = 'train' GROUP BY 1)""")
+FROM (SELECT fold, 2.0::DOUBLE AS width, round((1 - avg(outline_fraction)) / avg(outline_fraction), 6) AS pw,
+      round(avg(outline_fraction), 6) AS frac FROM folds WHERE split = 'train' GROUP BY 1)""")
 def sanity(spark, d):
-    f = all_folds(spark, d).filter("split = 'train'").groupBy("fold").agg(F.avg("boundary_fraction").alias("m"))
+    f = all_folds(spark, d).filter("split = 'train'").groupBy("fold").agg(F.avg("outline_fraction").alias("m"))
     t = f.select("fold", F.lit(2.0).alias("width"), F.round(folds.pos_weight(F.col("m")), 6).alias("pw"),
                  F.round("m", 6).alias("frac"))
     return checks.sanity_bands(t, F.col("width"), F.col("pw"), F.col("frac"))
@@ -407,7 +407,7 @@ SELECT fold, check_name, ok FROM (SELECT fold,
     count(DISTINCT tile_id) = count(*) AS tiles_unique,
     count(DISTINCT CASE WHEN split = 'train' THEN dataset || '|' || parent_id END) + count(DISTINCT CASE WHEN split = 'val' THEN dataset || '|' || parent_id END)
       = count(DISTINCT dataset || '|' || parent_id) AS parents_disjoint,
-    avg(boundary_fraction) FILTER (split = 'train') BETWEEN 1 / 201.0::DOUBLE AND 1 / 6.0::DOUBLE AS pos_weight_in_band
+    avg(outline_fraction) FILTER (split = 'train') BETWEEN 1 / 201.0::DOUBLE AND 1 / 6.0::DOUBLE AS pos_weight_in_band
   FROM folds GROUP BY 1) UNPIVOT (ok FOR check_name IN (non_empty, test_only_absent, tiles_unique, parents_disjoint, pos_weight_in_band))""")
 def integrity(spark, d):
     return checks.fold_integrity(all_folds(spark, d), TEST_ONLY, width=2.0).select("fold", "check_name", "ok")

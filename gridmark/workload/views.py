@@ -56,7 +56,7 @@ SELECT px.*, t.image_id IS NOT NULL AS "true" FROM px LEFT JOIN truth t USING (i
 
 view("tiles", """
 SELECT o_orderkey AS tile_id, o_orderpriority AS dataset, o_custkey % 97 AS parent_id,
-       CAST(o_orderkey % 1000 AS DOUBLE) / 10000 AS boundary_fraction FROM orders
+       CAST(o_orderkey % 1000 AS DOUBLE) / 10000 AS outline_fraction FROM orders
 """)
 
 view("files", """

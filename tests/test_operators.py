@@ -58,20 +58,20 @@ def test_line_grows_to_exact_width(mask, width):
     assert len({y for y, _ in grown}) == width
 
 
-def test_diagonal_boundary_does_not_leak(spark):
-    from gridmark.operators.regions import regions_from_boundary
+def test_diagonal_outline_does_not_leak(spark):
+    from gridmark.operators.regions import regions_from_outline
 
     px = spark.createDataFrame([(1, 10, 10, y, x, y == x) for y in range(10) for x in range(10)],
-                               "image_id long, height int, width int, y int, x int, boundary boolean")
-    assert regions_from_boundary(px).select("region").distinct().count() == 2
+                               "image_id long, height int, width int, y int, x int, outline boolean")
+    assert regions_from_outline(px).select("region").distinct().count() == 2
 
 
-def test_all_boundary_image_is_one_region(spark):
-    from gridmark.operators.regions import regions_from_boundary
+def test_all_outline_image_is_one_region(spark):
+    from gridmark.operators.regions import regions_from_outline
 
     px = spark.createDataFrame([(1, 4, 4, y, x, True) for y in range(4) for x in range(4)],
-                               "image_id long, height int, width int, y int, x int, boundary boolean")
-    out = regions_from_boundary(px)
+                               "image_id long, height int, width int, y int, x int, outline boolean")
+    out = regions_from_outline(px)
     assert out.count() == 16 and out.select("region").distinct().count() == 1
 
 
