@@ -45,51 +45,82 @@ def connectivity_difference(px: DataFrame, outline: str = "outline", keys: Seque
             .select(*k, F.col("t").alias("region"), "area_px", "old_region_area_px"))
 
 
-def merge_small_regions(labels: DataFrame, min_area: int, label: str = "label", keys: Sequence[str] = KEYS,
-                        max_rounds: int = 10) -> DataFrame:
-    """Small 8-connected components take the majority label of their 4-neighbour border.
-
-    In a round all small components read the same snapshot; rounds repeat until none changes.
-    Ties go to the lowest label; a component that fills its image stays.
+def small_region_moves(labels: DataFrame, min_area: int, label: str = "label", keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """``(components, pixels)``: every 8-connected component of one label with its area and, if it is
+    below ``min_area`` and has a border, the ``majority`` label it takes; the pixels of small components.
+
+    Components decide once, in ascending order of (label, first pixel), and see the labels that earlier
+    ones took.  A border pixel counts once per component; ties go to the lowest label; a component that
+    fills its image has no border and stays.  Touching components differ in label, so a round settles
+    all components whose earlier small neighbours are settled, and the rounds end after the longest
+    chain of touching small components of ascending labels.
     """
     k = list(keys)
+    state = labels.select(*frame(keys), F.col(label).alias("label"))
+    runs = cut(components.label_runs(state, 8, "label", keys))
+    sizes = cut(components.component_sizes(runs, "label", keys))
+    small = sizes.filter(F.col("area") < min_area)
+    pixels = cut(components.expand_runs(runs.join(small.select(*k, "component"), [*k, "component"], "left_semi"),
+                                        "label", "component", keys=keys))
+    marked = state.join(pixels.select(*k, "y", "x", "component"), [*k, "y", "x"], "left")
+    sides = (scatter(marked.filter("component is not null"), PLUS[1:], ["label", "component"], keys)
+             .select(*k, "y", "x", F.col("label").alias("own"), F.col("component").alias("c")).distinct()
+             .join(marked.select(*k, "y", "x", "label", F.col("component").alias("d")), [*k, "y", "x"])
+             .filter(~F.col("d").eqNullSafe(F.col("c"))))
+    # only a small neighbour of a lower label decides earlier; every other one shows its own label
+    earlier = F.when(F.col("label") < F.col("own"), F.col("d")).alias("waits_for")
+    edges = cut(sides.groupBy(*k, F.col("c").alias("component"), "label", earlier).agg(F.count("*").alias("n")))
+    moves = None
+    while True:
+        votes = edges.groupBy(*k, "component", "label").agg(F.sum("n").alias("n"), F.bool_or(F.col("waits_for").isNotNull()).alias("open"))
+        turn = cut(votes.groupBy(*k, "component").agg(F.bool_or("open").alias("open"),
+                                                      F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("majority")))
+        settled = turn.filter("not open").select(*k, "component", "majority")
+        moves = settled if moves is None else moves.unionByName(settled)
+        waiting = turn.filter("open").select(*k, "component")
+        if waiting.isEmpty():
+            break
+        shown = settled.select(*k, F.col("component").alias("waits_for"), "majority")
+        edges = cut(edges.join(waiting, [*k, "component"], "left_semi").join(shown, [*k, "waits_for"], "left")
+                    .select(*k, "component", F.coalesce("majority", "label").alias("label"),
+                            F.when(F.col("majority").isNull(), F.col("waits_for")).alias("waits_for"), "n"))
+    return sizes.join(moves, [*k, "component"], "left"), pixels
+
+
+def merge_small_regions(labels: DataFrame, min_area: int, label: str = "label", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Small components take the majority label of their border, as :func:`small_region_moves` decides; ``min_area <= 0`` is off."""
     if min_area <= 0:
         return labels
-    state = cut(labels.select(*frame(keys), F.col(label).alias("label")))
-    for _ in range(max_rounds):
-        runs = components.label_runs(state, 8, "label", keys)
-        small = components.component_sizes(runs, "label", keys).filter(F.col("area") < min_area)
-        inside = components.expand_runs(runs.join(small.select(*k, "label", "component"), [*k, "label", "component"], "left_semi"),
-                                        "component", keys=keys)
-        marked = cut(state.join(inside, [*k, "y", "x"], "left"))
-        ring = PLUS[1:]
-        # a border pixel is counted once per component however many sides touch it
-        sides = (scatter(marked.filter("component is not null"), ring, ["component"], keys)
-                 .select(*k, "y", "x", F.col("component").alias("c")).distinct()
-                 .join(marked.select(*k, "y", "x", "label", "component"), [*k, "y", "x"])
-                 .filter(~F.col("component").eqNullSafe(F.col("c"))))
-        tally = sides.groupBy(*k, "c", "label").agg(F.count("*").alias("n"))
-        winner = tally.groupBy(*k, F.col("c").alias("component")).agg(
-            F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("majority"))
-        moved = cut(marked.join(winner, [*k, "component"], "left").withColumn("new", F.coalesce("majority", "label")))
-        changed = not moved.filter(F.col("new") != F.col("label")).isEmpty()
-        state = moved.select(*frame(keys), F.col("new").alias("label"))
-        if not changed:
-            break
-    return state if label == "label" else state.withColumnRenamed("label", label)
+    return merge_with_statistics(labels, min_area, label, keys)[0]
 
 
-def merge_statistics(before: DataFrame, after: DataFrame, min_area: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Per image: components, those below the area, and pixels whose label changed."""
+def merge_with_statistics(labels: DataFrame, min_area: int, label: str = "label", keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """The merged label map, and per image the components, those merged, their pixels and the outline pixels before and after."""
     k = list(keys)
-    runs = components.label_runs(before, 8, "label", keys)
-    sizes = components.component_sizes(runs, "label", keys)
-    counts = sizes.groupBy(*k).agg(F.count("*").alias("n_components_total"),
-                                   F.sum((F.col("area") < min_area).cast("bigint")).alias("n_small"))
-    moved = (before.select(*k, "y", "x", F.col("label").alias("was")).join(after.select(*k, "y", "x", "label"), [*k, "y", "x"])
-             .groupBy(*k).agg(F.sum((F.col("was") != F.col("label")).cast("bigint")).alias("n_pixels_reassigned"),
-                              F.count("*").alias("px")))
-    return counts.join(moved, k).withColumn("removed_fraction", safe_div(F.col("n_pixels_reassigned"), F.col("px")))
+    judged, pixels = small_region_moves(labels, min_area, label, keys)
+    judged = cut(judged)
+    moved = (pixels.join(judged.filter("majority is not null").select(*k, "component", "majority"), [*k, "component"])
+             .select(*k, "y", "x", "majority"))
+    merged = cut(labels.select(*frame(keys), F.col(label).alias("was")).join(moved, [*k, "y", "x"], "left")
+                 .select(*frame(keys), F.coalesce("majority", "was").alias(label)))
+    taken = F.col("majority").isNotNull()
+    stats = judged.groupBy(*k).agg(F.count("*").alias("n_components_total"), F.count_if(taken).alias("n_components_merged"),
+                                   F.coalesce(F.sum(F.when(taken, F.col("area"))), F.lit(0)).alias("n_pixels_reassigned"))
+    for name, source in (("outline_px_before", labels), ("outline_px_after", merged)):
+        drawn = find_outlines(source, label, keys).groupBy(*k).agg(F.count("*").alias(name))
+        stats = stats.join(drawn, k, "left").na.fill(0, [name])
+    removed = F.col("outline_px_before") - F.col("outline_px_after")
+    return merged, stats.withColumn("removed_fraction", safe_div(removed, F.col("outline_px_before")))
+
+
+def merge_rollup(stats: DataFrame, group: str) -> DataFrame:
+    """Per ``group``: images, components, merged components, reassigned pixels and the spread of the removed outline share."""
+    from gridmark.operators.summaries import describe
+
+    totals = stats.groupBy(group).agg(F.count("*").alias("n_files"), *[F.sum(c).alias(c + "_sum") for c in (
+        "n_components_total", "n_components_merged", "n_pixels_reassigned")])
+    spread = describe(stats, F.col("removed_fraction"), [group]).select(group, *[F.col(c).alias("removed_" + c) for c in ("min", "median", "max")])
+    return totals.join(spread, group)
 
 
 def split_lines_and_blobs(labels: DataFrame, thickness: float, label: str = "label", keys: Sequence[str] = KEYS) -> DataFrame:

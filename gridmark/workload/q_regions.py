@@ -327,6 +327,43 @@ def size_profile(spark, d):
                               "below_25", "below_25_fraction"), "regions_mean", "regions_median", "below_25_fraction")
 
 
+# ---- absorbing small regions ----
+view("little", "SELECT image_id, lab, component, sum(x1 - x0 + 1)::BIGINT AS area FROM lab8 GROUP BY 1, 2, 3", "lab8")
+view("little_sides", """SELECT s.image_id, s.component AS c, s.lab AS own, o.component AS d, o.lab AS other, count(DISTINCT (o.y, o.x)) AS n FROM (
+  SELECT p.image_id, p.lab, p.component, p.y + dy AS y, p.x + dx AS x FROM lab8_px p JOIN little l USING (image_id, component), (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(dy, dx) WHERE l.area < 100) s
+  JOIN lab8_px o ON o.image_id = s.image_id AND o.y = s.y AND o.x = s.x WHERE o.component <> s.component GROUP BY 1, 2, 3, 4, 5""", "lab8_px little")
+view("absorbed", """(image_id, step, moved) AS (SELECT DISTINCT image_id, -1::BIGINT, MAP {-1::BIGINT: -1::BIGINT} FROM lab8
+  UNION ALL SELECT image_id, step + 1, map_concat(any_value(moved), map_from_entries(coalesce(list((c, lab)) FILTER (c IS NOT NULL), []))) FROM (
+    SELECT image_id, step, any_value(moved) AS moved, c, arg_min(lab, lab - 1000 * n) AS lab FROM (
+      SELECT a.image_id, a.step, any_value(a.moved) AS moved, s.c, coalesce(map_extract(a.moved, s.d)[1], s.other)::BIGINT AS lab, sum(s.n)::BIGINT AS n
+      FROM absorbed a LEFT JOIN little_sides s ON s.image_id = a.image_id AND s.own = a.step + 1 WHERE a.step < (SELECT max(lab) FROM lab8) GROUP BY 1, 2, 4, 5)
+    GROUP BY 1, 2, 4) GROUP BY 1, 2)""", "lab8 little_sides")
+view("taken", "SELECT image_id, unnest(map_keys(moved)) AS component, unnest(map_values(moved)) AS lab FROM absorbed WHERE step = (SELECT max(step) FROM absorbed)", "absorbed")
+view("merged100", "SELECT p.image_id, p.y, p.x, coalesce(t.lab, p.lab)::BIGINT AS label FROM lab8_px p LEFT JOIN taken t USING (image_id, component)", "lab8_px taken")
+
+
+@query("G09_merge_small_regions", "merged100", "SELECT image_id, y, x, label FROM merged100")
+def merge_small(spark, d):
+    return regions.merge_small_regions(fixtures.px(spark, d), 100).select("image_id", "y", "x", F.col("label").cast("bigint").alias("label"))
+
+
+def drawn(source: str) -> str:
+    return f"""(SELECT a.image_id, count(DISTINCT (a.y, a.x)) AS px FROM {source} a, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) v(dy, dx), {source} b
+      WHERE b.image_id = a.image_id AND b.y = a.y + dy AND b.x = a.x + dx AND b.label <> a.label GROUP BY 1)"""
+
+
+@query("A18_merge_rollup", "merged100 px little taken", f"""
+SELECT dataset, count(*) AS n_files, sum(total)::BIGINT AS n_components_total_sum, sum(merged)::BIGINT AS n_components_merged_sum, sum(reassigned)::BIGINT AS n_pixels_reassigned_sum,
+  round(min(f), 6) AS removed_min, round(median(f), 6) AS removed_median, round(max(f), 6) AS removed_max FROM (
+  SELECT 'd' || (image_id % 3) AS dataset, s.*, coalesce((coalesce(b.px, 0) - coalesce(a.px, 0)) / nullif(coalesce(b.px, 0), 0)::DOUBLE, 0) AS f FROM (
+    SELECT l.image_id, count(*) AS total, count(t.component) AS merged, coalesce(sum(l.area) FILTER (t.component IS NOT NULL), 0) AS reassigned
+    FROM little l LEFT JOIN taken t USING (image_id, component) GROUP BY 1) s
+  LEFT JOIN {drawn("px")} b USING (image_id) LEFT JOIN {drawn("merged100")} a USING (image_id)) GROUP BY 1""")
+def merge_roll(spark, d):
+    _, stats = regions.merge_with_statistics(fixtures.px(spark, d), 100)
+    return regions.merge_rollup(stats.withColumn("dataset", F.concat(F.lit("d"), (F.col("image_id") % 3).cast("string"))), "dataset")
+
+
 # ---- contingency scores on label blocks against probability bands ----
 view("pairpx", "SELECT image_id, dataset, y, x, label::BIGINT AS t, (p100 // 20)::BIGINT AS p FROM px", "px")
 view("cells", "SELECT image_id, dataset, t, p, count(*) AS n FROM pairpx GROUP BY ALL", "pairpx")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmark.functions import names, scalars
-from gridmark.operators import components, partition_scores, postprocess, raster, selection, sweepcounts, thinning, tiles
+from gridmark.operators import components, partition_scores, postprocess, raster, regions, selection, sweepcounts, thinning, tiles
 from gridmark.operators.checks import ValidationError
 from gridmark.operators.folds import check_fractions
 
@@ -138,3 +138,39 @@ def test_refusals(spark):
 
 def test_snapping_keeps_a_grid_that_would_collapse():
     assert scalars.snapped([0.5, 0.5 + 1e-12]) == [0.5, 0.5 + 1e-12]
+
+
+def absorbed(grid, min_area):
+    """Brute force: small 8-connected components in order of (label, first pixel) take the majority of their border."""
+    cells = {(y, x): v for y, row in enumerate(grid) for x, v in enumerate(row)}
+    parts = []
+    for value in sorted(set(cells.values())):
+        roots = flood({c for c, v in cells.items() if v == value}, raster.RING)
+        for root in sorted(set(roots.values())):
+            parts.append({c for c, r in roots.items() if r == root})
+    for part in parts:
+        ring = {(y + dy, x + dx) for y, x in part for dy, dx in raster.PLUS} - part
+        seen = [cells[c] for c in ring if c in cells]
+        if len(part) < min_area and seen:
+            best = min(set(seen), key=lambda v: (-seen.count(v), v))
+            cells |= dict.fromkeys(part, best)
+    return cells
+
+
+@pytest.mark.parametrize("seed,min_area", [(1, 4), (2, 9), (3, 1000), (4, 0)])
+def test_small_regions_match_one_ascending_pass(spark, seed, min_area):
+    rng = random.Random(seed)
+    grid = [[rng.randrange(4) for _ in range(17)] for _ in range(13)]
+    px = spark.createDataFrame([(1, 13, 17, y, x, v) for y, r in enumerate(grid) for x, v in enumerate(r)],
+                               "image_id long, height int, width int, y int, x int, label int")
+    got = {(r.y, r.x): r.label for r in regions.merge_small_regions(px, min_area).collect()}
+    assert got == absorbed(grid, min_area)
+
+
+def test_two_halves_below_the_area_become_one(spark):
+    px = spark.createDataFrame([(1, 4, 8, y, x, 1 if x < 4 else 2) for y in range(4) for x in range(8)],
+                               "image_id long, height int, width int, y int, x int, label int")
+    merged, stats = regions.merge_with_statistics(px, 100)
+    assert {r.label for r in merged.collect()} == {2}
+    row = stats.first()
+    assert (row.n_components_total, row.n_components_merged, row.n_pixels_reassigned, row.outline_px_after) == (2, 2, 32, 0)
