@@ -27,6 +27,14 @@ def missing_names(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return need.exceptAll(have)
 
 
+def rows_without(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """``(missing, n_rows)``: required columns that some rows have no value in; all rows where the column is absent."""
+    present = [c for c in required if c in df.columns]
+    counts = df.agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in present])
+    lacking = [F.struct(F.lit(c).alias("missing"), (F.col("rows") - (F.col(c) if c in present else 0)).alias("n_rows")) for c in required]
+    return counts.select(F.inline(F.array(*lacking))).filter("n_rows > 0")
+
+
 def outside_domain(df: DataFrame, value: str, allowed: Sequence) -> DataFrame:
     """Offending values with their counts."""
     return (df.filter(F.col(value).isNull() | ~F.col(value).isin(*allowed))

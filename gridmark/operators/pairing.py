@@ -176,6 +176,7 @@ def crop_disagreement(tiles: DataFrame, crops: DataFrame) -> DataFrame:
 
 def lookup_weight(tiles: DataFrame, weights: DataFrame, column: str = "weight") -> DataFrame:
     """Tile weight by (fold, dataset); a missing or non-positive weight is kept as a problem text."""
-    j = tiles.join(weights.select("fold", "dataset", column), ["fold", "dataset"], "left")
+    # written first: the few (fold, dataset) keys are hot, and a measured small side is broadcast
+    j = tiles.join(cut(weights.select("fold", "dataset", column)), ["fold", "dataset"], "left")
     return j.withColumn("problem", F.when(F.col(column).isNull(), "missing").when(F.col(column) <= 0, "not positive"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridmark.functions import colour
 from gridmark.operators.raster import KEYS
 from gridmark.operators.sampling import first_per_group
+from gridmark.session import cut
 
 # ---- fixed values of the audit ----
 TOP_COLOURS = 20
@@ -104,10 +105,11 @@ def nearest_colours(colours: DataFrame, arrays: DataFrame, group: Sequence[str]
 def snap_to_palette(px: DataFrame, palette: DataFrame, group: Sequence[str] = ("dataset",)) -> DataFrame:
     """Pixels with the index of the nearest palette colour.
 
-    The distance search runs once per distinct colour, not per pixel; the colour map joins back by
-    equality (adaptive execution broadcasts it when it is small and splits a dominant colour).
+    The distance search runs once per distinct colour, not per pixel; the colour map is written and
+    joins back by equality, so its measured size decides between broadcast and a shuffle, in which
+    adaptive execution splits a dominant colour.
     """
-    mapped = nearest_colours(px, palette_arrays(palette, group), group)
+    mapped = cut(nearest_colours(px, palette_arrays(palette, group), group))
     return px.join(mapped, [*group, "rgb"])
 
 
@@ -135,7 +137,7 @@ def label_map(px: DataFrame, keys: Sequence[str] = KEYS, max_labels: int = MAX_L
     counts = colour_counts(px, keys)
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("n").desc(), "rgb")) - 1
     top = top_colours(counts, max_labels, keys).withColumn("idx", rank)
-    return px.join(nearest_colours(counts, palette_arrays(top, keys), keys), [*keys, "rgb"])
+    return px.join(cut(nearest_colours(counts, palette_arrays(top, keys), keys)), [*keys, "rgb"])
 
 
 def test_order(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -236,5 +238,5 @@ def fold_colours(px: DataFrame, palette: DataFrame, watched: DataFrame, enabled:
         return px
     fold = (palette.join(watched.select(*group, "rgb").distinct(), [*group, "rgb"]).filter("idx <> 0")
             .select(*group, F.col("idx").alias("label"), F.lit(True).alias("fold")))
-    return px.join(fold, [*group, "label"], "left").withColumn(
+    return px.join(cut(fold), [*group, "label"], "left").withColumn(
         "label", F.when(F.col("fold"), 0).otherwise(F.col("label"))).drop("fold")

@@ -25,9 +25,9 @@ def colour_tests(mask_px: DataFrame) -> DataFrame:
     return palette.line_tests(profiles.colour_geometry(held, "rgb", KEYS))
 
 
-def audit(mask_px: DataFrame, size: int = 24, seed: int = 0) -> DataFrame:
-    """Mode verdict, palette votes and size of the sample per dataset."""
-    chosen = cut(sample_images(mask_px, size, seed))
+def audit(mask_px: DataFrame, size: int | None = 24, seed: int = 0) -> DataFrame:
+    """Mode verdict, palette votes and number of audited images per dataset; ``size`` None audits every image."""
+    chosen = cut(mask_px.filter("y = 0 and x = 0").select(*KEYS) if size is None else sample_images(mask_px, size, seed))
     px = cut(mask_px.join(chosen, list(KEYS), "left_semi"))
     tests = cut(colour_tests(px))
     files = chosen.groupBy("dataset").agg(F.count("*").alias("n_files"))

@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridmark.operators import sweepcounts
+from gridmark.operators.checks import require_none
+
+IMAGE = ("image_id", "dataset")
 
 
 def accumulate_stream(stream: DataFrame, folder: str, thresholds: Sequence[float], tolerance: int = 2,
                       prepare: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
     """Write each micro-batch's bucket counters to ``folder/batch=<id>``.
 
-    A batch holds whole tiles.  Its counters are a few rows per dataset and overwrite the batch's
+    A batch holds whole tiles, which is checked, as a part of a tile would get wrong edges.  Its counters are a few rows per dataset and overwrite the batch's
     own folder, so a replayed batch counts once.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         px = prepare(batch) if prepare else batch
-        near = sweepcounts.outline_neighbourhood(px, tolerance, ("image_id", "dataset"))
+        sizes = px.groupBy(*IMAGE, "height", "width").agg(F.count("*").alias("n"))
+        require_none(sizes.filter("n <> height * width"), "a batch holds part of a tile")
+        near = sweepcounts.outline_neighbourhood(px, tolerance, IMAGE)
         sweepcounts.sweep_buckets(near, thresholds).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")

@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridmark.operators.pairing import describe_files
 
 
 def record_arrivals(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Append image files of a ``(dataset, path)`` stream to ``folder/files``, each path once.
+    """Record image files of a ``(dataset, path)`` stream under ``folder/files``, each path once.
 
-    The path is the deduplication state; the checkpoint makes a rerun start after what is known.
+    What is recorded is the only memory: a batch leaves out paths that other batches recorded, so the
+    stream holds no growing state, and a replayed batch replaces its own rows.
     """
-    once = describe_files(stream).dropDuplicates(["path"])
-    return (once.writeStream.format("parquet").option("path", f"{folder}/files").option("checkpointLocation", f"{folder}/checkpoint")
-            .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
+    files = f"{folder}/files"
+    first = describe_files(stream.sparkSession.createDataFrame([], stream.schema))
+    first.write.mode("ignore").parquet(f"{files}/batch=-1")  # the table exists before the first batch asks
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        known = batch.sparkSession.read.schema(first.schema.add("batch", "long")).parquet(files).filter(F.col("batch") != batch_id)
+        new = describe_files(batch).dropDuplicates(["path"]).join(known.select("path"), "path", "left_anti").select(first.columns)
+        new.write.mode("overwrite").parquet(f"{files}/batch={batch_id}")
+
+    return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True})).start())

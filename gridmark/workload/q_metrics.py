@@ -282,7 +282,7 @@ FROM (SELECT dataset, count(DISTINCT image_id) AS n_files FROM px GROUP BY 1) n
 JOIN (SELECT dataset, rgb, files_qualifying AS q FROM votes QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY files_qualifying DESC, coalesce(thick, 1e9), rgb) = 1) v USING (dataset)
 JOIN (SELECT dataset, count(*) FILTER (k <= 32) AS n, min(k) AS lo, max(k) AS hi FROM (SELECT dataset, image_id, count(*) AS k FROM cc GROUP BY 1, 2) GROUP BY 1) u USING (dataset)""")
 def run_audit(spark, d):
-    return audit.audit(fixtures.mask_px(spark, d))
+    return audit.audit(fixtures.mask_px(spark, d), None)
 
 
 # ---- label maps to outlines ----

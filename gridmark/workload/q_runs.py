@@ -152,9 +152,10 @@ def tile_index(spark, d):
 
 @query("T01_streaming_sweep", "metrics", "SELECT * FROM metrics")
 def streaming_sweep(spark, d):
-    schema = fixtures.table(spark, d, "embeddings").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").load(d)
-    folder = shared_folder(spark, "sweep")
+    vectors, folder = fixtures.table(spark, d, "embeddings"), shared_folder(spark, "sweep")
+    # every file holds whole images and arrives as its own micro-batch
+    vectors.repartition(4, F.expr("vec_id div 16")).write.parquet(f"{folder}/arriving")
+    stream = spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
     q = accumulate.accumulate_stream(stream, folder, GRID, prepare=fixtures.prob_px_of)
     q.awaitTermination()
     out = accumulate.result(spark, folder, GRID)

@@ -207,28 +207,33 @@ def dev_alias(spark, d):
     return folds.with_dev_alias(all_folds(spark, d)).filter("fold = 'dev'").select("fold", "tile_id", "split")
 
 
-view("pcounts", """SELECT dataset, parent_id, count(*) AS n, md5('11|' || dataset || '|' || parent_id) AS h
-FROM ktiles WHERE dataset IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2""", "ktiles")
-view("pranked", "SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY h, parent_id) AS k FROM pcounts", "pcounts")
-view("prest", "SELECT *, row_number() OVER (ORDER BY h, dataset, parent_id) AS i FROM pranked WHERE k > 3", "pranked")
-view("greedy", """(i, dataset, parent_id, split, t0, t1, t2) AS (
+def alloc_views(t: str, where: str) -> None:
+    """Allocation of parents to splits, greedy in seeded order, over the pool that ``where`` names."""
+    view(f"pcounts{t}", f"""SELECT dataset, parent_id, count(*) AS n, md5('11|' || dataset || '|' || parent_id) AS h
+FROM ktiles {where}GROUP BY 1, 2""", f"ktiles")
+    view(f"pranked{t}", f"SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY h, parent_id) AS k FROM pcounts{t}", f"pcounts{t}")
+    view(f"prest{t}", f"SELECT *, row_number() OVER (ORDER BY h, dataset, parent_id) AS i FROM pranked{t} WHERE k > 3", f"pranked{t}")
+    view(f"greedy{t}", f"""(i, dataset, parent_id, split, t0, t1, t2) AS (
   SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, sum(n) FILTER (k = 1)::BIGINT, sum(n) FILTER (k = 2)::BIGINT,
-         sum(n) FILTER (k = 3)::BIGINT FROM pranked WHERE k <= 3
+         sum(n) FILTER (k = 3)::BIGINT FROM pranked{t} WHERE k <= 3
   UNION ALL
   SELECT i, dataset, parent_id, s, t0 + CASE WHEN s = 'train' THEN n ELSE 0 END, t1 + CASE WHEN s = 'val' THEN n ELSE 0 END,
          t2 + CASE WHEN s = 'test' THEN n ELSE 0 END
   FROM (SELECT p.*, g.t0, g.t1, g.t2, CASE WHEN 0.7::DOUBLE * a - t0 >= 0.15::DOUBLE * a - t1 AND 0.7::DOUBLE * a - t0 >= 0.15::DOUBLE * a - t2 THEN 'train'
           WHEN 0.15::DOUBLE * a - t1 >= 0.15::DOUBLE * a - t2 THEN 'val' ELSE 'test' END AS s
-        FROM greedy g JOIN prest p ON p.i = g.i + 1, (SELECT sum(n)::DOUBLE AS a FROM pcounts)))""", "prest")
-view("alloc", """
-SELECT dataset, parent_id, CASE k WHEN 1 THEN 'train' WHEN 2 THEN 'val' ELSE 'test' END AS split FROM pranked WHERE k <= 3
-UNION ALL SELECT dataset, parent_id, split FROM greedy WHERE i > 0""", "greedy")
+        FROM greedy{t} g JOIN prest{t} p ON p.i = g.i + 1, (SELECT sum(n)::DOUBLE AS a FROM pcounts{t})))""", f"prest{t}")
+    view(f"alloc{t}", f"""
+SELECT dataset, parent_id, CASE k WHEN 1 THEN 'train' WHEN 2 THEN 'val' ELSE 'test' END AS split FROM pranked{t} WHERE k <= 3
+UNION ALL SELECT dataset, parent_id, split FROM greedy{t} WHERE i > 0""", f"greedy{t}")
 
 
-@query("F03_allocate_by_tile_ratio", "alloc", "SELECT * FROM alloc")
+alloc_views("", "WHERE dataset IN ('1-URGENT', '2-HIGH') ")
+alloc_views("_all", "")
+
+
+@query("F03_allocate_by_tile_ratio", "alloc_all", "SELECT * FROM alloc_all")
 def allocate(spark, d):
-    pool = kept_tiles(spark, d).filter(F.col("dataset").isin("1-URGENT", "2-HIGH"))
-    return folds.allocate_by_tile_ratio(pool, FRACTIONS, 11)
+    return folds.allocate_by_tile_ratio(kept_tiles(spark, d), FRACTIONS, 11)
 
 
 @query("F04_pooled_fold", "alloc", """
@@ -294,6 +299,17 @@ def leaking(spark, d):
     return folds.leaking_parents(all_folds(spark, d))
 
 
+LEAK = "split = 'val' AND parent_id % 5 = 0"
+
+
+@query("U02_leaking_parents_found", "folds", f"""
+SELECT DISTINCT fold, dataset, parent_id FROM folds WHERE {LEAK}""")
+def leaking_found(spark, d):
+    """Every fifth validation parent also trains."""
+    f = all_folds(spark, d)
+    return folds.leaking_parents(f.unionByName(f.filter(LEAK).withColumn("split", F.lit("train"))))
+
+
 @query("U02_image_straddle", "ktiles valparents", """
 SELECT DISTINCT t.source_image FROM ktiles t JOIN valparents v USING (dataset, parent_id)
 INTERSECT SELECT DISTINCT t.source_image FROM ktiles t ANTI JOIN valparents v USING (dataset, parent_id)
@@ -324,12 +340,12 @@ def membership(spark, d):
     return folds.membership_diff(*sides)
 
 
-@query("U05_missing_columns", "", """
-SELECT r.name AS missing FROM (VALUES ('tile_id'), ('dataset'), ('parent_id'), ('patch'), ('gt_path')) r(name)
-WHERE r.name NOT IN (SELECT replace(replace(column_name, 'o_orderkey', 'tile_id'), 'o_custkey', 'parent_id')
-  FROM (DESCRIBE SELECT o_orderkey, o_custkey, o_orderpriority AS dataset FROM orders))""")
+@query("U05_missing_columns", "tiles", """
+SELECT missing, n AS n_rows FROM (SELECT unnest(['tile_id', 'dataset', 'parent_id', 'patch', 'gt_path']) AS missing,
+  unnest([count(*) - count(tile_id), count(*) - count(dataset), count(*) - count(nullif(parent_id, 0)), count(*), count(*)]) AS n FROM tiles) WHERE n > 0""")
 def missing_columns(spark, d):
-    return checks.missing_names(fixtures.tiles(spark, d), ("tile_id", "dataset", "parent_id", "patch", "gt_path"))
+    t = fixtures.tiles(spark, d).withColumn("parent_id", F.nullif("parent_id", F.lit(0)))
+    return checks.rows_without(t, ("tile_id", "dataset", "parent_id", "patch", "gt_path"))
 
 
 @query("U05_missing_thresholds", "tiles", """
