@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gridmark.operators.pairing import describe_files
@@ -17,10 +18,11 @@ def record_arrivals(stream: DataFrame, folder: str, **trigger) -> StreamingQuery
     """
     files = f"{folder}/files"
     first = describe_files(stream.sparkSession.createDataFrame([], stream.schema))
+    recorded = T.StructType([*first.schema.fields, T.StructField("batch", T.LongType())])
     first.write.mode("ignore").parquet(f"{files}/batch=-1")  # the table exists before the first batch asks
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        known = batch.sparkSession.read.schema(first.schema.add("batch", "long")).parquet(files).filter(F.col("batch") != batch_id)
+        known = batch.sparkSession.read.schema(recorded).parquet(files).filter(F.col("batch") != batch_id)
         new = describe_files(batch).dropDuplicates(["path"]).join(known.select("path"), "path", "left_anti").select(first.columns)
         new.write.mode("overwrite").parquet(f"{files}/batch={batch_id}")
 
