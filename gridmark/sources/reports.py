@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_report(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Multi-line JSON reports with their file name; a report without datasets is an error."""
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+def read_report(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """JSON reports with their file name; a report without datasets is an error.
+
+    A file is one report, or, with ``lines``, a report per line as :func:`write_report` writes them.
+    """
+    reader = spark.read.option("multiLine", not lines).option("mode", "FAILFAST")
     df = (reader.schema(schema) if schema else reader).json(path).withColumn("file", F.input_file_name())
     if "datasets" not in df.columns:
         raise ValueError(f"{path}: report has no datasets")
@@ -30,14 +33,36 @@ def report_datasets(report: DataFrame) -> DataFrame:
     if isinstance(kind, T.ArrayType):
         return report.select("file", F.explode("datasets").alias("body")).select("file", "body.dataset", "body")
     cells = [F.struct(F.lit(f.name).alias("dataset"), F.to_json(F.col(f"datasets.`{f.name}`")).alias("body")) for f in kind.fields]
-    return report.select("file", F.inline(F.array(*cells)))
+    return report.select("file", F.inline(F.array(*cells))).filter("body is not null")  # files of one read share their fields
 
 
-def dataset_modes(spark: SparkSession, path: str) -> DataFrame:
-    """Inferred mode of every dataset in an audit report: ``(dataset, mode)``."""
+def dataset_modes(spark: SparkSession, path: str, overrides: Mapping[str, str] | None = None) -> DataFrame:
+    """Mode of every dataset in an audit report, ``(dataset, mode)``: the override where there is one, else the inferred mode."""
     rows = report_datasets(read_report(spark, path))
     body = F.col("body") if isinstance(rows.schema["body"].dataType, T.StringType) else F.to_json("body")
-    return rows.select("dataset", F.get_json_object(body, "$.mode.inferred").alias("mode"))
+    given = F.create_map(*[F.lit(x) for pair in (overrides or {}).items() for x in pair]) if overrides else F.lit(None).cast("map<string,string>")
+    return rows.select("dataset", get_or(given, F.col("dataset"), F.get_json_object(body, "$.mode.inferred")).alias("mode"))
+
+
+def overlay(base: Column, over: Column) -> Column:
+    """The keys of both maps; where both have a key, the value of ``over``.  A null map has no keys."""
+    return F.when(base.isNull(), over).when(over.isNull(), base).otherwise(
+        F.map_zip_with(base, over, lambda k, a, b: F.when(F.map_contains_key(over, k), b).otherwise(a)))
+
+
+def without_blank(cells: Column) -> Column:
+    """The map without the keys whose value is null."""
+    return F.map_filter(cells, lambda _, v: v.isNotNull())
+
+
+def get_or(cells: Column, key: Column, default: Column) -> Column:
+    """The value of ``key``, or ``default`` where the map, the key or the value is missing."""
+    return F.coalesce(F.try_element_at(cells, key), default)
+
+
+def explode_rows(report: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` beside the fields of every struct in the array ``column``; an empty array has no rows."""
+    return report.select(*keep, F.inline(column))
 
 
 def run_of_file(file: str = "file", pattern: str = r"([^/]+)_([^_/]+)\.json$") -> tuple:
@@ -53,8 +78,7 @@ def runs_of_fold(runs: DataFrame, fold: str) -> DataFrame:
 
 def crop_lookup(report: DataFrame) -> DataFrame:
     """``(dataset, image, left, top, width, height)`` from nested reconciled lists."""
-    return (report.select("dataset", F.explode("reconciled").alias("r"))
-            .select("dataset", "r.image", "r.image_crop.left", "r.image_crop.top", "r.image_crop.width", "r.image_crop.height"))
+    return explode_rows(report, "reconciled", ["dataset"]).select("dataset", "image", "image_crop.left", "image_crop.top", "image_crop.width", "image_crop.height")
 
 
 def settings_drift(old: DataFrame, new: DataFrame) -> DataFrame:
