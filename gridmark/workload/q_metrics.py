@@ -202,7 +202,25 @@ def geometric(spark, d):
     return augment.geometric(fixtures.px(spark, d), 5).select("image_id", "y", "x", "height", "p100")
 
 
-@query("P21_photometric_augmentation")
+def _drawn(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', 5, {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+def _coin(operation: str) -> str:
+    return f"{_drawn('image_id', repr(operation))} < 2147483648"
+
+
+def _amount(operation: str, span: str, *place: str) -> str:
+    tile = "concat_ws('/', " + ", ".join(("image_id", *place)) + ")" if place else "image_id"
+    return f"(-{span}::DOUBLE + (2 * {span}::DOUBLE) * {_drawn(tile, repr(operation))} / 4294967296.0::DOUBLE)"
+
+
+@query("P21_photometric_augmentation", "px", f"""
+SELECT * FROM (WITH c AS (SELECT *, CASE WHEN {_coin("contrast")} THEN (p100 - 127.5::DOUBLE) * (1 + {_amount("c", "0.2")}) + 127.5::DOUBLE ELSE p100::DOUBLE END AS v FROM px),
+b AS (SELECT * REPLACE (least(greatest(CASE WHEN {_coin("brightness")} THEN v + 255 * {_amount("b", "0.2")} ELSE v END, 0), 255) AS v) FROM c),
+g AS (SELECT * REPLACE (CASE WHEN {_coin("gamma")} THEN 255 * pow(v / 255, 1 + {_amount("g", "0.2")}) ELSE v END AS v) FROM b),
+n AS (SELECT * REPLACE (CASE WHEN {_coin("noise")} THEN v + {_amount("n", "4.0", "y", "x")} ELSE v END AS v) FROM g)
+SELECT image_id, y, x, CAST(least(greatest(round(v), 0), 255) AS INTEGER) AS p100 FROM n)""")
 def photometric(spark, d):
     return augment.photometric(fixtures.px(spark, d), "p100", 5).select("image_id", "y", "x", "p100")
 
@@ -318,27 +336,53 @@ def line_index(spark, d):
 
 
 # cleaning: despeckle 3 -> close -> thin -> width 2 on the prediction at 0.70
-view("c_open", "SELECT image_id, y, x FROM m8_px JOIN (SELECT image_id, component FROM m8 GROUP BY 1, 2 HAVING sum(x1 - x0 + 1) >= 9) USING (image_id, component)", "m8 m8_px")
-view("c_dil", """SELECT DISTINCT p.image_id, p.y, p.x FROM c_open s, (SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b, px p
-WHERE p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""", "c_open px")
-view("c_close", """SELECT p.image_id, p.y, p.x FROM px p, (SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b LEFT JOIN c_dil c ON c.image_id = p.image_id AND c.y = p.y + dy AND c.x = p.x + dx
-WHERE p.y + dy BETWEEN 0 AND p.height - 1 AND p.x + dx BETWEEN 0 AND p.width - 1 GROUP BY 1, 2, 3 HAVING count(*) = count(c.y)""".replace("FROM px p, (SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b LEFT JOIN",
-     "FROM px p CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) b LEFT JOIN"), "px c_dil")
-skeleton_view("c_skel", "c_close", "c_close")
-view("c_out", """SELECT DISTINCT p.image_id, p.y, p.x FROM c_skel s CROSS JOIN (SELECT unnest([0, 1]) AS dy) a CROSS JOIN (SELECT unnest([0, 1]) AS dx) b JOIN px p
-ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""", "c_skel px")
-
-
-@query("G17_clean_outline_stages", "pred70 c_open c_close c_skel c_out px", """
-SELECT i.image_id, """ + ", ".join(f"round((SELECT count(*) FROM {v} s WHERE s.image_id = i.image_id) / (i.height * i.width)::DOUBLE, 6) AS {n}" for n, v in (
-    ("raw", "pred70"), ("open", "c_open"), ("close", "c_close"), ("skeleton", "c_skel"), ("outline", "c_out"))) + " FROM (SELECT DISTINCT image_id, height, width FROM px) i")
+def clean_views(tag: str, parts: str) -> None:
+    """Views ``{tag}_open``, ``_close``, ``_skel`` and ``_out`` from the components view ``parts`` of the raw mask."""
+    near = "CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) b"
+    view(f"{tag}_open", f"SELECT image_id, y, x FROM {parts}_px JOIN (SELECT image_id, component FROM {parts} GROUP BY 1, 2 HAVING sum(x1 - x0 + 1) >= 9) USING (image_id, component)",
+         f"{parts} {parts}_px")
+    view(f"{tag}_dil", f"""SELECT DISTINCT p.image_id, p.y, p.x FROM {tag}_open s {near} JOIN px p ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""", f"{tag}_open px")
+    view(f"{tag}_close", f"""SELECT p.image_id, p.y, p.x FROM px p {near} LEFT JOIN {tag}_dil c ON c.image_id = p.image_id AND c.y = p.y + dy AND c.x = p.x + dx
+WHERE p.y + dy BETWEEN 0 AND p.height - 1 AND p.x + dx BETWEEN 0 AND p.width - 1 GROUP BY 1, 2, 3 HAVING count(*) = count(c.y)""", f"px {tag}_dil")
+    skeleton_view(f"{tag}_skel", f"{tag}_close", f"{tag}_close")
+    view(f"{tag}_out", f"""SELECT DISTINCT p.image_id, p.y, p.x FROM {tag}_skel s CROSS JOIN (SELECT unnest([0, 1]) AS dy) a CROSS JOIN (SELECT unnest([0, 1]) AS dx) b JOIN px p
+ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""", f"{tag}_skel px")
+
+
+def stage_shares(tag: str, raw: str) -> str:
+    return ", ".join(f"round((SELECT count(*) FROM {v} s WHERE s.image_id = i.image_id) / (i.height * i.width)::DOUBLE, 6) AS {n}" for n, v in (
+        ("raw", raw), ("open", f"{tag}_open"), ("close", f"{tag}_close"), ("skeleton", f"{tag}_skel"), ("outline", f"{tag}_out")))
+
+
+clean_views("c", "m8")
+
+
+@query("G17_clean_outline_stages", "pred70 c_open c_close c_skel c_out px", f"""
+SELECT i.image_id, {stage_shares("c", "pred70")} FROM (SELECT DISTINCT image_id, height, width FROM px) i""")
 def clean(spark, d):
     stages = extract.clean_outline(mask(spark, d, 70), 2)
     images = fixtures.px(spark, d).filter("y = 0 and x = 0").select("image_id", "height", "width")
     return rounded(extract.stage_fractions(stages, images), *stages)
 
 
-@query("G18_extract_status")
+# extraction: images judged on their snapped colours, the outline of the accepted ones cleaned
+view("judged", """SELECT image_id, any_value(unsnapped) AS unsnapped, CASE WHEN any_value(unsnapped) > 0.02 THEN 'unsnapped pixels' WHEN min(label2) = max(label2) THEN 'single label' END AS reason
+FROM snapped JOIN (SELECT image_id, count(*) FILTER (d2 * 4 > gap) / count(*)::DOUBLE AS unsnapped FROM snapped LEFT JOIN (
+  SELECT p.dataset, min(power((p.rgb >> 16) - (m.rgb >> 16), 2) + power(((p.rgb >> 8) & 255) - ((m.rgb >> 8) & 255), 2) + power((p.rgb & 255) - (m.rgb & 255), 2)) AS gap
+  FROM palette p JOIN palette m ON m.dataset = p.dataset AND m.idx <> p.idx GROUP BY 1) USING (dataset) GROUP BY 1) USING (image_id) GROUP BY 1""", "snapped palette")
+view("e_raw", """SELECT image_id, height, width, y, x FROM (
+  SELECT *, lag(label2) OVER h AS l, lead(label2) OVER h AS r, lag(label2) OVER v AS u, lead(label2) OVER v AS d
+  FROM snapped WHERE image_id IN (SELECT image_id FROM judged WHERE reason IS NULL)
+  WINDOW h AS (PARTITION BY image_id, y ORDER BY x), v AS (PARTITION BY image_id, x ORDER BY y))
+WHERE l <> label2 OR r <> label2 OR u <> label2 OR d <> label2""", "snapped judged")
+components_view("e8", "e_raw", 8, "e_raw")
+clean_views("e", "e8")
+
+
+@query("G18_extract_status", "judged e_raw e_open e_close e_skel e_out px", f"""
+SELECT image_id, round(unsnapped, 6) AS unsnapped, coalesce(reason, CASE WHEN outline = 0 THEN 'cleaned outline is empty' END) AS reason, raw, open, close, skeleton, outline,
+  CASE WHEN reason IS NULL AND outline <> 0 THEN 'ok' ELSE 'rejected' END AS status
+FROM judged JOIN (SELECT i.image_id, {stage_shares("e", "e_raw")} FROM (SELECT DISTINCT image_id, height, width FROM px) i) USING (image_id)""")
 def extract_status(spark, d):
     status, _ = extract.extract(fixtures.mask_px(spark, d), 2)
     return rounded(status.drop("dataset"), "unsnapped", "raw", "open", "close", "skeleton", "outline")
@@ -383,12 +427,27 @@ def endpoint_pairs(spark, d):
     return postprocess.endpoint_pairs(thin80(spark, d), 5.0).select("image_id", "py", "px", "qy", "qx", "d2")
 
 
-@query("G13_bridges")
+# a pair is a bridge if no chain of pairs before it in the order connects its two fragments
+view("loose", """SELECT p.image_id, p.y AS py, p.x AS px, q.y AS qy, q.x AS qx, p.f AS pf, q.f AS qf,
+ row_number() OVER (PARTITION BY p.image_id ORDER BY (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x), p.y, p.x, q.y, q.x) AS r
+FROM f8ends p JOIN f8ends q ON q.image_id = p.image_id AND q.f <> p.f AND (p.y < q.y OR (p.y = q.y AND p.x < q.x)) WHERE (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x) <= 25""", "f8ends")
+view("joined", """(image_id, r, f) AS (SELECT image_id, r, pf FROM loose
+ UNION SELECT t.image_id, t.r, CASE WHEN e.pf = t.f THEN e.qf ELSE e.pf END FROM joined t JOIN loose e ON e.image_id = t.image_id AND e.r < t.r AND (e.pf = t.f OR e.qf = t.f))""", "loose")
+view("bridges", "SELECT * FROM loose b WHERE NOT EXISTS (SELECT 1 FROM joined t WHERE t.image_id = b.image_id AND t.r = b.r AND t.f = b.qf)", "loose joined")
+
+
+@query("G13_bridges", "bridges", "SELECT image_id, py, px, qy, qx FROM bridges")
 def bridges(spark, d):
     return postprocess.spanning_bridges(postprocess.endpoint_pairs(thin80(spark, d), 5.0))
 
 
-@query("G14_skeleton_bridge")
+view("bridged", """SELECT image_id, y, x FROM p80skel UNION SELECT image_id, py + sign(qy - py)::INTEGER * CAST(floor((abs(qy - py) * i * 2 + n) / (n * 2)::DOUBLE) AS INTEGER),
+ px + sign(qx - px)::INTEGER * CAST(floor((abs(qx - px) * i * 2 + n) / (n * 2)::DOUBLE) AS INTEGER)
+FROM (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, greatest(abs(qy - py), abs(qx - px)) AS n FROM bridges))""", "p80skel bridges")
+
+
+@query("G14_skeleton_bridge", "bridged px", """SELECT DISTINCT p.image_id, p.y, p.x FROM bridged s CROSS JOIN (SELECT unnest([0, 1]) AS dy) a CROSS JOIN (SELECT unnest([0, 1]) AS dx) b JOIN px p
+ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""")
 def skeleton_bridge(spark, d):
     return postprocess.postprocess(mask(spark, d, 80), "skeleton_bridge", 2, bridge_px=5.0).select("image_id", "y", "x")
 
