@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridmark.functions.scalars import hash_order
 from gridmark.operators.summaries import describe
+from gridmark.session import cut
 
 SPLITS = ("train", "val", "test")
 CHUNK = 2048
@@ -103,7 +104,7 @@ def allocate_by_tile_ratio(tiles: DataFrame, fractions: Mapping[str, float], see
     check_fractions(fractions)
     counts = tiles.groupBy("dataset", "parent_id").agg(F.count("*").alias("n"))
     key = hash_order(seed, F.col("dataset"), F.col("parent_id"))
-    counts = counts.withColumn("h", key)
+    counts = cut(counts.withColumn("h", key))  # the tiles are read once; from here on there are parents only
     order = W.partitionBy("dataset").orderBy("h", "parent_id")
     head = counts.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= 3 * minimum)
     side = F.element_at(F.array(*[F.lit(s) for s in SPLITS]), (F.floor((F.col("k") - 1) / max(minimum, 1)) + 1).cast("int"))
@@ -121,9 +122,12 @@ def allocate_by_tile_ratio(tiles: DataFrame, fractions: Mapping[str, float], see
     carry = [totals.get(s, 0) for s in SPLITS]
     want = [fractions[s] * grand for s in SPLITS]
     placed = guaranteed.select("dataset", "parent_id", "split")
+    if digits:  # in seeded order, so that a chunk reads its own row groups
+        rest = cut(rest.repartitionByRange("h").sortWithinPartitions("h"))
     for prefix in chunks:
         part = rest.filter(F.startswith("h", F.lit(prefix))) if prefix else rest
         folded = _fold_chunk(part, want, carry)
+        folded = cut(folded) if digits else folded
         done = folded.select(F.explode("placed").alias("p")).select("p.dataset", "p.parent_id", "p.split")
         placed = placed.unionByName(done)
         if len(chunks) > 1:

@@ -103,16 +103,16 @@ def class_widths(px: DataFrame, mask: str, keys: Sequence[str] = KEYS) -> DataFr
 
 
 def class_shape_profile(px: DataFrame, mask: str, group: Sequence[str] = ("dataset",), thin: float = 8.0, grey: str | None = None,
-                        keys: Sequence[str] = KEYS) -> DataFrame:
+                        keys: Sequence[str] = KEYS, widths: DataFrame | None = None) -> DataFrame:
     """Shape of a class pooled over the images of a group: raw values are pooled, never averages.
 
     ``group`` columns must be constant per image; pass a group that identifies the image for the
-    single-image profile.
+    single-image profile.  ``widths`` are those of :func:`class_widths` where a caller has them.
     """
     g = list(group)
     k = list(dict.fromkeys((*keys, *g)))
     px = cut(px)
-    widths = class_widths(px, mask, k)
+    widths = class_widths(px, mask, k) if widths is None else widths
     w = F.sqrt(F.col("d2").cast("double")) * 2
     spread = tally(widths, w, g).groupBy(*g).agg(
         F.percentile("v", F.array(F.lit(0.5), F.lit(0.95)), F.col("n")).alias("q"), F.sum("n").alias("n_skeleton_px"),
@@ -140,8 +140,9 @@ def threshold_sensitivity(px: DataFrame, grey: str, cuts: Sequence[float], thin:
     k = [*keys, "dataset", "cut"]
     each = px.withColumn("cut", cuts_)
     each = cut(each.select(*frame(k), grey, (F.col(grey) < F.col("cut")).alias("dark")))
-    out = class_shape_profile(each, "dark", ("dataset", "cut"), thin, grey, k)
-    lengths = class_widths(each, "dark", k).groupBy(*k).agg(F.count("*").alias("length"))
+    widths = cut(class_widths(each, "dark", k))
+    out = class_shape_profile(each, "dark", ("dataset", "cut"), thin, grey, k, widths)
+    lengths = widths.groupBy(*k).agg(F.count("*").alias("length"))
     images = each.filter("y = 0 and x = 0").select(*k).join(lengths, k, "left").na.fill(0, ["length"])
     per = images.groupBy("dataset", "cut", "length").agg(F.count("*").alias("n")).groupBy("dataset", "cut").agg(
         (F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("skeleton_mean"), F.percentile("length", 0.5, F.col("n")).alias("skeleton_median"))

@@ -243,11 +243,29 @@ components_view("m8x", "truth", 8, "truth")
 components_view("dk30", "(SELECT image_id, 30 AS c, y, x FROM px WHERE p100 < 30)", 8, "px")
 
 
-@query("A39_threshold_sensitivity", "px", """
-SELECT dataset, c AS cut, round(count(*) FILTER (p100 < c) / count(*)::DOUBLE, 6) AS pixel_share, round(avg(p100) FILTER (p100 < c), 6) AS mean_inside FROM px, (VALUES (40), (50)) t(c) GROUP BY 1, 2""")
+# every image once per cut, as an image of its own
+view("cuts", "SELECT px.image_id * 1000 + c AS image_id, dataset, c, y, x, p100, p100 < c AS dark FROM px, (VALUES (40), (50)) t(c)", "px")
+view("dk", "SELECT image_id, y, x FROM cuts WHERE dark", "cuts")
+skeleton_view("dksk", "dk", "dk", steps=32)
+components_view("dkc", "dk", 8, "dk")
+view("dk_d", """SELECT s.image_id, s.y, s.x, min((s.y - b.y) * (s.y - b.y) + (s.x - b.x) * (s.x - b.x))::BIGINT AS d2
+FROM dksk s JOIN (SELECT * FROM cuts WHERE NOT dark) b ON b.image_id = s.image_id GROUP BY 1, 2, 3""", "dksk cuts")
+
+
+@query("A39_threshold_sensitivity", "cuts dk_d dkc", """
+SELECT b.dataset, b.c AS cut, class_px, round(class_px / n::DOUBLE, 6) AS pixel_share, round(p50, 6) AS width_p50, round(p95, 6) AS width_p95, round(thin, 6) AS share_thin,
+  n_skel AS n_skeleton_px, n_components, round(largest / class_px::DOUBLE, 6) AS largest_cc_share, round(mi, 6) AS mean_inside, round(mo, 6) AS mean_outside,
+  round(skeleton_mean, 6) AS skeleton_mean, round(skeleton_median, 6) AS skeleton_median
+FROM (SELECT dataset, c, count(*) AS n, count(*) FILTER (dark) AS class_px, avg(p100) FILTER (dark) AS mi, avg(p100) FILTER (NOT dark) AS mo FROM cuts GROUP BY 1, 2) b
+JOIN (SELECT 'd' || (image_id // 1000 % 3) AS dataset, image_id % 1000 AS c, quantile_cont(2 * sqrt(d2::DOUBLE), 0.5) AS p50, quantile_cont(2 * sqrt(d2::DOUBLE), 0.95) AS p95,
+  count(*) FILTER (2 * sqrt(d2::DOUBLE) < 8) / count(*)::DOUBLE AS thin, count(*) AS n_skel FROM dk_d GROUP BY 1, 2) w USING (dataset, c)
+JOIN (SELECT dataset, c, sum(big)::BIGINT AS largest, sum(k)::BIGINT AS n_components FROM (SELECT image_id, 'd' || (image_id // 1000 % 3) AS dataset, image_id % 1000 AS c, max(a) AS big, count(*) AS k
+  FROM (SELECT image_id, component, sum(x1 - x0 + 1) AS a FROM dkc GROUP BY 1, 2) GROUP BY 1) GROUP BY 1, 2) p USING (dataset, c)
+JOIN (SELECT dataset, c, avg(n) AS skeleton_mean, median(n) AS skeleton_median FROM (SELECT i.image_id, i.dataset, i.c, count(s.y) AS n
+  FROM (SELECT DISTINCT image_id, dataset, c FROM cuts) i LEFT JOIN dk_d s USING (image_id) GROUP BY 1, 2, 3) GROUP BY 1, 2) l USING (dataset, c)""")
 def threshold_sensitivity(spark, d):
     out = profiles.threshold_sensitivity(fixtures.px(spark, d), "p100", (40, 50))
-    return rounded(out.select("dataset", "cut", "pixel_share", "mean_inside"), "pixel_share", "mean_inside")
+    return rounded(out, "pixel_share", "width_p50", "width_p95", "share_thin", "largest_cc_share", "mean_inside", "mean_outside", "skeleton_mean", "skeleton_median")
 
 
 # ---- audit of colours ----

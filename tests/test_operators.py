@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmark.functions import names, scalars
-from gridmark.operators import components, partition_scores, postprocess, raster, regions, selection, sweepcounts, thinning, tiles
+from gridmark.operators import components, folds, partition_scores, postprocess, raster, regions, selection, sweepcounts, thinning, tiles
 from gridmark.operators.checks import ValidationError
 from gridmark.operators.folds import check_fractions
 
@@ -174,3 +174,12 @@ def test_two_halves_below_the_area_become_one(spark):
     assert {r.label for r in merged.collect()} == {2}
     row = stats.first()
     assert (row.n_components_total, row.n_components_merged, row.n_pixels_reassigned, row.outline_px_after) == (2, 2, 32, 0)
+
+
+def test_allocation_in_chunks_equals_allocation_at_once(spark, monkeypatch):
+    tiles = spark.sql("SELECT CONCAT('d', id % 3) AS dataset, id % 61 AS parent_id, id AS tile_id FROM range(700) WHERE id % 7 < 5 OR id % 11 < 3")
+    shares = {"train": 0.7, "val": 0.15, "test": 0.15}
+    once = sorted(map(tuple, folds.allocate_by_tile_ratio(tiles, shares, 3).collect()))
+    monkeypatch.setattr(folds, "CHUNK", 16)
+    assert sorted(map(tuple, folds.allocate_by_tile_ratio(tiles, shares, 3).collect())) == once
+    assert len(once) == tiles.select("dataset", "parent_id").distinct().count()
