@@ -124,6 +124,12 @@ def unmatched(files: DataFrame, pairs: DataFrame) -> DataFrame:
     return masks.unionByName(images)
 
 
+def skipped_pairs(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """Complete pairs whose mask has no outline: ``(dataset, mask_path, image_path)``; ``outlines(dataset, mask_path)``."""
+    return (pairs.filter("image_path is not null").select("dataset", "mask_path", "image_path")
+            .join(outlines.select("dataset", "mask_path"), ["dataset", "mask_path"], "left_anti"))
+
+
 def pairing_counts(files: DataFrame, pairs: DataFrame) -> DataFrame:
     sizes = files.groupBy("dataset").agg(F.sum((F.col("role") == "image").cast("bigint")).alias("n_images"),
                                          F.sum((F.col("role") == "mask").cast("bigint")).alias("n_masks"))

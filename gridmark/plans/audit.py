@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.operators import palette, profiles, sampling
+from gridmark.functions import colour
+from gridmark.operators import pairing, palette, profiles, sampling
 from gridmark.session import cut
+from gridmark.sources import files
 
 KEYS = ("image_id", "dataset")
 
@@ -36,3 +40,22 @@ def audit(mask_px: DataFrame, size: int | None = 24, seed: int = 0) -> DataFrame
     votes = report.groupBy("dataset").agg(F.sum(F.col("quantized").cast("bigint")).alias("quantized_files"),
                                           F.min("n_unique").alias("colours_min"), F.max("n_unique").alias("colours_max"))
     return verdict.join(votes, "dataset")
+
+
+def audit_folder(spark: SparkSession, root: str, size: int = 24, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``(report, errors)`` of the image folders below ``root``, one dataset each.
+
+    Pairs are found over all files, at most ``size`` masks a dataset are read.  ``errors(dataset,
+    path, problem)`` lists the sampled masks without pixels; they do not stop the audit, and the
+    report counts the others.
+    """
+    home = F.regexp_extract("path", f"^(.*?{re.escape(root.rstrip('/'))}/[^/]+)/", 1)
+    pairs = pairing.discover_pairs(pairing.discover(files.scan_files(spark, root), home)).filter("image_path is not null")
+    chosen = cut(sampling.seeded_sample(pairs.select("dataset", files.one_form(F.col("mask_path")).alias("path")), size, seed, F.col("path"), ["dataset"]))
+    paths = [r.path for r in chosen.select("path").collect()]  # at most ``size`` a dataset
+    if not paths:
+        raise ValueError(f"{root}: no image and mask pair up")
+    px = (files.scan_pixels(spark, paths).join(chosen, "path")
+          .select(F.col("path").alias("image_id"), "dataset", "height", "width", "y", "x", colour.pack(F.col("r"), F.col("g"), F.col("b")).alias("rgb")))
+    errors = files.image_problems(spark, paths).join(chosen, "path").select("dataset", "path", "problem")
+    return audit(cut(px), None), errors

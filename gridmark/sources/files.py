@@ -68,17 +68,18 @@ def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     head = F.regexp_replace(F.decode(F.substring("content", 1, 1024), "ISO-8859-1"), r"#[^\n]*\n", " ")
     largest = F.regexp_extract(head, r"^P[25]\s+\d+\s+\d+\s+(\d+)\s", 1).try_cast("int")
     bits = F.when(kind == "PNG", _byte(F.lit(25))).when(kind == "TIFF", _tiff_bits()).when((kind == "PGM") & (largest > 255), 16).otherwise(8)
-    return raw.select(_one_form(F.col("path")).alias("path"), kind.alias("format"), F.when(kind.isNotNull(), F.when(bits > 8, 16).otherwise(8)).alias("bit_depth"))
+    return raw.select(one_form(F.col("path")).alias("path"), kind.alias("format"), F.when(kind.isNotNull(), F.when(bits > 8, 16).otherwise(8)).alias("bit_depth"))
 
 
-def _one_form(path: Column) -> Column:
+def one_form(path: Column) -> Column:
+    """One spelling of local paths, which the file sources write with one or three slashes."""
     return F.regexp_replace(path, "^file:/+", "file:///")
 
 
 def _attempted(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Every image file, decoded; height is negative where that failed."""
     rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(paths)
-    rows = rows.select(_one_form(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+    rows = rows.select(one_form(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     return rows.filter(is_image(F.col("path")))
 

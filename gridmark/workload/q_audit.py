@@ -178,6 +178,13 @@ def absent(spark, d):
     return pairing.listed_but_absent(exclusion_table(spark, d), pairing.describe_files(fixtures.listing(spark, d)))
 
 
+@query("J03_skipped_pairs", "pairs", """
+SELECT dataset, mask_path, image_path FROM pairs WHERE image_path IS NOT NULL AND length(list_last(string_split(mask_path, '/'))) % 2 = 1""")
+def skipped(spark, d):
+    drawn = pairing.describe_files(fixtures.listing(spark, d)).filter(F.length("name") % 2 == 0).select("dataset", F.col("path").alias("mask_path"))
+    return pairing.skipped_pairs(all_pairs(spark, d), drawn)
+
+
 @query("U04_listed_names_present", "named", f"SELECT dataset, name FROM ({EXCL}) INTERSECT SELECT dataset, name FROM named")
 def present(spark, d):
     return exclusion_table(spark, d).select("dataset", "name").intersect(

@@ -89,9 +89,8 @@ SELECT DISTINCT round(g, 6) AS threshold FROM (
   SELECT 0.05::DOUBLE + 0.9::DOUBLE * i / 18 AS g FROM range(0, 19) r(i)
   UNION ALL SELECT max(p100) / 100.0::DOUBLE FROM scores)""")
 def threshold_grid(spark, d):
-    top = fixtures.scores(spark, d).agg(F.round(F.max("p100") / F.lit(100.0), 6).alias("threshold"))
-    grid = spark.range(0, 19).select(F.round(F.lit(0.05) + F.lit(0.9) * F.col("id") / 18, 6).alias("threshold"))
-    return grid.unionByName(top).distinct()
+    top = fixtures.scores(spark, d).agg((F.max("p100") / F.lit(100.0)).alias("t")).first().t
+    return spark.createDataFrame([(t,) for t in sweepcounts.threshold_grid(0.05, 0.95, 0.05, top)], "threshold double")
 
 
 @query("P06_binarize", "prob_px", """

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmark.operators.checks import ValidationError
+from gridmark.plans import audit
 from gridmark.sources import files, manifest, reports, store
 
 
@@ -132,3 +133,17 @@ def test_outline_values_are_checked(spark, tmp_path):
     px = spark.createDataFrame([("a", 1, 0, 0, 7)], "dataset string, image_id long, y int, x int, value int")
     with pytest.raises(ValidationError):
         store.write_outline(px, str(tmp_path / "o"))
+
+
+def test_audit_names_unreadable_masks_and_goes_on(spark, tmp_path):
+    line = [[255 if x == y else 0 for x in range(16)] for y in range(16)]
+    for i in range(3):
+        for kind, suffix in (("images", ""), ("masks", "_mask")):
+            where = tmp_path / "steel" / kind
+            where.mkdir(parents=True, exist_ok=True)
+            whole = png([[v for p in row for v in (p, p, p)] for row in line], 2)
+            (where / f"p{i}{suffix}.png").write_bytes(whole[:45] if (kind, i) == ("masks", 1) else whole)
+    report, errors = audit.audit_folder(spark, str(tmp_path))
+    assert [(r["dataset"], r["path"].rsplit("/", 1)[1], r["problem"]) for r in errors.collect()] == [("steel", "p1_mask.png", "cannot be decoded")]
+    row = report.collect()
+    assert [r["dataset"] for r in row] == ["steel"] and row[0]["quantized_files"] == 2
