@@ -132,17 +132,19 @@ def _fit(rows: pa.Table) -> Model | None:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """A model of the languages in ``labelled``; None if no row has both a language and a subword.
 
-    At most ``sample`` documents of each language are learned from, the ones of smallest hash; a
-    fifth of them sets the temperature and is not trained on.
+    At most ``sample`` different texts of each language are learned from, the ones of smallest hash,
+    each once however many copies it has; a fifth of them sets the temperature and is not trained on.
     """
     known = (labelled.select(F.col(text).alias("body"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("place"))
              .filter("lang is not null and body is not null"))
-    # four times the sample by hash range, so that few texts are moved, then exactly the smallest
-    counts = store(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # copies share one hash, so places are counted and ranked as different texts; only chosen texts are moved
+    places = store(known.select("lang", "place").distinct(), "language-texts")
+    counts = places.groupBy("lang").agg(F.count("*").alias("n"))
+    # four times the sample by hash range, so that few places are ranked, then exactly the smallest
     near = F.col("place") / F.lit(float(1 << 63)) + 1 <= F.lit(8.0 * sample) / F.col("n")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    chosen = (known.join(narrow(counts), "lang").filter(near).drop("n").withColumn("rank", rank).filter(F.col("rank") <= sample)
-              .select("body", "lang", "place"))
+    wanted = store(places.join(narrow(counts), "lang").filter(near).withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "place"), "languages")
+    chosen = known.join(narrow(wanted), ["lang", "place"]).select("body", "lang", "place").dropDuplicates(["lang", "place"])
     rows = chosen.mapInArrow(_training_rows(BUCKETS), "lang string, place long, part int, ids binary, shares binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

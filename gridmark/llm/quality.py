@@ -78,21 +78,26 @@ def _measured(body: int, others: list[int], names: list[str]):
     return run
 
 
-def _sample(docs: DataFrame, text: str, size: int, many: int) -> np.ndarray:
-    """Measures of the ``size`` texts of smallest hash among ``many``; a hash range first, so that few texts are moved."""
-    near = docs.select(F.col(text).alias("body"), F.xxhash64(F.col(text)).alias("place"))
-    near = near.filter(F.col("place") / F.lit(float(1 << 63)) + 1 <= F.lit(8.0 * size / max(many, 1)))
-    few = near.mapInArrow(_measured(0, [1], ["place", "x"]), "place long, x array<double>").orderBy("place").limit(size).toArrow()
-    return np.array(few.column("x").to_pylist(), float).reshape(few.num_rows, -1)
+def _sample(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Measures of the ``size`` different texts of smallest hash and how many rows each has; a hash range first, so that few texts are measured."""
+    hashed = docs.select(F.col(text).alias("body"), F.xxhash64(F.col(text)).alias("place"))
+    many = hashed.select("place").distinct().count()
+    near = hashed.filter(F.col("place") / F.lit(float(1 << 63)) + 1 <= F.lit(8.0 * size / max(many, 1)))
+    few = (near.mapInArrow(_measured(0, [1], ["place", "x"]), "place long, x array<double>").groupBy("place").agg(F.first("x").alias("x"), F.count("*").alias("n"))
+           .orderBy("place").limit(size).toArrow())
+    return np.array(few.column("x").to_pylist(), float).reshape(few.num_rows, -1), few.column("n").to_numpy().astype(float)
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(good: np.ndarray, web: np.ndarray, prior: float) -> Model:
-    """Minimises the non-negative unbiased risk of a logistic model with Adam steps on the whole sample."""
-    center, spread = web.mean(axis=0), web.std(axis=0) + 1e-6
+def fit(good: np.ndarray, web: np.ndarray, prior: float, good_rows: np.ndarray | None = None, web_rows: np.ndarray | None = None) -> Model:
+    """Minimises the non-negative unbiased risk of a logistic model with Adam steps on the whole sample; a text counts as its rows do."""
+    share = lambda x, rows: np.full(len(x), 1 / len(x)) if rows is None else rows / rows.sum()
+    of_good, of_web = share(good, good_rows), share(web, web_rows)
+    center = of_web @ web
+    spread = np.sqrt(of_web @ (web - center) ** 2) + 1e-6
     p, u = (np.clip((x - center) / spread, -6, 6) for x in (good, web))
     theta = np.zeros(p.shape[1] + 1)
     theta[-1] = np.log(prior / (1 - prior))
@@ -102,9 +107,9 @@ def fit(good: np.ndarray, web: np.ndarray, prior: float) -> Model:
     for t in range(1, STEPS + 1):
         a, b = _logistic(p @ theta), _logistic(u @ theta)
         # logistic losses: -log s(z) of a text as good, -log s(-z) of a text as bad
-        missing = -np.log(1 - b + 1e-12).mean() + prior * np.log(1 - a + 1e-12).mean()
-        as_bad = u.T @ b / len(u) - prior * (p.T @ a) / len(p)
-        slope = -prior * (p.T @ (1 - a)) / len(p) + as_bad if missing >= 0 else -as_bad
+        missing = -(of_web @ np.log(1 - b + 1e-12)) + prior * (of_good @ np.log(1 - a + 1e-12))
+        as_bad = u.T @ (of_web * b) - prior * (p.T @ (of_good * a))
+        slope = -prior * (p.T @ (of_good * (1 - a))) + as_bad if missing >= 0 else -as_bad
         slope[:-1] += DECAY * theta[:-1]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope ** 2
         theta = theta - RATE * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
@@ -124,11 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     prior = good / (good + bad) if bad else DEFAULT_PRIOR
     trusted = store(marked.filter("y = 1").select("id").distinct().orderBy(F.xxhash64("id")).limit(POSITIVES), "trusted")
     body = docs.select(F.col(key).alias("id"), F.col(text).alias("body"))
-    positives = _sample(body.join(narrow(trusted), "id", "left_semi"), "body", POSITIVES, 1)
-    web = _sample(body, "body", UNLABELLED, body.count())
+    positives, good_rows = _sample(body.join(narrow(trusted), "id", "left_semi"), "body", POSITIVES)
+    web, web_rows = _sample(body, "body", UNLABELLED)
     if not len(positives) or not len(web):
         return None
-    return fit(positives, web, prior)
+    return fit(positives, web, prior, good_rows, web_rows)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD, keep: Sequence[str] | None = None) -> DataFrame:

@@ -42,6 +42,19 @@ def test_language_without_training_rows(spark):
     assert [tuple(r) for r in language.learn_and_predict(df, F.lit(False)).select("lang_pred", "score").collect()] == [("und", 0.0)]
 
 
+def test_language_sample_is_of_different_texts(spark):
+    words = {"de": "der die und ein", "en": "the and of thing", "es": "el los que una", "fr": "le la est dans"}
+    rows = [(f"{w} {'abcdef'[i] * 4}", lang) for lang, w in words.items() for i in range(6)]
+    df = spark.createDataFrame(rows, "text string, lang string").crossJoin(spark.range(5000).select())
+    assert language.train(df).languages == sorted(words)
+
+
+def test_quality_sample_weighs_texts_by_rows(spark):
+    df = spark.createDataFrame([(f"text {i} word",) for i in range(8)], "text string").crossJoin(spark.range(9000).select())
+    x, rows = quality._sample(df, "text", 6)
+    assert len(x) == 6 and rows.tolist() == [9000.0] * 6
+
+
 def test_held_out_quality(spark, documents):
     found = queries.QUERIES["op5_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out")
     rows = found.select("quality", "score", "predicted").collect()
