@@ -106,24 +106,52 @@ def _blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
     return out
 
 
-def _fused(scores: dict[tuple[str, ...], float], sizes: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], float]:
-    """Each path takes the mean score, by text, of the nearest article region or else of its parent, if that is higher."""
-    home = {}
+def _fused(scores: dict[tuple[str, ...], float], sizes: dict[tuple[str, ...], int], linked: set[tuple[str, ...]]) -> dict[tuple[str, ...], float]:
+    """Each path takes the mean score, by text, of what encloses it, if that is higher.
+
+    That is the nearest article region or the parent; outside article regions also every enclosing
+    block up to the innermost one that holds most of the scored text.  Paths in ``linked``, mostly
+    links, are not lifted by the latter.
+    """
+    home, out = {}, {}
     for p in scores:
         inside = [i for i, s in enumerate(p) if not _CONTENT.isdisjoint(s.split("."))]
         home[p] = p[:inside[-1] + 1] if inside else p[:-1]
+        out[p] = not inside
     total: dict = {}
+    # enclosing blocks as numbers, outermost first, so that deep pages cost no more than their depth
+    number: dict[tuple[int, str], int] = {}
+    around, weight, text = {}, [0.0], [0]
     for p, s in scores.items():
         a, b = total.get(home[p], (0.0, 0))
         total[home[p]] = (a + s * sizes[p], b + sizes[p])
-    return {p: max(s, total[home[p]][0] / total[home[p]][1]) for p, s in scores.items()}
+        chain = [0]
+        for step in p[:-1]:
+            chain.append(number.setdefault((chain[-1], step), len(weight)))
+            if chain[-1] == len(weight):
+                weight.append(0.0)
+                text.append(0)
+        for i in chain:
+            weight[i] += s * sizes[p]
+            text[i] += sizes[p]
+        around[p] = chain
+    fused = {p: max(s, total[home[p]][0] / total[home[p]][1]) for p, s in scores.items()}
+    most = [i for i, w in enumerate(weight) if 2 * w > weight[0]]  # nested, and numbered from the outside in
+    if most:
+        for p in scores:
+            if out[p] and p not in linked and most[-1] in around[p]:
+                inner = around[p][around[p].index(most[-1]):]
+                fused[p] = max(fused[p], *(weight[i] / text[i] for i in inner))
+    return fused
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The article of one page, a block per line; empty if the page has none."""
     blocks = [b for b in _blocks(page or "") if not b[2]]
     marked = [b for b in blocks if any(not _CONTENT.isdisjoint(s.split(".")) for s in b[0])]
-    blocks = marked or blocks  # an article region, where the page declares one, encloses the article
+    own = lambda some: sum(len(b[1]) - b[3] for b in some)
+    if marked and 2 * own(marked) >= own(blocks):
+        blocks = marked  # an article region that holds most of the text encloses the article; a teaser card does not
     if not blocks:
         return ""
     paths = {p: i for i, p in enumerate(dict.fromkeys(b[0] for b in blocks))}
@@ -139,7 +167,9 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
         ratio.append(np.bincount(at, along) / count)
     score = ratio[0] * ratio[1]
     chars = np.bincount(at, np.array([len(b[1]) for b in blocks], float))
-    fused = _fused({p: float(score[i]) for p, i in paths.items()}, {p: int(chars[i]) for p, i in paths.items()})
+    own_chars = np.bincount(at, plain)
+    linked = {p for p, i in paths.items() if 2 * own_chars[i] < chars[i]}
+    fused = _fused({p: float(score[i]) for p, i in paths.items()}, {p: int(chars[i]) for p, i in paths.items()}, linked)
     least = threshold * max(fused.values())
     return "\n".join(b[1] for b in blocks if fused[b[0]] >= least and fused[b[0]] > 0)
 

@@ -32,6 +32,23 @@ def test_known_articles(page, want):
     assert main_text(page) == want
 
 
+CARD = "<article class=card><p>Read more here.</p></article>"
+INSIDE = [("<ul><li>first point</li><li>next point</li><li>third point</li></ul>", "first point\nnext point\nthird point"),
+          ("<table><tr><td>cell one<td>cell two</table>", "cell one\ncell two"), ("<blockquote><div>short quote</div></blockquote>", "short quote")]
+
+
+@pytest.mark.parametrize(("part", "lines"), INSIDE)
+def test_short_blocks_inside_a_div(part, lines):
+    page = f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div id=c>{f'<p>{LONG}</p>' * 3}{part}<p>{LONG}</p></div></body>"
+    assert main_text(page) == "\n".join([LONG] * 3 + [lines, LONG])
+
+
+def test_teaser_cards_do_not_hide_the_page():
+    for card in (CARD, "<ul><li class=article-link><a href=x>Another story</a></ul>"):
+        got = main_text(f"<body><div class=text>{f'<p>{LONG}</p>' * 4}</div>{card}</body>").splitlines()
+        assert got[:4] == [LONG] * 4
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(i if i else None, None, p, "t") for i, (p, _) in enumerate(PAGES)] + [(1, None, PAGES[1][0], "t")],
                                "page_id long, url string, html string, text string")
