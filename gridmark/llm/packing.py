@@ -64,17 +64,20 @@ class _Coder:
     """Token ids of texts.  Latin texts go through the faster of two public readers of one vocabulary.
 
     The two agree where character classes are old and settled (code points below 0x250); any other
-    text takes the slower, defining one.  Strings of special tokens in a text are ordinary text.
+    text takes the slower, defining one.  Strings of added tokens in a text are ordinary text unless
+    ``added``: then they are the one id the definition gives them, and such texts take the slower one.
     """
 
-    def __init__(self, definition: str, ranks: str | None, pattern: str):
+    def __init__(self, definition: str, ranks: str | None, pattern: str, added: bool = False):
         import base64
 
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(definition)
-        self.slow.encode_special_tokens = True
-        self.other = re.compile("[^\x00-\u024f]")
+        self.slow.encode_special_tokens = not added
+        strange = [re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()] if added else []
+        self.other = re.compile("|".join(["[^\x00-\u024f]", *strange]))
+        self.plain = not strange
         self.fast = None
         if ranks:
             import tiktoken
@@ -84,7 +87,7 @@ class _Coder:
             self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and (text.isascii() or not self.other.search(text)):
+        if self.fast is not None and (self.plain and text.isascii() or not self.other.search(text)):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -159,11 +162,11 @@ class _Block:
 
 
 def pack(docs: DataFrame, definition: str, ranks: str | None = None, pattern: str = "", key: str = "doc_id", text: str = "text",
-         limit: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+         limit: int = SEQUENCE, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """Pieces ``(key, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` of all documents.
 
     ``definition`` (and ``ranks``, the same vocabulary) are tokenizer files that every worker has; a
-    document is its ids and ``end_id``.  Null and empty texts are the end id alone.  Repeated rows and
+    document is its ids and ``end_id``; strings of added tokens in a text are those tokens if ``added``.  Null and empty texts are the end id alone.  Repeated rows and
     null keys are packed like any other.  A sequence has at most ``limit`` tokens and is padded to
     ``limit`` unless its size is a power of two.
     """
@@ -183,7 +186,7 @@ def pack(docs: DataFrame, definition: str, ranks: str | None = None, pattern: st
         for batch in batches:
             kind = batch.column(0).type
             if coder is None:
-                coder = _Coder(definition, ranks, pattern)
+                coder = _Coder(definition, ranks, pattern, added)
                 block = _Block(limit, _sentence_ends(coder.slow.get_vocab_size(), definition), 0)
             for row in range(batch.num_rows):
                 if block.sequence == 0 and not block.docs and row == 0:

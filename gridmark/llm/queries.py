@@ -67,10 +67,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """Packing with the public byte-level vocabulary."""
+    """Packing with the public byte-level vocabulary; ids are those of its definition's plain call, added tokens recognised."""
     import public_tokenizers as public
 
-    return packing.pack(docs, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return packing.pack(docs, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, added=True)
 
 
 @query("op10_packing")

@@ -62,6 +62,17 @@ def test_every_token_is_in_one_piece(spark, monkeypatch):
     assert queries.pack_documents(df.limit(0)).count() == 0
 
 
+def test_added_tokens_of_the_definition_are_recognised(spark):
+    texts = ["plain text", "one<|endoftext|>two", "<|endoftext|>", "é <|endoftext|> ÿ", "日本 <|endoftext|>", "<|endoftex|>"]
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert 50256 in want[1]
+    pieces = queries.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(w) for i, w in enumerate(want)}
+    for p in pieces:
+        assert p.ids_crc32 == zlib.crc32(np.array(want[p.doc_id][p.start:p.start + p.length], "<u4").tobytes())
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
