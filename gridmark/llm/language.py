@@ -170,6 +170,15 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", reject_bel
     are rows like any other; columns of the three names are replaced.
     """
     inside, body_of = carried(docs, text, ("lang_pred", "score", "accepted"), keep)
+    return _predicted(inside, body_of, model, reject_below).select("row.*", "lang_pred", "score", "accepted")
+
+
+def accepted_rows(docs: DataFrame, model: Model | None, text: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
+    """The rows of ``docs`` whose language is accepted, all columns as they are, also those named like columns of ``predict``."""
+    return _predicted(*carried(docs, text, (), None), model, reject_below).filter("accepted").select("row.*")
+
+
+def _predicted(inside: DataFrame, body_of, model: Model | None, reject_below: float) -> DataFrame:
     schema = inside.select("row").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +201,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", reject_bel
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(names, pa.string()), pa.array(best), pa.array(ok)],
                                                  ["row", "lang_pred", "score", "accepted"])
 
-    found = inside.mapInArrow(run, schema)
-    return found.select("row.*", "lang_pred", "score", "accepted")
+    return inside.mapInArrow(run, schema)
 
 
 def learn_and_predict(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", **settings) -> DataFrame:
