@@ -80,3 +80,7 @@ def test_risk_stays_non_negative_on_separable_data():
     m = quality.fit(good, web, 0.7)
     s = lambda x: quality._logistic((x - m.center) / m.spread @ m.weights + m.bias)
     assert (s(good) > 0.5).mean() > 0.95 and (s(bad) < 0.5).mean() > 0.95
+
+
+def test_language_learns_from_400_texts():
+    assert language.SAMPLE_PER_LANGUAGE == 400
