@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import decontaminate, extract, language, packing, quality, sharding, simhash, substring, topk, warc
+from gridmark.llm import clusters, decontaminate, extract, language, packing, quality, sharding, simhash, substring, tokenstore, topk, warc
 from gridmark.llm.frames import remainder, stored, table
 from gridmark.session import shared_folder
 
@@ -124,3 +124,35 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 0
     found = quality.learn_and_score(docs, labels, held_out, keep=["doc_id"])
     return found.select("doc_id", stored(held_out).alias("held_out"), "score", "predicted")
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Lloyd's rounds unrolled: each one assigns by an ordered pick over all centroids and takes floors of the means."""
+    square = f"CAST(list_sum([(w[i] - v[i]) * (w[i] - v[i]) FOR i IN range(1, {dim + 1})]) AS BIGINT)"
+    ctes = [f"""x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS w FROM embeddings
+  WHERE len(embedding) = {dim} AND len([1 FOR c IN embedding IF c IS NULL OR isnan(c) OR isinf(c)]) = 0)""",
+            f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, w AS v FROM x QUALIFY c < {k})"]
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': {square}, 'c': c}}) AS m FROM x, c{i} GROUP BY r)")
+        if i < rounds:
+            ctes.append(f"""s{i} AS (SELECT c, i, sum(p) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(w) AS p, unnest(range({dim})) AS i FROM a{i} JOIN x USING (r)) GROUP BY c, i),
+n{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS u FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(u, v) AS v FROM c{i} LEFT JOIN n{i} USING (c))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN x USING (r) JOIN c{rounds} ON c{rounds}.c = m.c"""
+
+
+@query("op13_clusters", _cluster_sql())
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_token_store")
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    files = tokenstore.write_tokens(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), public.path("byte_bpe_50k.json"),
+                                    public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return tokenstore.read_tokens(files)
