@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmark.llm import clusters, decontaminate, extract, language, packing, quality, sharding, simhash, substring, tokenstore, topk, warc
+from gridmark.llm import clusters, decontaminate, extract, language, packing, quality, ranked, sharding, simhash, substring, tokenstore, topk, warc
 from gridmark.llm.frames import remainder, stored, table
 from gridmark.session import shared_folder
 
@@ -156,3 +156,19 @@ def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenstore.write_tokens(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"), public.path("byte_bpe_50k.json"),
                                     public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     return tokenstore.read_tokens(files)
+
+
+@query("op11_ranked_search", r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS MATERIALIZED (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(ws) AS t FROM b) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS n_all, CAST(sum(len(ws)) AS BIGINT) AS l_all FROM d WHERE len(ws) > 0),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, n_all),
+m AS (SELECT r, doc_id, 25 + (75 * len(ws) * n_all) // l_all AS m FROM d, s WHERE len(ws) > 0),
+score AS (SELECT item_id, doc_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 10
+""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

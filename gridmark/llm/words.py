@@ -71,3 +71,23 @@ class Words:
 
     def text(self, i: int, j: int) -> bytes:
         return self.joined[self.at[i]:self.to[j]]
+
+
+def windows(data: np.ndarray, inner: np.ndarray, size: int = STEP_BYTES) -> list[int]:
+    """Bounds of pieces of one text that have about ``size`` bytes and end behind a byte that is not ``inner`` (a table of 256), or at the end.
+
+    A run of inner bytes is never cut, so a text without other bytes is one piece.
+    """
+    bounds, n = [0], len(data)
+    while n - bounds[-1] > size:
+        at, look = bounds[-1] + size, 1 << 12
+        while at < n:
+            free = np.flatnonzero(~inner[data[at:at + look]])
+            if len(free):
+                at += int(free[0]) + 1
+                break
+            at, look = at + look, 2 * look
+        bounds.append(min(at, n))
+    if bounds[-1] < n or n == 0:
+        bounds.append(n)
+    return bounds
