@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmark.operators.raster import KEYS
-from gridmark.session import cut
+from gridmark.session import cut, discard
 
 ROUNDS_PER_CUT = 2
 MAX_ROUNDS = 200
@@ -167,9 +167,11 @@ def contract(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     for _ in range(0, MAX_ROUNDS, ROUNDS_PER_CUT):
         if before[0] == 0:
             break
+        last = state
         for _ in range(ROUNDS_PER_CUT):
             state = _star(_star(state, k, larger=True), k, larger=False)
         state = cut(state)
+        discard(last)
         after = mark(state)
         if after == before:
             break

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,15 +61,54 @@ def cut(df: DataFrame) -> DataFrame:
     return store(df)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that :func:`store` returned and that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+#: Folders written inside each open :func:`scratch`, innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end, also after a failure, every folder that :func:`shared_folder` named inside.
+
+    The function it gives keeps the folders that a frame reads; they then belong to the scratch
+    around it, if there is one.  Whatever leaves the block must be such a frame or read none.
+    """
+    made, kept = [], set()
+    _open.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        files = df.inputFiles()
+        kept.update(f for f in made if any(_plain(x).startswith(_plain(f) + "/") for x in files))
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        _delete(spark, [f for f in made if f not in kept])
+        if _open:
+            _open[-1].extend(f for f in made if f in kept)
+
+
+def _plain(place: str) -> str:
+    """A path without what different writers put before it."""
+    return "/" + place.split(":", 1)[-1].lstrip("/")
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for name in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that :func:`store` returned and that nothing reads any more."""
+    _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder beside the checkpoints, visible to every executor."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(folder)
+    return folder
