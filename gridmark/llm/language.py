@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmark.llm.frames import carried, narrow
-from gridmark.llm.words import LOWER, steps
-from gridmark.session import store
+from gridmark.llm.words import LOWER, STEP_BYTES, steps
+from gridmark.session import scratch, store
 
+#: Languages that are learned: those of most different texts, ties to the smaller name.
+MOST_LANGUAGES = 256
 #: Documents per language that the model is trained and calibrated on, chosen by hash; the rest of the corpus is not learned from.
 SAMPLE_PER_LANGUAGE = 400
 #: Bytes of the training snippets cut from each of them, besides the whole text.
@@ -44,15 +46,18 @@ class Model(NamedTuple):
     temperature: float
 
 
-def _subwords(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all subwords of the texts and the document of each; grams of edge marks alone are none."""
+def _subwords(data: np.ndarray, offsets: np.ndarray, buckets: int, begins: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all subwords of the texts and the document of each; grams of edge marks alone are none.
+
+    With ``begins`` only subwords that begin in so many first bytes.
+    """
     folded = _FOLD[data]
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     found, owner = [], []
     for n in GRAMS:
         if len(folded) < n:
             continue
-        m = len(folded) - n + 1
+        m = min(len(folded) - n + 1, len(folded) if begins is None else begins)
         h, solid = np.full(m, n, np.uint32), np.zeros(m, bool)
         for i in range(n):
             h = (h ^ folded[i:i + m]) * np.uint32(0x01000193)
@@ -66,6 +71,35 @@ def _subwords(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.n
     return np.concatenate(found).astype(np.int64), np.concatenate(owner)
 
 
+def _pieces(text: np.ndarray, buckets: int) -> Iterator[np.ndarray]:
+    """Buckets of one text's subwords, some of its bytes at a time."""
+    for s in range(0, len(text), STEP_BYTES):
+        part = text[s:s + STEP_BYTES + max(GRAMS) - 1]
+        yield _subwords(part, np.array([0, len(part)]), buckets, STEP_BYTES)[0]
+
+
+def _tally(text: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of one text's subwords."""
+    total = np.zeros(buckets, np.int64)
+    for found in _pieces(text, buckets):
+        total += np.bincount(found, minlength=buckets)
+    some = np.flatnonzero(total)
+    return some, total[some]
+
+
+def _class_sums(data: np.ndarray, offsets: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every text the class scores summed over its subwords, and how many those are; a long text of its own goes piece by piece."""
+    n = len(offsets) - 1
+    if n == 1 and len(data) > STEP_BYTES:
+        total, many = np.zeros((1, scores.shape[1])), 0
+        for found in _pieces(data, len(scores)):
+            total += scores[found].sum(axis=0, dtype=np.float64)
+            many += len(found)
+        return total, np.array([many])
+    bucket, owner = _subwords(data, offsets, len(scores))
+    return np.stack([np.bincount(owner, scores[bucket, c], minlength=n) for c in range(scores.shape[1])], axis=1), np.bincount(owner, minlength=n)
+
+
 def _training_rows(buckets: int):
     """Per sampled text: subword shares of the whole and of a few snippets, cut at places its own bytes decide."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +113,7 @@ def _training_rows(buckets: int):
                         if len(text) > n:
                             s = int(place.integers(0, len(text) - n))
                             parts.append(text[s:s + n])
-                    rows = [np.unique(_subwords(p, np.array([0, len(p)]), buckets)[0], return_counts=True) for p in parts]
+                    rows = [_tally(p, buckets) for p in parts]
                     rows = [(b.astype("<i4").tobytes(), (n / n.sum()).astype("<f4").tobytes()) for b, n in rows if len(b)]
                     if rows:
                         same = pa.array([lo + i] * len(rows), pa.int64())
@@ -129,43 +163,47 @@ def _fit(rows: pa.Table) -> Model | None:
     return Model(names, scores, bias, float(grid[int(np.argmin(loss))]))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE,
+          languages: int = MOST_LANGUAGES) -> Model | None:
     """A model of the languages in ``labelled``; None if no row has both a language and a subword.
 
+    At most ``languages`` values of the language column are learned, those of most different texts.
+
     At most ``sample`` different texts of each language are learned from, the ones of smallest hash,
     each once however many copies it has; a fifth of them sets the temperature and is not trained on.
     """
-    known = (labelled.select(F.col(text).alias("body"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("place"))
-             .filter("lang is not null and body is not null"))
-    # copies share one hash, so places are counted and ranked as different texts; only chosen texts are moved
-    places = store(known.select("lang", "place").distinct(), "language-texts")
-    counts = places.groupBy("lang").agg(F.count("*").alias("n"))
-    # four times the sample by hash range, so that few places are ranked, then exactly the smallest
-    near = F.col("place") / F.lit(float(1 << 63)) + 1 <= F.lit(8.0 * sample) / F.col("n")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    wanted = store(places.join(narrow(counts), "lang").filter(near).withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "place"), "languages")
-    chosen = known.join(narrow(wanted), ["lang", "place"]).select("body", "lang", "place").dropDuplicates(["lang", "place"])
-    rows = chosen.mapInArrow(_training_rows(BUCKETS), "lang string, place long, part int, ids binary, shares binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        model = _fit(pa.Table.from_batches(got)) if got else None
-        if model is not None:
-            yield pa.RecordBatch.from_pylist([{"languages": model.languages, "scores": model.scores.astype("<f4").tobytes(),
-                                               "bias": model.bias.astype("<f4").tobytes(), "temperature": model.temperature}])
-
-    # one task, as the sample is bounded; the driver receives the finished table only
-    found = rows.repartition(1).mapInArrow(run, "languages array<string>, scores binary, bias binary, temperature double").first()
-    if found is None:
-        return None
-    return Model(list(found.languages), np.frombuffer(found.scores, "<f4").reshape(BUCKETS, -1), np.frombuffer(found.bias, "<f4"), found.temperature)
+    with scratch(labelled.sparkSession):
+        known = (labelled.select(F.col(text).alias("body"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("place"))
+                 .filter("lang is not null and body is not null"))
+        # copies share one hash, so places are counted and ranked as different texts; only chosen texts are moved
+        places = store(known.select("lang", "place").distinct(), "language-texts")
+        counts = store(places.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages), "language-counts")
+        # four times the sample by hash range, so that few places are ranked, then exactly the smallest
+        near = F.col("place") / F.lit(float(1 << 63)) + 1 <= F.lit(8.0 * sample) / F.col("n")
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+        wanted = store(places.join(narrow(counts), "lang").filter(near).withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "place"), "languages")
+        chosen = known.join(narrow(wanted), ["lang", "place"]).select("body", "lang", "place").dropDuplicates(["lang", "place"])
+        rows = chosen.mapInArrow(_training_rows(BUCKETS), "lang string, place long, part int, ids binary, shares binary")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = list(batches)
+            model = _fit(pa.Table.from_batches(got)) if got else None
+            if model is not None:
+                yield pa.RecordBatch.from_pylist([{"languages": model.languages, "scores": model.scores.astype("<f4").tobytes(),
+                                                   "bias": model.bias.astype("<f4").tobytes(), "temperature": model.temperature}])
+
+        # one task, as the sample is bounded; the driver receives the finished table only
+        found = rows.repartition(1).mapInArrow(run, "languages array<string>, scores binary, bias binary, temperature double").first()
+        if found is None:
+            return None
+        return Model(list(found.languages), np.frombuffer(found.scores, "<f4").reshape(BUCKETS, -1), np.frombuffer(found.bias, "<f4"), found.temperature)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", reject_below: float = REJECT_BELOW,
             keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``lang_pred``, ``score`` (calibrated probability, 0 to 1) and ``accepted``; whole texts, other columns unchanged.
 
-    A text that is null or has no letter is ``und``, score 0, not accepted; so is every text without
+    A very long text is summed up piece by piece.  A text that is null or has no letter is ``und``, score 0, not accepted; so is every text without
     a model.  Letters without a subword the model knows get its prior.  Repeated rows and null keys
     are rows like any other; columns of the three names are replaced.
     """
@@ -190,10 +228,8 @@ def _predicted(inside: DataFrame, body_of, model: Model | None, reject_below: fl
                 if model is None:
                     names, best = [UNDETERMINED] * n, np.zeros(n)
                 else:
-                    bucket, owner = _subwords(data, offsets, len(model.scores))
-                    many = np.maximum(np.bincount(owner, minlength=n), 1)[:, None]
-                    total = np.stack([np.bincount(owner, model.scores[bucket, c], minlength=n) for c in range(len(model.languages))], axis=1)
-                    p = _softmax((total / many + model.bias) / model.temperature)
+                    total, many = _class_sums(data, offsets, model.scores)
+                    p = _softmax((total / np.maximum(many, 1)[:, None] + model.bias) / model.temperature)
                     some = letters[lo:hi]
                     best = np.where(some, p.max(axis=1), 0.0)
                     names = [model.languages[c] if ok else UNDETERMINED for c, ok in zip(p.argmax(axis=1), some)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmark.llm.frames import narrow
-from gridmark.llm.words import LOWER, Words, steps
+from gridmark.llm.words import LOWER, STEP_BYTES, Words, overlapping, steps
 from gridmark.operators.components import contract
 from gridmark.session import store
 
@@ -27,26 +27,45 @@ CHUNK = 1024
 BITS = 64
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
-    import xxhash
-
-    w = Words(LOWER[data], offsets)
-    n = len(w.count)
-    out = np.zeros(n, np.uint64)
+def shingle_hashes(w: Words, shingle: int, seed: int, short: bool, digest) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles and the document of each; with ``short`` documents of fewer words are one shingle."""
     last = w.first[1:][w.doc] - 1
     index = np.arange(len(w.doc))
-    begins = (index + shingle - 1 <= last) | (index == w.first[:-1][w.doc])
+    begins = index + shingle - 1 <= last
+    if short:
+        begins |= index == w.first[:-1][w.doc]
     first = index[begins]
     final = np.minimum(first + shingle - 1, last[begins])
-    if not len(first):
-        return out
-    whole, digest = w.joined, xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(whole[s:e], seed) for s, e in zip(w.at[first].tolist(), w.to[final].tolist())),
-                         np.uint64, len(first))
-    docs, heads, sizes = np.unique(w.doc[first], return_index=True, return_counts=True)
+    whole = w.joined
+    return np.fromiter((digest(whole[s:e], seed) for s, e in zip(w.at[first].tolist(), w.to[final].tolist())), np.uint64, len(first)), w.doc[first]
+
+
+def _ones(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """How many hashes of every run have each bit."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
-    out[docs] = np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    return np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+
+
+def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    import xxhash
+
+    data, digest = LOWER[data], xxhash.xxh64_intdigest
+    if len(offsets) == 2 and len(data) > STEP_BYTES:  # one long text, counted piece by piece
+        total, many = np.zeros((1, BITS), np.int64), 0
+        for w in overlapping(data, shingle):
+            hashes, _ = shingle_hashes(w, shingle, seed, False, digest)
+            if len(hashes):
+                total += _ones(hashes, np.zeros(1, np.int64))
+                many += len(hashes)
+        if many:
+            return np.packbits(total * 2 > many, axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    w = Words(data, offsets)
+    out = np.zeros(len(w.count), np.uint64)
+    hashes, owner = shingle_hashes(w, shingle, seed, True, digest)
+    if not len(hashes):
+        return out
+    docs, heads, sizes = np.unique(owner, return_index=True, return_counts=True)
+    out[docs] = np.packbits(_ones(hashes, heads) * 2 > sizes[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
     return out
 
 
@@ -54,7 +73,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     """``(key, fp long)`` of every row: majority bit of XXH64 over ``shingle``-word shingles, repeats included.
 
     Words are ``[^ \\t-\\r]+`` after lower-casing A-Z.  Fewer words than a shingle: the whole
-    sequence is one.  No word, an empty or a null text: 0.
+    sequence is one.  No word, an empty or a null text: 0.  A very long text is counted in pieces.
     """
     schema = docs.select(key).schema.add("fp", "long")
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from gridmark.llm.frames import narrow
 from gridmark.llm.words import Words, steps
-from gridmark.session import store
+from gridmark.session import scratch, store
 
 LENGTH = 35
 ANCHOR = 8
@@ -166,9 +166,13 @@ def repeated_paths(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     """``(d, k, inner, spots)``: per document with repeats the paths (start, run) whose windows repeat, all whole.
 
     ``inner`` marks documents in which some window may repeat inside the document; those are settled
-    where the document is read.
+    where the document is read.  The result is written; nothing else made here stays.
     """
-    named = _named(docs, text, key)
+    with scratch(docs.sparkSession) as keep:
+        return keep(store(_repeated(_named(docs, text, key), length, anchor), "repeats"))
+
+
+def _repeated(named: DataFrame, length: int, anchor: int) -> DataFrame:
     found = store(named.mapInArrow(_paths_of(length, anchor), "d long, k long, inner boolean, "
                                    "paths array<struct<start:int,run:int,anchor:long,seg:long>>"), "paths")
     flat = found.select("d", "k", F.explode("paths").alias("p")).select("d", "k", "p.start", "p.run", "p.anchor", "p.seg")

@@ -91,3 +91,13 @@ def windows(data: np.ndarray, inner: np.ndarray, size: int = STEP_BYTES) -> list
     if bounds[-1] < n or n == 0:
         bounds.append(n)
     return bounds
+
+
+def overlapping(data: np.ndarray, n: int, size: int = STEP_BYTES) -> Iterator[Words]:
+    """Pieces of one text so that every ``n`` neighbouring words stand whole in exactly one; a piece of fewer words holds none of them."""
+    at, marks = 0, windows(data, ~_SPACE, size)
+    for end in marks[1:]:
+        w = Words(data[at:end], np.array([0, end - at]))
+        yield w
+        if n == 1 or len(w.start) >= n - 1:
+            at = end if n == 1 else at + int(w.start[len(w.start) - n + 1])

@@ -2,11 +2,12 @@
 
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridmark.llm.extract import extract, main_text
+from gridmark.llm.extract import extract, main_text, strange_name
 
 LONG = "The committee met on Tuesday, and after a long debate, it agreed on the plan; nobody objected."
 PAGES = [
@@ -63,6 +64,36 @@ def test_very_long_page():
     main_text("<div>" * 3000 + LONG)
 
 
+KEPT = [(f"<article><div class='notice-period'><p>{LONG}</p></div></article>", LONG),
+        (f"<article><p>{LONG}</p><div class='share-price'>{LONG}</div></article>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>one link</a><li><a href=2>two</a></ul><p><a href=3>only a link</a></p></article>", f"{LONG}\none link\ntwo\nonly a link"),
+        (f"<article><p>super<wbr>cali</p><p>{LONG}</p></article>", f"supercali\n{LONG}"),
+        (f"<body><form id=aspnet><div class=post><h1>T</h1><div><p>{LONG}</p><p>{LONG}</p></div></div><div class=user-comments><p>{LONG}</p></div></form></body>", f"T\n{LONG}\n{LONG}"),
+        (f"<body><div id=w><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><p>Short, but the same path.</p></section></div><div>Ad.</div></body>",
+         f"{LONG}\n{LONG}\n{LONG}\nShort, but the same path.")]
+
+
+@pytest.mark.parametrize(("page", "want"), KEPT)
+def test_names_and_links_do_not_cost_text(page, want):
+    assert main_text(page) == want
+
+
+def test_names():
+    assert all(map(strange_name, ["ad", "site-footer", "cookieNotice", "share_buttons", "comments-list", "navbar"]))
+    assert not any(map(strange_name, ["notice-period", "share-price", "entry-header", "article-comments", "content", "reader", "adapter"]))
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000 + '"', '<a ">"' * 170_000, "<div>A sentence, with marks. " * 36_000, "<div>" * 200_000 + "x" + "</p></b>" * 5000,
+                                  "<b>" * 170_000 + "</i>" * 120_000, "<li><p>x" * 130_000, "<p class='" * 100_000])
+def test_ill_formed_megabytes_take_linear_time(page):
+    start = time.perf_counter()
+    main_text(page[:len(page) // 4])
+    quarter = time.perf_counter() - start
+    start = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - start < max(12 * quarter, 1)  # square growth would take sixteen times as long
+
+
 def test_generated_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in extract(pages).collect()}
@@ -70,3 +101,16 @@ def test_generated_pages(spark):
         body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|br)>", body)]
         assert got[r.page_id] == "\n".join(p for p in parts if p)
+
+
+def test_generated_pages_without_names(spark):
+    """With every region a plain div the ratios alone decide: most articles are found, and none without them."""
+    right = off = n = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        want = [x for x in (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|br)>", body)) if x]
+        page = re.sub(r"<(/?)(?:nav|header|footer|aside|form|article)\b", r"<\1div", r.html)
+        right += main_text(page).splitlines() == want
+        off += main_text(page, threshold=0).splitlines() == want
+        n += 1
+    assert right >= 0.9 * n and off == 0

@@ -79,3 +79,34 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.one_of_each_group(df).count() == 0
+
+
+def test_very_long_text_is_counted_in_pieces(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("Aa bb\tcc dd é".split(" ")) for _ in range(rng.choice([0, 1, 2, 3, 50, 400]))) for _ in range(60)] + ["word" * 200, " " * 300, "two " + "w" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    monkeypatch.setattr(simhash, "STEP_BYTES", 20)
+    monkeypatch.setattr(simhash.steps, "__defaults__", (20,))
+    monkeypatch.setattr(simhash.overlapping, "__defaults__", (20,))
+    assert {r.doc_id: r.fp % (1 << 64) for r in simhash.fingerprints(df).collect()} == want
+
+
+def test_memory_of_a_50_mb_text():
+    """Peak of the process while one text of 50 MB gets its fingerprint, its shingle set and its language sums."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import resource, numpy as np
+from gridmark.llm import language, similar, simhash
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+data = np.frombuffer((b"some words of a long text %d " * 1_700_000)[:50_000_000], np.uint8)
+offsets = np.array([0, len(data)])
+simhash._fingerprints(data, offsets, 3, 42); similar._sets(data, offsets, 5)
+language._class_sums(data, offsets, np.ones((1 << 15, 4), np.float32))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    assert int(out.stdout) < 1000
