@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridmark.functions.scalars import cleared, safe_div
-from gridmark.operators.raster import KEYS, centre, disk, focal
+from gridmark.functions.scalars import cleared, safe_div, snapped
+from gridmark.operators.blocks import BLOCK, Block, extreme, over_blocks
+from gridmark.operators.raster import KEYS, disk
 
 POOLED = "__pooled__"
 COUNTS = ("tp", "n_pred", "hits_p", "hits_r")
@@ -65,40 +69,51 @@ def ge_counts(df: DataFrame, value: Column, thresholds: Sequence[float], group:
     return tail_counts(bucket_counts(df, value, thresholds, group), thresholds, group)
 
 
-def outline_neighbourhood(prob_px: DataFrame, tolerance: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Each pixel with the maximum probability and any truth within the tolerance disk.
-
-    Columns that are constant per image (the dataset, say) travel as extra ``keys``.
-    """
-    flags = prob_px.withColumn("t", F.col("true").cast("int"))
-    near = focal(flags, disk(tolerance),
-                 [centre(F.col("prob")).alias("prob"), centre(F.col("t")).alias("t"),
-                  F.max("prob").alias("prob_near"), F.max("t").alias("t_near")],
-                 ["prob", "t"], keys)
-    return near.select(*keys, "y", "x", "prob", "prob_near", (F.col("t") == 1).alias("true"),
-                       (F.col("t_near") == 1).alias("true_near"))
-
-
-def sweep_buckets(near: DataFrame, thresholds: Sequence[float], group: Sequence[str] = ("dataset",)) -> DataFrame:
+def block_buckets(prob_px: DataFrame, thresholds: Sequence[float], tolerance: int = 2, group: str = "dataset",
+                  keys: Sequence[str] = KEYS, size: int = BLOCK) -> DataFrame:
     """Histograms and totals per ``(group, bucket)``; the only table that leaves the pixel scan.
 
-    Mergeable: sums (and min/max) of these rows over batches, streams or partitions are the rows
-    of the whole.  A tile is counted at its origin pixel, so no distinct count is needed.
+    A pixel goes once to its block, with probability and truth; the group, which is constant per image,
+    travels on the first pixels of block rows only.  The block counts its own pixels, so what is shuffled
+    on is a few rows a block.  Mergeable: sums (and min/max) of these rows over batches, streams or
+    partitions are the rows of the whole.  A tile is counted at its origin pixel.
     """
-    own, wide = cleared(F.col("prob"), thresholds), cleared(F.col("prob_near"), thresholds)
-    t = F.col("true").cast("int")
-    zero, p = F.lit(0), F.col("prob").cast("double")
-    first = ((F.col("y") == 0) & (F.col("x") == 0)).cast("int")
-    here = dict(bucket=own, tp=t, n_pred=F.lit(1), hits_p=F.col("true_near").cast("int"), hits_r=zero,
-                tiles=first, total_px=F.lit(1), true_px=t, prob_sum=p, prob_min=F.col("prob"), prob_max=F.col("prob"))
-    disk_max = dict(bucket=wide, tp=zero, n_pred=zero, hits_p=zero, hits_r=t, tiles=zero, total_px=zero,
-                    true_px=zero, prob_sum=F.lit(0.0), prob_min=F.lit(None).cast("float"),
-                    prob_max=F.lit(None).cast("float"))
-    cells = F.array(*[F.struct(*[v.alias(k) for k, v in cell.items()]) for cell in (here, disk_max)])
-    flat = near.select(*group, F.explode(cells).alias("c")).select(*group, "c.*")
-    return flat.groupBy(*group, "bucket").agg(
-        *[F.sum(c).alias(c) for c in (*COUNTS, *TOTALS)],
-        F.min("prob_min").alias("prob_min"), F.max("prob_max").alias("prob_max"))
+    grid = np.array(snapped(thresholds), np.float32)
+    offsets, levels = disk(tolerance), len(grid) + 1
+    kind = np.float64 if prob_px.schema["prob"].dataType == T.DoubleType() else np.float32
+    schema = T.StructType([T.StructField(group, prob_px.schema[group].dataType), T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in (*COUNTS, *TOTALS[:-1])],
+                           T.StructField("prob_sum", T.DoubleType()), *[T.StructField(c, prob_px.schema["prob"].dataType) for c in ("prob_min", "prob_max")]])
+
+    def run(block: Block) -> pa.Table:
+        low = kind(-np.inf)
+        prob, true = block.array("prob", low, kind), block.array("true", False, bool)
+        keep = block.inner(block.present)
+        near = block.inner(extreme(prob, offsets, low))[keep]
+        true_near = block.inner(extreme(true, offsets, False))[keep]
+        prob, true = block.inner(prob)[keep], block.inner(true)[keep]
+        own, wide = np.searchsorted(grid, prob, "right"), np.searchsorted(grid, near, "right")
+        count = lambda at, some=None: np.bincount(at if some is None else at[some], minlength=levels)
+        some = prob > low
+        sums = np.bincount(own[some], prob[some].astype(float), minlength=levels)
+        least, most = np.full(levels, np.inf, kind), np.full(levels, -np.inf, kind)
+        np.minimum.at(least, own[some], prob[some])
+        np.maximum.at(most, own[some], prob[some])
+        origin = np.zeros(levels, np.int64)
+        if keep.size and block.by == 0 and block.bx == 0 and keep[0, 0]:
+            origin[own[0]] = 1
+        n = count(own)
+        columns = dict(bucket=np.arange(levels, dtype=np.int32), tp=count(own, true), n_pred=n, hits_p=count(own, true_near), hits_r=count(wide, true),
+                       tiles=origin, total_px=n, true_px=count(own, true), prob_sum=sums)
+        used = n + columns["hits_r"] > 0
+        made = {c: pa.array(v[used]) for c, v in columns.items()}
+        none = (most == -np.inf)[used]
+        made |= {"prob_min": pa.array(least[used], mask=none), "prob_max": pa.array(most[used], mask=none)}
+        value = pa.scalar(block.constant("_group"), block.table.schema.field("_group").type)
+        return pa.table({group: pa.repeat(value, int(used.sum()))} | made)
+
+    rows = prob_px.withColumn("_group", F.when(F.col("x") % max(size, tolerance) == 0, F.col(group)))
+    parts = over_blocks(rows, ["prob", "true", "_group"], tolerance, run, schema, keys, max(size, tolerance))
+    return parts.groupBy(group, "bucket").agg(*[F.sum(c).alias(c) for c in (*COUNTS, *TOTALS)], F.min("prob_min").alias("prob_min"), F.max("prob_max").alias("prob_max"))
 
 
 def counters_from_buckets(buckets: DataFrame, thresholds: Sequence[float], group: str = "dataset") -> DataFrame:
@@ -110,8 +125,7 @@ def counters_from_buckets(buckets: DataFrame, thresholds: Sequence[float], group
 def accumulate(prob_px: DataFrame, thresholds: Sequence[float], tolerance: int = 2,
                group: str = "dataset", keys: Sequence[str] = KEYS) -> DataFrame:
     """Counters of every dataset and threshold from one pass over the pixels."""
-    near = outline_neighbourhood(prob_px, tolerance, tuple(dict.fromkeys((*keys, group))))
-    return counters_from_buckets(sweep_buckets(near, thresholds, (group,)), thresholds, group)
+    return counters_from_buckets(block_buckets(prob_px, thresholds, tolerance, group, keys), thresholds, group)
 
 
 def with_pooled(counters: DataFrame, group: str = "dataset") -> DataFrame:

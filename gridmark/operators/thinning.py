@@ -1,18 +1,21 @@
-"""One-pixel thinning (Zhang and Suen, CACM 27(3), 1984) as repeated scatter and filter."""
+"""One-pixel thinning (Zhang and Suen, CACM 27(3), 1984), several passes at once in blocks with a halo."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridmark.operators.raster import KEYS, frame, scatter
-from gridmark.session import cut
+from gridmark.operators.blocks import BLOCK, Block, pixel_schema, settled
+from gridmark.operators.raster import KEYS, frame
 
 #: neighbours clockwise from north; bit i of the neighbourhood code is CLOCKWISE[i]
 CLOCKWISE = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
-PASSES_PER_CUT = 2
+#: Full passes of a block between two exchanges with its neighbours.
+PASSES = 8
 
 
 def _removable(code: int, second: bool) -> bool:
@@ -29,31 +32,39 @@ def _rule(second: bool) -> str:
     return "".join("1" if _removable(code, second) else "0" for code in range(256))
 
 
-def _half_pass(mask: DataFrame, second: bool, keys: Sequence[str]) -> DataFrame:
-    """Every pixel tells its neighbours which of their bits it is; bits sum to the code."""
-    spread = scatter(mask, ((0, 0), *CLOCKWISE), keys=keys)
-    bit = F.lit(256)
+def _half_pass(mask: np.ndarray, rule: np.ndarray) -> np.ndarray:
+    """``mask`` without the pixels whose neighbourhood code the rule deletes; outside counts as background."""
+    h, w = mask.shape
+    padded = np.pad(mask, 1).view(np.uint8)
+    code = np.zeros((h, w), np.uint8)
     for i, (dy, dx) in enumerate(CLOCKWISE):
-        # a pixel that arrives by (-dy, -dx) sits at (dy, dx) as seen from the target
-        bit = F.when((F.col("dy") == -dy) & (F.col("dx") == -dx), F.lit(1 << i)).otherwise(bit)
-    codes = spread.groupBy(*frame(keys)).agg(F.sum(bit).alias("code"))
-    drop = F.substring(F.lit(_rule(second)), (F.col("code") - 256).cast("int") + 1, F.lit(1)) == "1"
-    return codes.filter((F.col("code") >= 256) & ~drop).select(*frame(keys))
+        code |= padded[1 + dy:1 + dy + h, 1 + dx:1 + dx + w] << np.uint8(i)
+    return mask & ~rule[code]
 
 
-def skeletonize(mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def _thinned(block: Block) -> pa.Table:
+    """Up to :data:`PASSES` passes, all of them if the block is the image; active if the last still changed the block or what is next to it."""
+    rules = [np.array([_removable(code, second) for code in range(256)]) for second in (False, True)]
+    mask = block.present
+    changed = mask & False
+    whole = block.shape == (block.height, block.width)
+    for _ in range(block.height + block.width if whole else PASSES):
+        before = mask
+        for rule in rules:
+            mask = _half_pass(mask, rule)
+        changed = before & ~mask
+        if not changed.any():
+            break
+    rows, columns = (slice(max(c.start - 2, 0), c.stop + 2) for c in block.core)
+    keep = block.inner(mask)
+    return block.pixels(keep, active=np.full(keep.shape, bool(changed[rows, columns].any())))
+
+
+def skeletonize(mask: DataFrame, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """Thin until a full pass deletes nothing.
 
-    Pixels are only ever removed, so an unchanged row count after a cut means done.
+    A block runs :data:`PASSES` passes at once, as its halo is as wide as their effects reach, and only
+    blocks whose last pass still deleted something, and their neighbours, go on.
     """
-    state = cut(mask.select(*frame(keys)))
-    size = state.count()
-    while size:
-        for _ in range(PASSES_PER_CUT):
-            state = _half_pass(_half_pass(state, False, keys), True, keys)
-        state = cut(state)
-        left = state.count()
-        if left == size:
-            break
-        size = left
-    return state
+    schema = pixel_schema(mask, keys, active=T.BooleanType())
+    return settled(mask.select(*frame(keys)), [], 2 * PASSES + 2, _thinned, schema, keys, block).select(*frame(keys))

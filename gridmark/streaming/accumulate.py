@@ -25,8 +25,7 @@ def accumulate_stream(stream: DataFrame, folder: str, thresholds: Sequence[float
         px = prepare(batch) if prepare else batch
         sizes = px.groupBy(*IMAGE, "height", "width").agg(F.count("*").alias("n"))
         require_none(sizes.filter("n <> height * width"), "a batch holds part of a tile")
-        near = sweepcounts.outline_neighbourhood(px, tolerance, IMAGE)
-        sweepcounts.sweep_buckets(near, thresholds).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
+        sweepcounts.block_buckets(px, thresholds, tolerance, keys=IMAGE).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(**(trigger or {"availableNow": True})).start())
