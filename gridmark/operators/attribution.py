@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmark.functions.scalars import safe_div
+from gridmark.operators.blocks import BLOCK, Block, over_blocks, pixel_schema, shifted
 from gridmark.operators.partition_scores import dominant_share
-from gridmark.operators.raster import KEYS, SQUARE, dilate, disk, frame, scatter
+from gridmark.operators.raster import KEYS, SQUARE, dilate, disk, frame
 from gridmark.operators.summaries import quantiles
 
 CLASSES = ("TINY", "MERGED", "SPLIT", "OTHER")
@@ -24,6 +27,40 @@ def classify(table: DataFrame, tiny_area: int, keys: Sequence[str] = KEYS, iou:
     return missed.withColumn("class", F.when(F.col("area") < tiny_area, "TINY").otherwise(F.col("natural")))
 
 
+def outline_regions(regions: DataFrame, outline: DataFrame, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
+    """``(keys, y, x, region)``: the different regions in the 3 x 3 of every outline pixel.
+
+    A region pixel goes to its block once; only outline pixels look around, and only what they see leaves.
+    """
+    k = [*keys, "y", "x"]
+    marked = regions.select(*frame(keys), "region", F.lit(False).alias("line")).unionByName(
+        outline.select(*frame(keys), F.lit(None).cast(regions.schema["region"].dataType).alias("region"), F.lit(True).alias("line")))
+    schema = pixel_schema(regions, keys, region=regions.schema["region"].dataType)
+
+    def run(b: Block) -> pa.Table:
+        # an outline pixel may be a region pixel too, so the two are laid down apart
+        line = np.zeros(b.shape, bool)
+        on = b.table.column("line").to_numpy().astype(bool)
+        line[b.y[on], b.x[on]] = True
+        region, known = np.zeros(b.shape, np.int64), np.zeros(b.shape, bool)
+        region[b.y[~on], b.x[~on]] = b.table.column("region").drop_null().to_numpy()
+        known[b.y[~on], b.x[~on]] = True
+        y, x = np.nonzero(b.inner(line))
+        y, x = y + b.core[0].start, x + b.core[1].start
+        seen, has = (np.stack([shifted(v, dy, dx, 0)[y, x] for dy, dx in SQUARE], axis=1) for v in (region, known))
+        order = np.argsort(seen, axis=1, kind="stable")
+        seen, has = np.take_along_axis(seen, order, 1), np.take_along_axis(has, order, 1)
+        first = has.copy()
+        first[:, 1:] &= (seen[:, 1:] != seen[:, :-1]) | ~has[:, :-1]
+        at, which = np.nonzero(first)
+        ints = lambda v: pa.array(v.astype(np.int32))
+        out = {"height": ints(np.full(len(at), b.height)), "width": ints(np.full(len(at), b.width)), "y": ints(y[at] + b.top), "x": ints(x[at] + b.left),
+               "region": pa.array(seen[at, which]).cast(b.table.schema.field("region").type)}
+        return b.made(len(at), out)
+
+    return over_blocks(marked, ["region", "line"], 1, run, schema, keys, block).select(*k, "region").distinct()
+
+
 def merge_gaps(missed: DataFrame, table: DataFrame, true_regions: DataFrame, true_outline: DataFrame,
                pred_outline: DataFrame, gap_tolerance: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
     """``(keys, t, interface_px, gap_px)`` of merged regions.
@@ -37,9 +74,7 @@ def merge_gaps(missed: DataFrame, table: DataFrame, true_regions: DataFrame, tru
         raise ValueError("gap_tolerance must be >= 0")
     groups = dominant_share(table, keys).filter("dominant_share > 0.5 and rivals > 0").select(
         *k, F.col("t").alias("region"), F.col("p").alias("merge"))
-    seen = (scatter(true_regions, SQUARE, ["region"], keys).select(*k, "y", "x", "region").distinct()
-            .join(true_outline.select(*k, "y", "x"), [*k, "y", "x"], "left_semi")
-            .join(groups, [*k, "region"]))
+    seen = outline_regions(true_regions, true_outline, keys).join(groups, [*k, "region"])
     together = (seen.groupBy(*k, "y", "x", "merge").agg(F.collect_set("region").alias("regions"))
                 .filter(F.size("regions") > 1))
     near = pred_outline if gap_tolerance == 0 else dilate(pred_outline.select(*frame(keys)), disk(gap_tolerance), keys)

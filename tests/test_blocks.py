@@ -148,3 +148,16 @@ def test_proximity_and_sweep_counts(spark):
     for t in grid:
         pred = prob >= np.float32(t)
         assert got[t] == ((pred & true).sum(), pred.sum(), (pred & wide(true)).sum(), (true & wide(pred)).sum(), 1, true.size)
+
+
+def test_regions_seen_from_an_outline(spark):
+    from gridmark.operators.attribution import outline_regions
+
+    rng = np.random.default_rng(6)
+    region, line = rng.integers(0, 4, (13, 11)), rng.random((13, 11)) < 0.3
+    df = pixels(spark, 1, ("region long", region), ("line boolean", line)).filter("region > 0")
+    outline = pixels(spark, 1, ("line boolean", line)).filter("line")
+    got = {(r.y, r.x, r.region) for r in outline_regions(df, outline, block=4).collect()}
+    want = {(y, x, int(region[a, b])) for y, x in zip(*np.nonzero(line)) for a in range(y - 1, y + 2) for b in range(x - 1, x + 2)
+            if 0 <= a < 13 and 0 <= b < 11 and region[a, b]}
+    assert got == want
