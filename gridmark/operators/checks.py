@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ def rows_without(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*lacking))).filter("n_rows > 0")
 
 
+def missing_groups(df: DataFrame, have: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Groups of ``df`` that ``have`` does not list."""
+    return df.select(*group).distinct().join(have.select(*group), list(group), "left_anti")
+
+
 def outside_domain(df: DataFrame, value: str, allowed: Sequence) -> DataFrame:
     """Offending values with their counts."""
     return (df.filter(F.col(value).isNull() | ~F.col(value).isin(*allowed))
@@ -60,19 +65,57 @@ def sanity_bands(table: DataFrame, width: Column, pos_weight: Column, fraction:
         "tolerance_px": F.greatest(F.lit(1), F.round(width, 0).cast("int"))})
 
 
+#: Where a tile lies: offset, patch size, image size and padding.
+GEOMETRY = ("x", "y", "patch", "width", "height", "pad_right", "pad_bottom")
+
+
+def _faults(folds: DataFrame) -> dict[str, Column]:
+    """Marks of padded tiles and of tiles that reach out of their padded image; none where the geometry is not known."""
+    if not set(GEOMETRY) <= set(folds.columns):
+        return {"padded_": F.lit(0), "outside_": F.lit(0)}
+    x, y, patch, w, h, r, b = map(F.col, GEOMETRY)
+    inside = (x >= 0) & (y >= 0) & (x + patch <= w + r) & (y + patch <= h + b)
+    return {"padded_": ((r != 0) | (b != 0)).cast("int"), "outside_": (~F.coalesce(inside, F.lit(False))).cast("int")}
+
+
+def table_print(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``(group, n, total, mixed)``: equal for equal rows in any order or partitioning; a repeated row counts."""
+    row = F.struct(*sorted(df.columns))
+    return df.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.lit(1), row).cast("decimal(38,0)")).alias("total"),
+                                  F.sum(F.xxhash64(F.lit(2), row).cast("decimal(38,0)")).alias("mixed"))
+
+
+def rebuild_integrity(build: Callable[[DataFrame], DataFrame], source: DataFrame, partitions: int = 5) -> DataFrame:
+    """``(fold, check_name, ok, detail)`` of the rule that folds built twice, from differently dealt and ordered rows, are the same.
+
+    Only prints of the two builds meet, a row a fold; a fold that one build lacks fails.
+    """
+    order = F.xxhash64(F.lit(7), F.struct(*source.columns))
+    first = table_print(build(source), ["fold"])
+    again = table_print(build(source.repartition(partitions, order).sortWithinPartitions(order.desc())), ["fold"])
+    both = first.join(again.select("fold", *[F.col(c).alias(f"{c}_") for c in ("n", "total", "mixed")]), "fold", "full")
+    same = F.lit(True)
+    for c in ("n", "total", "mixed"):
+        same = same & F.coalesce(F.col(c) == F.col(f"{c}_"), F.lit(False))
+    return both.select("fold", F.lit("deterministic_rebuild").alias("check_name"), same.alias("ok"),
+                       F.concat_ws("/", F.coalesce("n", F.lit(0)), F.coalesce("n_", F.lit(0))).alias("detail"))
+
+
 def fold_integrity(folds: DataFrame, test_only: Sequence[str], width: float = 2.0) -> DataFrame:
     """``(fold, check_name, ok, detail)``: one row per fold and rule.
 
-    Tiles are grouped by parent first, so distinct counts never expand the whole fold.
+    Tiles are grouped by parent first, so distinct counts never expand the whole fold.  Where the folds
+    carry tile geometry (:data:`GEOMETRY`) two more rules look at it; :func:`rebuild_integrity` has the last.
     """
+    folds = folds.withColumns(_faults(folds))
     split = F.col("split")
     sides = folds.groupBy("fold", "dataset", "parent_id").agg(
         F.sum((split == "train").cast("int")).alias("train"), F.sum((split == "val").cast("int")).alias("val"),
-        F.sum(F.when(split == "train", F.col("outline_fraction"))).alias("mass"))
+        F.sum(F.when(split == "train", F.col("outline_fraction"))).alias("mass"), F.sum("padded_").alias("padded"), F.sum("outside_").alias("outside"))
     per = sides.groupBy("fold").agg(
         F.sum("train").alias("train"), F.sum("val").alias("val"), F.sum("mass").alias("mass"),
         F.sum(((F.col("train") > 0) & (F.col("val") > 0)).cast("int")).alias("shared"),
-        F.sum(F.col("dataset").isin(*test_only).cast("int")).alias("test_rows"))
+        F.sum(F.col("dataset").isin(*test_only).cast("int")).alias("test_rows"), F.sum("padded").alias("padded"), F.sum("outside").alias("outside"))
     repeats = (folds.groupBy("fold", "tile_id").agg(F.count("*").alias("n"))
                .groupBy("fold").agg(F.sum((F.col("n") > 1).cast("int")).alias("repeats")))
     mean = F.col("mass") / F.col("train")
@@ -84,6 +127,9 @@ def fold_integrity(folds: DataFrame, test_only: Sequence[str], width: float = 2.
         "parents_disjoint": (F.col("shared") == 0, F.col("shared").cast("string")),
         "pos_weight_in_band": (weight.between(max(1.0, 10.0 / width), 400.0 / width), F.round(weight, 3).cast("string")),
     }
+    if set(GEOMETRY) <= set(folds.columns):
+        rules["no_padding"] = F.col("padded") == 0, F.col("padded").cast("string")
+        rules["tile_inside_image"] = F.col("outside") == 0, F.col("outside").cast("string")
     cells = F.array(*[F.struct(F.lit(n).alias("check_name"), ok.alias("ok"), detail.alias("detail"))
                       for n, (ok, detail) in rules.items()])
     return per.join(repeats, "fold").select("fold", F.inline(cells))

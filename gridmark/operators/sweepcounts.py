@@ -36,6 +36,13 @@ def threshold_grid(lo: float, hi: float, step: float, fixed: float = 0.5) -> lis
     return sorted({round(lo + (hi - lo) * i / points, 6) for i in range(points + 1)} | {round(fixed, 6)})
 
 
+def grid_of(lo: Column, hi: Column, step: float, fixed: float = 0.5) -> Column:
+    """The array of :func:`threshold_grid` for bounds that are columns, at least one step."""
+    n = F.greatest(F.lit(1), F.round((hi - lo) / F.lit(float(step))).cast("int"))
+    points = F.transform(F.sequence(F.lit(0), n), lambda i: F.round(lo + (hi - lo) * i / n, 6))
+    return F.array_sort(F.array_distinct(F.concat(points, F.array(F.lit(round(fixed, 6))))))
+
+
 def bucket_counts(df: DataFrame, value: Column, thresholds: Sequence[float], group: Sequence[str]) -> DataFrame:
     """Histogram over the number of thresholds cleared: ``(group, bucket, n)``."""
     return df.groupBy(*group, cleared(value, thresholds).alias("bucket")).agg(F.count("*").alias("n"))

@@ -76,11 +76,15 @@ def write_outline(px: DataFrame, path: str, value: str = "value") -> None:
 SETTINGS = ("patch", "stride", "min_frac", "seed")
 
 
+def other_settings(existing: DataFrame, fresh: DataFrame, settings: Sequence[str] = SETTINGS) -> DataFrame:
+    """Settings of ``fresh`` under which no row of ``existing`` was made; none if there is no such row at all."""
+    held = existing.select(*settings).distinct()
+    return fresh.select(*settings).distinct().join(held, list(settings), "left_anti").filter(F.lit(not existing.isEmpty()))
+
+
 def merge_fold_stats(existing: DataFrame, fresh: DataFrame, settings: Sequence[str] = SETTINGS) -> DataFrame:
     """Fresh folds replace existing ones of the same name; differing tiling settings are refused."""
-    held = existing.select(*settings).distinct()
-    require_none(fresh.select(*settings).distinct().join(held, list(settings), "left_anti") if not existing.isEmpty()
-                 else fresh.limit(0).select(*settings), "fold statistics were made under other settings")
+    require_none(other_settings(existing, fresh, settings), "fold statistics were made under other settings")
     gone = fresh.select("fold").distinct()
     return existing.join(gone, "fold", "left_anti").unionByName(fresh)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridmark.functions import scalars
 from gridmark.operators import history
 from gridmark.plans import tiling
-from gridmark.session import shared_folder
+from gridmark.session import cut, shared_folder
 from gridmark.sources import reports, store
 from gridmark.streaming import accumulate
 from gridmark.workload import fixtures
@@ -85,12 +85,38 @@ def drift(spark, d):
     return reports.settings_drift(settings(spark, d, 1), settings(spark, d, 2))
 
 
-@query("S10_merge_fold_stats", "", """
-SELECT coalesce(a.fold, b.fold) AS fold, CASE WHEN a.fold IS NULL THEN 'added' WHEN b.fold IS NULL THEN 'untouched' ELSE 'replaced' END AS action
-FROM (SELECT DISTINCT o_custkey AS fold FROM orders WHERE o_orderkey % 2 = 0) a FULL OUTER JOIN (SELECT DISTINCT o_custkey AS fold FROM orders WHERE o_orderkey % 3 = 0) b ON a.fold = b.fold""")
-def merge_summary(spark, d):
-    o = fixtures.table(spark, d, "orders").select(F.col("o_custkey").alias("fold"), "o_orderkey")
-    return reports.merge_status(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0"), "fold")
+FOLD_STATS = """SELECT o_custkey % 400 AS fold, 256 AS patch, 128 AS stride, 0.005::DOUBLE AS min_frac, 7 AS seed, count(*) AS n_tiles, max(o_orderkey) AS last FROM orders WHERE {where} GROUP BY 1"""
+
+
+@query("S10_merge_fold_stats", "", f"""
+WITH a AS ({FOLD_STATS.format(where="o_orderkey % 2 = 0 AND o_custkey % 400 < 300")}), b AS ({FOLD_STATS.format(where="o_orderkey % 3 = 0 AND o_custkey % 400 >= 100")})
+SELECT fold, 'untouched' AS action, n_tiles, last FROM a ANTI JOIN b USING (fold)
+UNION ALL SELECT b.fold, CASE WHEN a.fold IS NULL THEN 'added' ELSE 'replaced' END, b.n_tiles, b.last FROM b LEFT JOIN a ON a.fold = b.fold""")
+def merge_stats(spark, d):
+    """The merged table as it is on disk after both writes, beside what became of each fold."""
+    stats = (fixtures.table(spark, d, "orders").withColumn("fold", F.col("o_custkey") % 400).groupBy("fold", F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3 == 0)
+             .agg(F.count("*").alias("n_tiles"), F.max("o_orderkey").alias("last")).toDF("fold", "even", "third", "n_tiles", "last"))
+
+    def made(where):
+        sums = stats.filter(where).groupBy("fold").agg(F.sum("n_tiles").alias("n_tiles"), F.max("last").alias("last"))
+        return sums.select("fold", F.lit(256).alias("patch"), F.lit(128).alias("stride"), F.lit(0.005).alias("min_frac"), F.lit(7).alias("seed"), "n_tiles", "last")
+
+    old, new = made("even and fold < 300"), made("third and fold >= 100")
+    path = f"{shared_folder(spark, 'fold-stats')}/stats"
+    store.write_fold_stats(old, path)
+    merged = store.merge_fold_stats(spark.read.parquet(path), new)
+    store.write_fold_stats(cut(merged), path)
+    return spark.read.parquet(path).select(F.col("fold").cast("long").alias("fold"), "n_tiles", "last").join(reports.merge_status(old, new, "fold"), "fold")
+
+
+@query("S10_refused_fold_stats", "", """
+SELECT DISTINCT patch, stride, min_frac, seed FROM (SELECT 128 + 64 * (o_orderkey % 3) AS patch, 128 AS stride, 0.005::DOUBLE AS min_frac, 7 AS seed FROM orders) WHERE patch <> 256""")
+def refused_stats(spark, d):
+    """Settings for which the merge is refused."""
+    o = fixtures.table(spark, d, "orders")
+    with_patch = lambda p, rows: rows.select(F.col("o_custkey").alias("fold"), p.cast("long").alias("patch"), F.lit(128).alias("stride"), F.lit(0.005).alias("min_frac"),
+                                             F.lit(7).alias("seed")).distinct()
+    return store.other_settings(with_patch(F.lit(256), o), with_patch(128 + F.col("o_orderkey") % 3 * 64, o)).select("patch", "stride", "min_frac", "seed")
 
 
 @query("S11_merge_extraction", "", """
@@ -142,12 +168,20 @@ def iso(spark, d):
     return fixtures.table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
 
 
-@query("F05_tile_index", "mtiles", """SELECT dataset, count(*) AS planned, count(*) FILTER (outline_fraction >= 0.3) AS kept, count(*) FILTER (outline_fraction < 0.3) AS dropped FROM mtiles GROUP BY 1""")
+@query("F05_tile_index", "mtiles", """
+SELECT dataset, images, excluded, planned, kept, dropped, parents, lost AS images_lost, parents = images - excluded AS parents_ok,
+       CASE WHEN dataset IN ('d0', 'd1') THEN most <= 1 END AS single_ok
+FROM (SELECT dataset, count(*) AS images, count(*) FILTER (out) AS excluded, sum(n)::BIGINT AS planned, sum(k)::BIGINT AS kept, sum(n - k)::BIGINT AS dropped,
+             count(*) FILTER (k > 0) AS parents, count(*) FILTER (n = 1 AND k = 0) AS lost, max(CASE WHEN NOT out THEN n END) AS most
+      FROM (SELECT dataset, image_id, image_id % 5 = 2 AS out, CASE WHEN image_id % 5 = 2 THEN 0 ELSE count(*) END AS n,
+                   CASE WHEN image_id % 5 = 2 THEN 0 ELSE count(*) FILTER (outline_fraction >= 0.3) END AS k FROM mtiles GROUP BY 1, 2) GROUP BY 1)""")
 def tile_index(spark, d):
     from gridmark.workload.q_tiling import mosaic_images
     pairs = mosaic_images(spark, d).withColumn("image_path", F.format_string("/data/%s/im%d.png", "dataset", "image_id"))
-    out = tiling.index_status(tiling.build_index(pairs, fixtures.truth(spark, d), 14, 7, minimum=0.3))
-    return out.select("dataset", "planned", "kept", "dropped")
+    excluded = pairs.filter("image_id % 5 = 2").select("dataset", F.format_string("im%d.png", "image_id").alias("source_image"))
+    index = cut(tiling.build_index(pairs, fixtures.truth(spark, d), 14, 7, minimum=0.3, excluded=excluded))
+    expected = pairs.filter("image_id % 5 <> 2").groupBy("dataset").agg(F.count("*").alias("parents"))
+    return tiling.index_report(pairs, index, expected, ["d0", "d1"])
 
 
 @query("T01_streaming_sweep", "metrics", "SELECT * FROM metrics")

@@ -85,12 +85,16 @@ def best_threshold(spark, d):
 
 
 @query("P18_threshold_grid", "scores", """
-SELECT DISTINCT round(g, 6) AS threshold FROM (
-  SELECT 0.05::DOUBLE + 0.9::DOUBLE * i / 18 AS g FROM range(0, 19) r(i)
-  UNION ALL SELECT max(p100) / 100.0::DOUBLE FROM scores)""")
+SELECT dataset, round(lo + (hi - lo) * i / n, 6) AS threshold FROM (
+  SELECT dataset, lo, hi, greatest(1, CAST(round((hi - lo) / 0.05::DOUBLE) AS INTEGER)) AS n, unnest(range(0, greatest(1, CAST(round((hi - lo) / 0.05::DOUBLE) AS INTEGER)) + 1)) AS i
+  FROM (SELECT dataset, least(0.45, greatest(0.05, min(p100) / 100.0::DOUBLE)) AS lo, greatest(0.55, least(0.95, max(p100) / 100.0::DOUBLE)) AS hi FROM scores GROUP BY 1))
+UNION SELECT DISTINCT dataset, 0.5 FROM scores""")
 def threshold_grid(spark, d):
-    top = fixtures.scores(spark, d).agg((F.max("p100") / F.lit(100.0)).alias("t")).first().t
-    return spark.createDataFrame([(t,) for t in sweepcounts.threshold_grid(0.05, 0.95, 0.05, top)], "threshold double")
+    """Each dataset's own grid, over the range its scores span."""
+    s = fixtures.scores(spark, d).groupBy("dataset").agg(F.min("p100").alias("a"), F.max("p100").alias("b"))
+    lo = F.least(F.lit(0.45), F.greatest(F.lit(0.05), F.col("a") / F.lit(100.0)))
+    hi = F.greatest(F.lit(0.55), F.least(F.lit(0.95), F.col("b") / F.lit(100.0)))
+    return s.select("dataset", F.explode(sweepcounts.grid_of(lo, hi, 0.05)).alias("threshold"))
 
 
 @query("P06_binarize", "prob_px", """

@@ -21,8 +21,12 @@ def kept_tiles(spark, d):
         "source_image", F.concat(F.lit("im"), F.expr("tile_id div 10").cast("string")))
 
 
+def folds_of(tiles_):
+    return folds.build_folds(tiles_, LODO, VAL, TEST_ONLY, 7)
+
+
 def all_folds(spark, d):
-    return folds.build_folds(kept_tiles(spark, d), LODO, VAL, TEST_ONLY, 7)
+    return folds_of(kept_tiles(spark, d))
 
 
 view("ktiles", "SELECT *, 'im' || (tile_id // 10) AS source_image FROM tiles", "tiles")
@@ -348,11 +352,14 @@ def missing_columns(spark, d):
     return checks.rows_without(t, ("tile_id", "dataset", "parent_id", "patch", "gt_path"))
 
 
-@query("U05_missing_thresholds", "tiles", """
-SELECT DISTINCT dataset AS missing FROM tiles EXCEPT SELECT * FROM (VALUES ('1-URGENT'), ('2-HIGH')) t(d)""")
+@query("U05_missing_thresholds", "folds", """
+SELECT DISTINCT fold, dataset AS missing FROM folds f WHERE NOT EXISTS (
+  SELECT 1 FROM folds t WHERE t.fold = f.fold AND t.dataset = f.dataset AND t.split = 'train' AND t.outline_fraction >= 0.05)""")
 def missing_thresholds(spark, d):
-    have = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "missing string")
-    return fixtures.tiles(spark, d).select(F.col("dataset").alias("missing")).distinct().exceptAll(have)
+    """Datasets of each fold for which its training tiles give no threshold."""
+    f = all_folds(spark, d)
+    have = f.filter("split = 'train' and outline_fraction >= 0.05D").select("fold", "dataset").distinct()
+    return checks.missing_groups(f, have, ["fold", "dataset"]).select("fold", F.col("dataset").alias("missing"))
 
 
 @query("K02_seeded_sample", "ktiles", """
@@ -423,10 +430,20 @@ SELECT fold, check_name, ok FROM (SELECT fold,
     count(DISTINCT tile_id) = count(*) AS tiles_unique,
     count(DISTINCT CASE WHEN split = 'train' THEN dataset || '|' || parent_id END) + count(DISTINCT CASE WHEN split = 'val' THEN dataset || '|' || parent_id END)
       = count(DISTINCT dataset || '|' || parent_id) AS parents_disjoint,
-    avg(outline_fraction) FILTER (split = 'train') BETWEEN 1 / 201.0::DOUBLE AND 1 / 6.0::DOUBLE AS pos_weight_in_band
-  FROM folds GROUP BY 1) UNPIVOT (ok FOR check_name IN (non_empty, test_only_absent, tiles_unique, parents_disjoint, pos_weight_in_band))""")
+    avg(outline_fraction) FILTER (split = 'train') BETWEEN 1 / 201.0::DOUBLE AND 1 / 6.0::DOUBLE AS pos_weight_in_band,
+    bool_and(256 <= 240 + parent_id) AS no_padding,
+    bool_and((tile_id % 3) * 64 + 256 <= 384 AND 256 <= greatest(256, 240 + parent_id)) AS tile_inside_image,
+    true AS deterministic_rebuild
+  FROM folds GROUP BY 1) UNPIVOT (ok FOR check_name IN (non_empty, test_only_absent, tiles_unique, parents_disjoint, pos_weight_in_band, no_padding, tile_inside_image,
+                                                       deterministic_rebuild))""")
 def integrity(spark, d):
-    return checks.fold_integrity(all_folds(spark, d), TEST_ONLY, width=2.0).select("fold", "check_name", "ok")
+    height = (240 + F.col("parent_id")).cast("int")  # low images are padded to a tile
+    placed = all_folds(spark, d).withColumns({
+        "x": (F.col("tile_id") % 3 * 64).cast("int"), "y": F.lit(0), "patch": F.lit(256), "width": F.lit(384), "height": height,
+        "pad_right": F.lit(0), "pad_bottom": tiles.padding(height, 256)})
+    rules = checks.fold_integrity(placed, TEST_ONLY, width=2.0)
+    again = checks.rebuild_integrity(folds_of, kept_tiles(spark, d))
+    return rules.unionByName(again).select("fold", "check_name", "ok")
 
 
 @query("X11_tile_id", "mplan", "SELECT dataset || '/im' || image_id || '/x' || tile_x || '_y' || tile_y AS tile_id FROM mplan")
