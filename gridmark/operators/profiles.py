@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridmark.functions.scalars import safe_div
 from gridmark.operators import components, distance
 from gridmark.operators.raster import KEYS, SQUARE, dilate, frame
-from gridmark.operators.summaries import quantiles, tally
+from gridmark.operators.summaries import describe, quantiles, tally
 from gridmark.session import cut
 
 AREA_POINTS = (5, 10, 25, 50, 75, 90, 95, 99)
@@ -30,6 +30,13 @@ def artifact_overlap(px: DataFrame, outline: DataFrame, keys: Sequence[str] = KE
                     safe_div(F.col("outline_pixels_on_outline"), F.col("outline_px")).alias("share_of_outline"))
 
 
+def artifact_rollup(per_image: DataFrame, group: str = "dataset", places: int = 6) -> DataFrame:
+    """Images with the artifact, images checked, and the spread of the outline's share on it, per group."""
+    files = per_image.groupBy(group).agg(F.sum(F.col("present").cast("bigint")).alias("files_present"), F.count("*").alias("files_checked"))
+    spread = describe(per_image, F.col("share_of_outline"), [group], places)
+    return files.join(spread.select(group, *[F.col(c).alias(f"share_{c}") for c in ("min", "median", "max")]), group, "left")
+
+
 def label_map_stats(px: DataFrame, label: str = "label", keys: Sequence[str] = KEYS) -> DataFrame:
     """Per label: pixels, share, 4-connected components with area range; structure of the majority."""
     k = list(keys)

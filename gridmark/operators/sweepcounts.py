@@ -76,6 +76,30 @@ def ge_counts(df: DataFrame, value: Column, thresholds: Sequence[float], group:
     return tail_counts(bucket_counts(df, value, thresholds, group), thresholds, group)
 
 
+def pixel_buckets(prob: np.ndarray, near: np.ndarray, true: np.ndarray, true_near: np.ndarray, grid: np.ndarray, origin: bool) -> dict[str, pa.Array]:
+    """Counter columns per bucket of some pixels in raster order, the first of them a tile's origin if ``origin``.
+
+    ``near`` and ``true_near`` are the largest probability and any truth in each pixel's disk; minus
+    infinity stands for no probability, which clears no threshold and takes no part in sums.
+    """
+    levels = len(grid) + 1
+    own, wide = np.searchsorted(grid, prob, "right"), np.searchsorted(grid, near, "right")
+    count = lambda at, some=None: np.bincount(at if some is None else at[some], minlength=levels)
+    some = prob > -np.inf
+    least, most = np.full(levels, np.inf, prob.dtype), np.full(levels, -np.inf, prob.dtype)
+    np.minimum.at(least, own[some], prob[some])
+    np.maximum.at(most, own[some], prob[some])
+    first = np.zeros(levels, np.int64)
+    if origin:
+        first[own[0]] = 1
+    n, hits_r = count(own), count(wide, true)
+    columns = dict(bucket=np.arange(levels, dtype=np.int32), tp=count(own, true), n_pred=n, hits_p=count(own, true_near), hits_r=hits_r, tiles=first, total_px=n,
+                   true_px=count(own, true), prob_sum=np.bincount(own[some], prob[some].astype(float), minlength=levels))
+    used = n + hits_r > 0
+    none = (most == -np.inf)[used]
+    return {c: pa.array(v[used]) for c, v in columns.items()} | {"prob_min": pa.array(least[used], mask=none), "prob_max": pa.array(most[used], mask=none)}
+
+
 def block_buckets(prob_px: DataFrame, thresholds: Sequence[float], tolerance: int = 2, group: str = "dataset",
                   keys: Sequence[str] = KEYS, size: int = BLOCK) -> DataFrame:
     """Histograms and totals per ``(group, bucket)``; the only table that leaves the pixel scan.
@@ -86,7 +110,7 @@ def block_buckets(prob_px: DataFrame, thresholds: Sequence[float], tolerance: in
     partitions are the rows of the whole.  A tile is counted at its origin pixel.
     """
     grid = np.array(snapped(thresholds), np.float32)
-    offsets, levels = disk(tolerance), len(grid) + 1
+    offsets = disk(tolerance)
     kind = np.float64 if prob_px.schema["prob"].dataType == T.DoubleType() else np.float32
     schema = T.StructType([T.StructField(group, prob_px.schema[group].dataType), T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in (*COUNTS, *TOTALS[:-1])],
                            T.StructField("prob_sum", T.DoubleType()), *[T.StructField(c, prob_px.schema["prob"].dataType) for c in ("prob_min", "prob_max")]])
@@ -95,28 +119,11 @@ def block_buckets(prob_px: DataFrame, thresholds: Sequence[float], tolerance: in
         low = kind(-np.inf)
         prob, true = block.array("prob", low, kind), block.array("true", False, bool)
         keep = block.inner(block.present)
-        near = block.inner(extreme(prob, offsets, low))[keep]
-        true_near = block.inner(extreme(true, offsets, False))[keep]
-        prob, true = block.inner(prob)[keep], block.inner(true)[keep]
-        own, wide = np.searchsorted(grid, prob, "right"), np.searchsorted(grid, near, "right")
-        count = lambda at, some=None: np.bincount(at if some is None else at[some], minlength=levels)
-        some = prob > low
-        sums = np.bincount(own[some], prob[some].astype(float), minlength=levels)
-        least, most = np.full(levels, np.inf, kind), np.full(levels, -np.inf, kind)
-        np.minimum.at(least, own[some], prob[some])
-        np.maximum.at(most, own[some], prob[some])
-        origin = np.zeros(levels, np.int64)
-        if keep.size and block.by == 0 and block.bx == 0 and keep[0, 0]:
-            origin[own[0]] = 1
-        n = count(own)
-        columns = dict(bucket=np.arange(levels, dtype=np.int32), tp=count(own, true), n_pred=n, hits_p=count(own, true_near), hits_r=count(wide, true),
-                       tiles=origin, total_px=n, true_px=count(own, true), prob_sum=sums)
-        used = n + columns["hits_r"] > 0
-        made = {c: pa.array(v[used]) for c, v in columns.items()}
-        none = (most == -np.inf)[used]
-        made |= {"prob_min": pa.array(least[used], mask=none), "prob_max": pa.array(most[used], mask=none)}
+        near, true_near = (block.inner(extreme(v, offsets, fill))[keep] for v, fill in ((prob, low), (true, False)))
+        first = block.by == 0 and block.bx == 0 and keep.size and keep[0, 0]
+        counted = pixel_buckets(block.inner(prob)[keep], near, block.inner(true)[keep], true_near, grid, bool(first))
         value = pa.scalar(block.constant("_group"), block.table.schema.field("_group").type)
-        return pa.table({group: pa.repeat(value, int(used.sum()))} | made)
+        return pa.table({group: pa.repeat(value, len(counted["bucket"]))} | counted)
 
     rows = prob_px.withColumn("_group", F.when(F.col("x") % max(size, tolerance) == 0, F.col(group)))
     parts = over_blocks(rows, ["prob", "true", "_group"], tolerance, run, schema, keys, max(size, tolerance))

@@ -2,33 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gridmark.functions.scalars import snapped
 from gridmark.operators import sweepcounts
-from gridmark.operators.checks import require_none
+from gridmark.operators.blocks import extreme
+from gridmark.operators.raster import disk
+from gridmark.session import settings
 
 IMAGE = ("image_id", "dataset")
+#: Pixels of the largest tile that is held as state.
+TILE_PIXELS = 1 << 24
+_COUNTERS = ("bucket int, tp long, n_pred long, hits_p long, hits_r long, tiles long, total_px long, true_px long, "
+             "prob_sum double, prob_min float, prob_max float")
+_OUT = f"image_id long, dataset string, received long, expected long, {_COUNTERS}"
+
+
+def tile_counters(stream: DataFrame, thresholds: Sequence[float], tolerance: int = 2, patience_ms: int = 600_000) -> DataFrame:
+    """Bucket counters of every tile of a pixel stream, once all its pixels have come, in whatever batches they come.
+
+    The pixels of a tile that is not whole are the state of its key; a pixel that comes twice counts
+    once.  A tile to which nothing came for ``patience_ms`` is given up: one row with what was received
+    and expected, and no counters.  A tile that comes whole again is counted again.
+    """
+    grid, offsets = np.array(snapped(thresholds), np.float32), disk(tolerance)
+    names = [x.split()[0] for x in _OUT.split(", ")]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            blank = {n: [None] for n in names}
+            yield pd.DataFrame(blank | {"image_id": [key[0]], "dataset": [key[1]], "received": [int(held["seen"].sum())], "expected": [held["seen"].size]})
+            return
+        for part in parts:
+            if not len(part):
+                continue
+            if held is None:
+                shape = int(part["height"].iloc[0]), int(part["width"].iloc[0])
+                if shape[0] * shape[1] > TILE_PIXELS:
+                    raise ValueError(f"tile {key} has {shape[0]} x {shape[1]} pixels, more than {TILE_PIXELS}")
+                held = {"seen": np.zeros(shape, bool), "prob": np.full(shape, -np.inf, np.float32), "true": np.zeros(shape, bool)}
+            y, x = part["y"].to_numpy(), part["x"].to_numpy()
+            prob = part["prob"].to_numpy(np.float32, na_value=np.nan)
+            held["seen"][y, x] = True
+            held["prob"][y, x] = np.where(np.isnan(prob), -np.inf, prob)
+            held["true"][y, x] = part["true"].to_numpy(bool)
+        if held is None:
+            return
+        if not held["seen"].all():
+            state.update((pickle.dumps(held),))
+            state.setTimeoutDuration(patience_ms)
+            return
+        if state.exists:
+            state.remove()
+        near, true_near = extreme(held["prob"], offsets, np.float32(-np.inf)), extreme(held["true"], offsets, False)
+        counted = sweepcounts.pixel_buckets(held["prob"].ravel(), near.ravel(), held["true"].ravel(), true_near.ravel(), grid, True)
+        out = pd.DataFrame({c: v.to_pandas() for c, v in counted.items()})
+        size = held["seen"].size
+        yield out.assign(image_id=key[0], dataset=key[1], received=size, expected=size)[names]
+
+    pixels = stream.select(*IMAGE, "height", "width", "y", "x", "prob", "true")
+    return pixels.groupBy(*IMAGE).applyInPandasWithState(run, _OUT, "held binary", "append", "ProcessingTimeTimeout")
 
 
 def accumulate_stream(stream: DataFrame, folder: str, thresholds: Sequence[float], tolerance: int = 2,
-                      prepare: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
-    """Write each micro-batch's bucket counters to ``folder/batch=<id>``.
+                      prepare: Callable[[DataFrame], DataFrame] | None = None, patience_ms: int = 600_000, **trigger) -> StreamingQuery:
+    """Write each micro-batch's counters to ``folder/counters/batch=<id>`` and tiles given up to ``folder/incomplete/batch=<id>``.
 
-    A batch holds whole tiles, which is checked, as a part of a tile would get wrong edges.  Its counters are a few rows per dataset and overwrite the batch's
-    own folder, so a replayed batch counts once.
+    The counters of a batch are a few rows per dataset and overwrite the batch's own folder, so a replayed
+    batch counts once.  Tiles are given up in batches that bring pixels, of any tile.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        px = prepare(batch) if prepare else batch
-        sizes = px.groupBy(*IMAGE, "height", "width").agg(F.count("*").alias("n"))
-        require_none(sizes.filter("n <> height * width"), "a batch holds part of a tile")
-        sweepcounts.block_buckets(px, thresholds, tolerance, keys=IMAGE).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
+        rows = batch.persist()
+        whole = rows.filter("bucket is not null").groupBy("dataset", "bucket").agg(
+            *[F.sum(c).alias(c) for c in (*sweepcounts.COUNTS, *sweepcounts.TOTALS)], F.min("prob_min").alias("prob_min"), F.max("prob_max").alias("prob_max"))
+        whole.write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
+        rows.filter("bucket is null").select(*IMAGE, "received", "expected").write.mode("overwrite").parquet(f"{folder}/incomplete/batch={batch_id}")
+        rows.unpersist()
 
-    return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(**(trigger or {"availableNow": True})).start())
+    counters = tile_counters(prepare(stream) if prepare else stream, thresholds, tolerance, patience_ms)
+    # a timer would else keep a stream that only works off what is there going for ever
+    with settings(stream.sparkSession, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        return (counters.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+                .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def result(spark: SparkSession, folder: str, thresholds: Sequence[float]) -> DataFrame:
@@ -40,6 +104,11 @@ def result(spark: SparkSession, folder: str, thresholds: Sequence[float]) -> Dat
     return sweepcounts.metrics_from_counts(sweepcounts.with_pooled(sweepcounts.counters_from_buckets(merged, thresholds)))
 
 
+def incomplete(spark: SparkSession, folder: str) -> DataFrame:
+    """Tiles that were given up: ``(image_id, dataset, received, expected)``."""
+    return spark.read.parquet(f"{folder}/incomplete").select(*IMAGE, "received", "expected")
+
+
 def bucket_stream(stream: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Native streaming aggregate of score buckets (complete or update mode)."""
     return sweepcounts.bucket_counts(stream, F.col("prob"), thresholds, ["dataset"])

@@ -3,28 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gridmark.operators.pairing import describe_files
+from gridmark.session import settings
+
+#: State on disk, read by key: a batch costs what it delivers, not what was delivered before.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def record_arrivals(stream: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Record image files of a ``(dataset, path)`` stream under ``folder/files``, each path once.
 
-    What is recorded is the only memory: a batch leaves out paths that other batches recorded, so the
-    stream holds no growing state, and a replayed batch replaces its own rows.
+    The paths seen are keyed state in a store on disk, so a batch asks for its own paths only and nothing
+    recorded is read again; a replayed batch finds the state of its predecessor and replaces its own rows.
     """
-    files = f"{folder}/files"
-    first = describe_files(stream.sparkSession.createDataFrame([], stream.schema))
-    recorded = T.StructType([*first.schema.fields, T.StructField("batch", T.LongType())])
-    first.write.mode("ignore").parquet(f"{files}/batch=-1")  # the table exists before the first batch asks
+    spark, files = stream.sparkSession, f"{folder}/files"
+    described = describe_files(stream).dropDuplicates(["path"])
+    describe_files(spark.createDataFrame([], stream.schema)).write.mode("ignore").parquet(f"{files}/batch=-1")  # there is a table before anything arrives
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        known = batch.sparkSession.read.schema(recorded).parquet(files).filter(F.col("batch") != batch_id)
-        new = describe_files(batch).dropDuplicates(["path"]).join(known.select("path"), "path", "left_anti").select(first.columns)
-        new.write.mode("overwrite").parquet(f"{files}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{files}/batch={batch_id}")
 
-    return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(**(trigger or {"availableNow": True})).start())
+    with settings(spark, STATE_STORE):
+        return (described.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
+                .trigger(**(trigger or {"availableNow": True})).start())

@@ -170,12 +170,10 @@ SELECT dataset, count(*) FILTER (pixels > 0) AS files_present, count(*) AS files
     EXISTS (SELECT 1 FROM px q WHERE q.image_id = t.image_id AND q.label = 3 AND abs(q.y - t.y) <= 1 AND abs(q.x - t.x) <= 1) AS near FROM truth t) GROUP BY 1, 2) GROUP BY 1""")
 def artifact_rollup(spark, d):
     from gridmark.operators.profiles import artifact_overlap
+    from gridmark.operators.profiles import artifact_rollup as artifact_rollup_of
     out = artifact_overlap(fixtures.px(spark, d).withColumn("hit", F.col("label") == 3), fixtures.truth(spark, d))
     out = out.withColumn("dataset", F.concat(F.lit("d"), (F.col("image_id") % 3).cast("string")))
-    return out.groupBy("dataset").agg(
-        F.sum(F.col("present").cast("bigint")).alias("files_present"), F.count("*").alias("files_checked"),
-        F.round(F.min("share_of_outline"), 6).alias("share_min"), F.round(F.median("share_of_outline"), 6).alias("share_median"),
-        F.round(F.max("share_of_outline"), 6).alias("share_max"))
+    return artifact_rollup_of(out, "dataset")
 
 
 # ---- components ----

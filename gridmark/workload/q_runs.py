@@ -9,7 +9,7 @@ from gridmark.operators import history
 from gridmark.plans import tiling
 from gridmark.session import cut, shared_folder
 from gridmark.sources import reports, store
-from gridmark.streaming import accumulate
+from gridmark.streaming import accumulate, arrivals
 from gridmark.workload import fixtures
 from gridmark.workload.q_sweep import GRID, RATIOS, rounded
 from gridmark.workload.registry import query
@@ -186,11 +186,29 @@ def tile_index(spark, d):
 
 @query("T01_streaming_sweep", "metrics", "SELECT * FROM metrics")
 def streaming_sweep(spark, d):
-    vectors, folder = fixtures.table(spark, d, "embeddings"), shared_folder(spark, "sweep")
-    # every file holds whole images and arrives as its own micro-batch
-    vectors.repartition(4, F.expr("vec_id div 16")).write.parquet(f"{folder}/arriving")
-    stream = spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
-    q = accumulate.accumulate_stream(stream, folder, GRID, prepare=fixtures.prob_px_of)
+    folder = shared_folder(spark, "sweep")
+    # every file holds every fourth row of all images and arrives as its own micro-batch, so no batch has a whole tile
+    pixels = fixtures.prob_px(spark, d).select("image_id", "dataset", "height", "width", "y", "x", "prob", "true")
+    for i in range(4):
+        pixels.filter(F.col("y") % 4 == i).coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    stream = spark.readStream.schema(pixels.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    q = accumulate.accumulate_stream(stream, folder, GRID)
     q.awaitTermination()
     out = accumulate.result(spark, folder, GRID)
     return rounded(out.select("dataset", "threshold", "tp", "n_pred", *RATIOS), *RATIOS)
+
+
+@query("T02_arrivals", "", """
+SELECT source AS dataset, path, regexp_extract(path, '([^/]+)[.][^./]+$', 1) AS stem FROM (
+  SELECT DISTINCT source, '/data/' || source || '/images/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.txt' ELSE '.png' END AS path FROM documents) WHERE path LIKE '%.png'""")
+def arrivals_recorded(spark, d):
+    """A listing that is delivered in three parts which overlap."""
+    folder = shared_folder(spark, "arrivals")
+    docs = fixtures.table(spark, d, "documents")
+    listing = docs.select(F.col("source").alias("dataset"), "doc_id", F.concat(F.lit("/data/"), "source", F.lit("/images/"), F.col("doc_id").cast("string"),
+                                                                               F.when(F.col("doc_id") % 10 == 0, ".txt").otherwise(".png")).alias("path"))
+    for part in ("doc_id % 3 = 0", "doc_id % 3 < 2", "doc_id % 3 > 0"):
+        listing.filter(part).select("dataset", "path").coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+    stream = spark.readStream.schema("dataset string, path string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    arrivals.record_arrivals(stream, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/files").select("dataset", "path", "stem")
