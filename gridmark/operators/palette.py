@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridmark.functions import colour
+from gridmark.operators.checks import require_none
 from gridmark.operators.raster import KEYS
 from gridmark.operators.sampling import first_per_group
 from gridmark.session import cut
@@ -231,6 +232,23 @@ def hsv_window(px: DataFrame, lo: float = 0.02, hi: float = 0.98, group: Sequenc
     return rows.select(*group, "n_pixels", wraps.alias("wraps_hue"), edge(0).alias("lower"), edge(1).alias("upper"))
 
 
+def outline_colour(verdict: DataFrame, candidate: DataFrame | None = None, group: Sequence[str] = ("dataset",)) -> DataFrame:
+    """``(group, rgb)``: the colour that passed the audit, else the dataset's ``candidate (group, rgb)``; a dataset with neither is an error."""
+    named = verdict.select(*group, F.when(F.col("mode") == "A", F.col("rgb")).alias("passed"))
+    if candidate is not None:
+        named = named.join(candidate.select(*group, F.col("rgb").alias("else_")), list(group), "left")
+    else:
+        named = named.withColumn("else_", F.lit(None).cast("int"))
+    found = named.select(*group, F.coalesce("passed", "else_").alias("rgb"))
+    require_none(found.filter("rgb is null").select(*group), "no outline colour: none passed the audit and no candidate is given")
+    return found
+
+
+def outline_window(mask_px: DataFrame, verdict: DataFrame, candidate: DataFrame | None = None, group: Sequence[str] = ("dataset",)) -> DataFrame:
+    """:func:`hsv_window` of the pixels that have the outline colour of their dataset's audit."""
+    return hsv_window(mask_px.join(outline_colour(verdict, candidate, group), [*group, "rgb"], "left_semi"), group=group)
+
+
 def fold_colours(px: DataFrame, palette: DataFrame, watched: DataFrame, enabled: bool,
                  group: Sequence[str] = ("dataset",)) -> DataFrame:
     """Labels whose palette colour is watched become label 0 when folding is on (index 0 stays)."""

@@ -18,9 +18,9 @@ def operating_point(limits: DataFrame, name: str = "none@tuned") -> DataFrame:
                          F.lit("binary_outline").alias("partition"), F.lit(False).alias("reference"))
 
 
-def evaluate(prob_px: DataFrame, limits: DataFrame) -> DataFrame:
-    """Decomposition and mean region scores per dataset at the given thresholds."""
-    return sweep(prob_px, operating_point(limits))
+def evaluate(prob_px: DataFrame, limits: DataFrame, name: str | None = None) -> DataFrame:
+    """Decomposition and mean region scores per dataset at the given thresholds, as configuration ``name``."""
+    return sweep(prob_px, operating_point(limits, name) if name else operating_point(limits))
 
 
 def attribute_false_negatives(prob_px: DataFrame, limits: DataFrame, tiny_area: int, gap_tolerance: int = 1) -> DataFrame:

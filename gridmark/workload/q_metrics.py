@@ -312,6 +312,23 @@ def mode_verdict(spark, d):
     return palette.mode_verdict(palette.tally_colours(audit.colour_tests(px)), files)
 
 
+@query("A40_window_of_audit", "votes px", """
+WITH n AS (SELECT dataset, count(DISTINCT image_id) AS n_files, min(label) AS low FROM px GROUP BY 1),
+c AS (SELECT n.dataset, CASE WHEN q >= 0.6 * n_files THEN rgb ELSE (low * 25) * 65536 + (250 - low * 25) * 256 + 100 END AS rgb FROM n
+  JOIN (SELECT dataset, rgb, files_qualifying AS q FROM votes QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY files_qualifying DESC, coalesce(thick, 1e9), rgb) = 1) v USING (dataset))
+SELECT c.dataset, count(*) AS n, greatest(c.rgb >> 16, (c.rgb >> 8) & 255, c.rgb & 255)::DOUBLE AS v_lo FROM c JOIN px p ON p.dataset = c.dataset
+  AND (p.label * 25) * 65536 + (250 - p.label * 25) * 256 + CASE WHEN p.p100 >= 90 THEN 108 ELSE 100 END = c.rgb GROUP BY 1, c.rgb""".replace("WITH n AS", ", n AS"))
+def window_of_audit(spark, d):
+    """The window of the audit's outline colour; where none passed, of the plain colour of the dataset's lowest label."""
+    px = cut(fixtures.mask_px(spark, d))
+    files = px.filter("y = 0 and x = 0").groupBy("dataset").agg(F.count("*").alias("n_files"))
+    verdict = palette.mode_verdict(palette.tally_colours(audit.colour_tests(px)), files)
+    low = F.min("label")
+    plain = px.groupBy("dataset").agg((low * 25 * 65536 + (250 - low * 25) * 256 + 100).cast("int").alias("rgb"))
+    w = palette.outline_window(px, verdict, plain)
+    return w.select("dataset", F.col("n_pixels").alias("n"), F.get("lower", F.lit(2)).alias("v_lo"))
+
+
 @query("F10_audit", "votes px cc", """
 SELECT n.dataset, n_files, CASE WHEN q >= 0.6 * n_files THEN 'A' ELSE 'B' END AS mode, rgb, q AS files_qualifying, u.n AS quantized_files, u.lo AS colours_min, u.hi AS colours_max
 FROM (SELECT dataset, count(DISTINCT image_id) AS n_files FROM px GROUP BY 1) n
@@ -406,6 +423,26 @@ def extract_status(spark, d):
     return rounded(status.drop("dataset"), "unsnapped", "raw", "open", "close", "skeleton", "outline")
 
 
+@query("G18_extract_dataset", "judged e_raw e_out e_open e_close e_skel px", f"""
+SELECT i.image_id, dataset, CASE WHEN i.image_id % 7 = 5 THEN 'rejected' ELSE 'equal' END AS size_status, reason, CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status,
+  CASE WHEN reason IS NULL THEN outline END AS outline, CASE WHEN reason IS NULL THEN pixels END AS artifact_pixels, CASE WHEN reason IS NULL THEN share END AS artifact_share
+FROM (SELECT i.*, CASE WHEN i.image_id % 7 = 3 THEN 'excluded' WHEN i.image_id % 7 = 5 THEN format('mask {{}}x{{}} does not match image {{}}x{{}} (differs by 9x0 px, tolerance 2)', width, height, width + 9, height)
+             ELSE coalesce(j.reason, CASE WHEN outline = 0 THEN 'cleaned outline is empty' END) END AS reason, s.outline
+      FROM (SELECT DISTINCT image_id, dataset, height, width FROM px) i JOIN judged j USING (image_id)
+      JOIN (SELECT i.image_id, {stage_shares("e", "e_raw")} FROM (SELECT DISTINCT image_id, height, width FROM px) i) s USING (image_id)) i
+LEFT JOIN (SELECT image_id, count(*) FILTER (label = 3) AS pixels FROM px GROUP BY 1) a USING (image_id)
+LEFT JOIN (SELECT image_id, round(count(*) FILTER (near) / count(*)::DOUBLE, 6) AS share FROM (SELECT e.image_id, EXISTS (
+  SELECT 1 FROM px q WHERE q.image_id = e.image_id AND q.label = 3 AND abs(q.y - e.y) <= 1 AND abs(q.x - e.x) <= 1) AS near FROM e_out e) GROUP BY 1) b USING (image_id)""")
+def extract_dataset(spark, d):
+    mask = cut(fixtures.mask_px(spark, d))
+    sizes = mask.filter("y = 0 and x = 0").select("image_id", "dataset", F.col("width").alias("mask_width"), F.col("height").alias("mask_height"),
+                                                  (F.col("width") + F.when(F.col("image_id") % 7 == 5, 9).otherwise(0)).alias("image_width"), F.col("height").alias("image_height"))
+    peaks = palette.derive_palette(palette.pooled_shares(palette.colour_counts(mask, IMG)), 0.002, 48.0)
+    excluded = sizes.filter("image_id % 7 = 3").select(*IMG)
+    status, _ = extract.extract_dataset(sizes, mask, excluded=excluded, artifact=F.col("label") == 3, peaks=peaks)
+    return rounded(status.select(*IMG, "size_status", "reason", "status", "outline", "artifact_pixels", "artifact_share"), "outline", "artifact_share")
+
+
 # ---- post-processing ----
 view("redilated", """SELECT DISTINCT p.image_id, p.height, p.width, p.y, p.x FROM pskel s CROSS JOIN (SELECT unnest([0, 1]) AS dy) a CROSS JOIN (SELECT unnest([0, 1]) AS dx) b JOIN px p
 ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""", "pskel px")
@@ -619,10 +656,35 @@ def run_sweep(spark, d):
     return rounded(out.select("config", "dataset", "pixel_dice", "real", "label", "pq", "n_pred_regions"), "pixel_dice", "real", "pq", "n_pred_regions")
 
 
-@query("P19_flatten_sweep_row")
+@query("P19_flatten_sweep_row", "verdict_p60 regionrow px", """
+SELECT 'operating point' AS config, v.dataset, 'test,train,val' AS split, 'none' AS mode, 0.6::DOUBLE AS threshold, 'binary_outline' AS partition, false AS reference,
+  NULL::DOUBLE AS radius, NULL::DOUBLE AS bridge, r.tiles, round(pixel_dice, 4) AS pixel_dice, round(skeleton_dice, 4) AS skeleton_dice, round(width_ratio, 4) AS width_ratio,
+  round(real, 4) AS real, round(found, 4) AS found, "label", 2::INTEGER AS tolerance_px, pq, sq, rq, over_segmentation_factor, n_true_regions, n_pred_regions, pred_fraction
+FROM verdict_p60 v JOIN (SELECT dataset, count(*) AS tiles, round(avg(pq), 4) AS pq, round(avg(sq), 4) AS sq, round(avg(rq), 4) AS rq, round(avg(over_segmentation_factor), 4) AS over_segmentation_factor,
+  round(avg(n_true_regions), 4) AS n_true_regions, round(avg(n_pred_regions), 4) AS n_pred_regions FROM regionrow GROUP BY 1) r USING (dataset)
+JOIN (SELECT dataset, round(avg(f), 4) AS pred_fraction FROM (SELECT image_id, dataset, count(*) FILTER (p100 >= 60) / count(*)::DOUBLE AS f FROM px GROUP BY 1, 2) GROUP BY 1) USING (dataset)""")
 def flatten(spark, d):
-    limits = spark.createDataFrame([("d0", 0.6), ("d1", 0.6), ("d2", 0.7)], "dataset string, threshold double")
-    return sweep.flatten(evaluate.evaluate(fixtures.prob_px(spark, d), limits))
+    limits = fixtures.px(spark, d).select("dataset").distinct().withColumn("threshold", F.lit(0.6))
+    rows = sweep.flatten(evaluate.evaluate(fixtures.prob_px(spark, d), limits, "operating point"))
+    return rounded(rows, "pixel_dice", "skeleton_dice", "width_ratio", "real", "found", "pq", "sq", "rq", "over_segmentation_factor", "n_true_regions", "n_pred_regions",
+                   "pred_fraction", places=4)
+
+
+view("splitpq", f"""SELECT r.*, CASE WHEN (image_id // 4) % 5 = 0 THEN 'val' WHEN (image_id // 4) % 5 = 1 THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT 'none' AS mode, 0 AS rank, image_id, dataset, CASE WHEN tp + 0.5 * fp + 0.5 * fn > 0 THEN s / (tp + 0.5 * fp + 0.5 * fn) ELSE 1.0 END AS pq, (tp + fp)::DOUBLE AS n FROM pqf
+  UNION ALL SELECT 'skeleton_redilate', 1, image_id, dataset, CASE WHEN tp + 0.5 * fp + 0.5 * fn > 0 THEN s / (tp + 0.5 * fp + 0.5 * fn) ELSE 1.0 END, (tp + fp)::DOUBLE FROM pqr) r""", "pqf pqr")
+
+
+@query("F09_select_then_test", "splitpq", """
+WITH c AS (SELECT dataset, mode FROM (SELECT dataset, mode, rank, avg(pq) AS pq FROM splitpq WHERE split = 'val' GROUP BY 1, 2, 3)
+  QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY round(pq, 9) DESC, rank) = 1)
+SELECT dataset, 'selected (val-best)' AS config, 'test' AS split, mode, 0.6::DOUBLE AS threshold, count(*) AS tiles, round(avg(pq), 6) AS pq, round(avg(n), 6) AS n_pred_regions
+FROM splitpq JOIN c USING (dataset, mode) WHERE split = 'test' GROUP BY ALL""".replace("WITH c AS", ", c AS"))
+def select_then_test(spark, d):
+    """The configuration that is best on validation tiles, scored once, on test tiles."""
+    px = cut(fixtures.prob_px(spark, d))
+    out = sweep.select_then_test(px.filter("split = 'val'"), px.filter("split = 'test'"), cut(sweep_configs(spark)), 2)
+    return rounded(out.select("dataset", "config", "split", "mode", "threshold", "tiles", "pq", "n_pred_regions"), "pq", "n_pred_regions")
 
 
 @query("F12_evaluate_predictions", "verdict_p60 pqf", f"""SELECT v.dataset, round(pixel_dice, 6) AS pixel_dice, "label", round(pq, 6) AS pq FROM verdict_p60 v JOIN ({MEANPQ.format(v="pqf")}) USING (dataset)""")
