@@ -117,7 +117,7 @@ def reconcile_size(pairs: DataFrame, tolerance: int = 2) -> DataFrame:
     def half(size: Column, common: Column) -> Column:
         return F.when(ok, F.floor((size - common) / 2).cast("int"))
 
-    message = F.when(~ok, F.format_string("mask %dx%d does not match image %dx%d (differs by %dx%d px, tolerance %d)",
+    message = F.when(~ok, F.format_string("sizes differ: mask %d x %d, image %d x %d, apart by %d x %d where %d is allowed",
                                           mw, mh, iw, ih, dw, dh, F.lit(tolerance)))
     return pairs.withColumns({
         "status": status, "final_width": F.when(ok, w), "final_height": F.when(ok, h),

@@ -426,7 +426,7 @@ def extract_status(spark, d):
 @query("G18_extract_dataset", "judged e_raw e_out e_open e_close e_skel px", f"""
 SELECT i.image_id, dataset, CASE WHEN i.image_id % 7 = 5 THEN 'rejected' ELSE 'equal' END AS size_status, reason, CASE WHEN reason IS NULL THEN 'ok' ELSE 'rejected' END AS status,
   CASE WHEN reason IS NULL THEN outline END AS outline, CASE WHEN reason IS NULL THEN pixels END AS artifact_pixels, CASE WHEN reason IS NULL THEN share END AS artifact_share
-FROM (SELECT i.*, CASE WHEN i.image_id % 7 = 3 THEN 'excluded' WHEN i.image_id % 7 = 5 THEN format('mask {{}}x{{}} does not match image {{}}x{{}} (differs by 9x0 px, tolerance 2)', width, height, width + 9, height)
+FROM (SELECT i.*, CASE WHEN i.image_id % 7 = 3 THEN 'excluded' WHEN i.image_id % 7 = 5 THEN format('sizes differ: mask {{}} x {{}}, image {{}} x {{}}, apart by 9 x 0 where 2 is allowed', width, height, width + 9, height)
              ELSE coalesce(j.reason, CASE WHEN outline = 0 THEN 'cleaned outline is empty' END) END AS reason, s.outline
       FROM (SELECT DISTINCT image_id, dataset, height, width FROM px) i JOIN judged j USING (image_id)
       JOIN (SELECT i.image_id, {stage_shares("e", "e_raw")} FROM (SELECT DISTINCT image_id, height, width FROM px) i) s USING (image_id)) i

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmark.session import shared_folder
-from gridmark.sources import manifest, reports, store
+from gridmark.session import cut, shared_folder
+from gridmark.sources import bitmaps, files, manifest, reports, store
 from gridmark.workload import fixtures
 from gridmark.workload.registry import query
 from gridmark.workload.views import view
@@ -128,3 +128,37 @@ def materialize(spark, d):
         row = stored.agg(F.lit(step).alias("step"), F.lit(reason).alias("reason"), F.count("*").alias("n_rows"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# ---- image files ----
+def _bitmaps(spark, d):
+    """Folder in which every mosaic stands as a colour bitmap."""
+    folder = shared_folder(spark, "bitmaps")
+    px = fixtures.mask_px(spark, d).withColumn("stem", F.concat(F.lit("im"), "image_id"))
+    cut(bitmaps.write_bitmaps(px, folder))
+    return folder
+
+
+def _all_images(folder):
+    return f"{folder}/*/images"
+
+
+@query("S01_scan_files", "px", """
+SELECT DISTINCT dataset, 'im' || image_id || '.bmp' AS name, 'im' || image_id AS stem, 54 + height * ((3 * width + 3) // 4 * 4)::BIGINT AS length FROM px""")
+def scan_files(spark, d):
+    return files.scan_files(spark, _bitmaps(spark, d)).select("dataset", "name", "stem", "length")
+
+
+@query("S02_scan_pixels", "px", """
+SELECT 'im' || image_id AS stem, y, x, CAST(label * 25 AS INTEGER) AS r, CAST(250 - label * 25 AS INTEGER) AS g, CASE WHEN p100 >= 90 THEN 108 ELSE 100 END AS b FROM px""")
+def scan_pixels(spark, d):
+    px = files.scan_pixels(spark, _all_images(_bitmaps(spark, d)))
+    return px.select(F.regexp_extract("path", "([^/]+)[.]bmp$", 1).alias("stem"), "y", "x", "r", "g", "b")
+
+
+@query("S03_image_meta", "px", """
+SELECT 'im' || image_id AS stem, 'BMP' AS format, height, width, 3 AS channels, 8 AS bit_depth, CASE WHEN bool_and(label * 25 = 250 - label * 25 AND label * 25 = CASE WHEN p100 >= 90 THEN 108 ELSE 100 END)
+  THEN 'rgb-but-gray' ELSE 'rgb' END AS colour_mode FROM px GROUP BY image_id, height, width""")
+def image_meta(spark, d):
+    meta = files.image_meta(spark, _all_images(_bitmaps(spark, d)))
+    return meta.select(F.regexp_extract("path", "([^/]+)[.]bmp$", 1).alias("stem"), "format", "height", "width", "channels", "bit_depth", "colour_mode")

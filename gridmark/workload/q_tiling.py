@@ -113,7 +113,7 @@ def crop_tile(spark, d):
 
 @query("P13_reconcile_size", "", """
 SELECT image_id, status, final_width, image_left, mask_top,
-  CASE WHEN status = 'rejected' THEN format('mask {}x{} does not match image {}x{} (differs by {}x{} px, tolerance 2)',
+  CASE WHEN status = 'rejected' THEN format('sizes differ: mask {} x {}, image {} x {}, apart by {} x {} where 2 is allowed',
        mw, mh, iw, ih, abs(iw - mw), abs(ih - mh)) END AS message
 FROM (SELECT *, CASE WHEN iw = mw AND ih = mh THEN 'equal' WHEN abs(iw - mw) > 2 OR abs(ih - mh) > 2 THEN 'rejected'
                      ELSE 'cropped' END AS status,
