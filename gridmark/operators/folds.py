@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridmark.functions.scalars import hash_order
 from gridmark.operators.summaries import describe
-from gridmark.session import cut
+from gridmark.session import cut, shared_folder
 
 SPLITS = ("train", "val", "test")
 CHUNK = 2048
@@ -121,19 +121,19 @@ def allocate_by_tile_ratio(tiles: DataFrame, fractions: Mapping[str, float], see
     chunks = [format(i, f"0{digits}x") for i in range(16 ** digits)] if digits else [""]
     carry = [totals.get(s, 0) for s in SPLITS]
     want = [fractions[s] * grand for s in SPLITS]
-    placed = guaranteed.select("dataset", "parent_id", "split")
-    if digits:  # in seeded order, so that a chunk reads its own row groups
+    if digits:  # in seeded order, so that a chunk reads its own row groups; every chunk's placement is written and the folder read once
         rest = cut(rest.repartitionByRange("h").sortWithinPartitions("h"))
-    for prefix in chunks:
-        part = rest.filter(F.startswith("h", F.lit(prefix))) if prefix else rest
-        folded = _fold_chunk(part, want, carry)
-        folded = cut(folded) if digits else folded
-        done = folded.select(F.explode("placed").alias("p")).select("p.dataset", "p.parent_id", "p.split")
-        placed = placed.unionByName(done)
-        if len(chunks) > 1:
-            last = folded.select("totals").first()
+        spark, folder = tiles.sparkSession, shared_folder(tiles.sparkSession, "placed")
+        for prefix in chunks:
+            part = f"{folder}/chunk=h{prefix}"
+            _fold_chunk(rest.filter(F.startswith("h", F.lit(prefix))), want, carry).write.parquet(part)
+            last = spark.read.parquet(part).select("totals").first()
             carry = list(last[0]) if last and last[0] else carry
-    return placed
+        folded = spark.read.parquet(folder)
+    else:
+        folded = _fold_chunk(rest, want, carry)
+    greedy = folded.select(F.explode("placed").alias("p")).select("p.dataset", "p.parent_id", "p.split")
+    return guaranteed.select("dataset", "parent_id", "split").unionByName(greedy)
 
 
 def _fold_chunk(part: DataFrame, want: Sequence[float], carry: Sequence[int]) -> DataFrame:
