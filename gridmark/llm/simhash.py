@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmark.llm.frames import narrow
 from gridmark.llm.words import LOWER, STEP_BYTES, Words, overlapping, steps
 from gridmark.operators.components import contract
 from gridmark.session import store
@@ -177,27 +176,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(lows, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(key, "fp", "component_id")
-
-
-def one_of_each_group(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller key; columns unchanged.
-
-    Of rows that share the kept key one stays.  Rows of a null key stay only where no component
-    mate has a key.
-    """
-    found = near_duplicates(docs, text, key, **settings)
-    keyed = found.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.max(F.col(key) == F.col("component_id")).alias("stays"))
-    keyed = store(keyed, "simhash-keys")
-    gone, many = narrow(keyed.filter("not stays").select(key)), keyed.filter("stays and n > 1").select(key)
-    named = docs.filter(F.col(key).isNotNull()).join(gone, key, "left_anti")
-    if many.isEmpty():
-        kept = named.select(*docs.columns)
-    else:
-        many = narrow(many)
-        kept = named.join(many, key, "left_anti").select(*docs.columns).unionByName(
-            named.join(many, key, "left_semi").select(*docs.columns).dropDuplicates([key]))
-    loose = found.filter(F.col("component_id").isNull()).select("fp").distinct()
-    if loose.isEmpty():
-        return kept
-    unnamed = docs.filter(F.col(key).isNull())
-    return kept.unionByName(unnamed.dropDuplicates([text]) if text in docs.columns else unnamed)

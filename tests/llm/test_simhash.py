@@ -66,21 +66,6 @@ def test_fingerprints_and_components_match_brute_force(spark, monkeypatch):
     assert got == want
 
 
-def test_one_of_each_group_keeps_clean_rows_and_columns(spark):
-    rows = [(1, "a b c d", "x"), (2, "a b c d", "y"), (2, "a b c d", "y"), (3, "quite another text here", "z"), (3, "quite another text here", "z"),
-            (None, "nobody else says so much", "n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
-    kept = simhash.one_of_each_group(df)
-    assert kept.columns == df.columns
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "None"]
-
-
-def test_empty_table(spark):
-    df = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(df).count() == 0
-    assert simhash.one_of_each_group(df).count() == 0
-
-
 def test_very_long_text_is_counted_in_pieces(spark, monkeypatch):
     rng = random.Random(12)
     texts = [" ".join(rng.choice("Aa bb\tcc dd é".split(" ")) for _ in range(rng.choice([0, 1, 2, 3, 50, 400]))) for _ in range(60)] + ["word" * 200, " " * 300, "two " + "w" * 300]
