@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmark.operators.raster import KEYS
-from gridmark.session import cut, discard
+from gridmark.session import cut, discard, store
 
 ROUNDS_PER_CUT = 2
 MAX_ROUNDS = 200
@@ -162,7 +162,7 @@ def contract(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*k, "a", "b"))).first())
 
-    state = cut(edges.distinct())
+    state = store(edges.distinct())
     before = mark(state)
     for _ in range(0, MAX_ROUNDS, ROUNDS_PER_CUT):
         if before[0] == 0:
@@ -170,7 +170,7 @@ def contract(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         last = state
         for _ in range(ROUNDS_PER_CUT):
             state = _star(_star(state, k, larger=True), k, larger=False)
-        state = cut(state)
+        state = store(state)
         discard(last)
         after = mark(state)
         if after == before:

@@ -97,7 +97,7 @@ def predicted_masks(prob_px: DataFrame, configs: DataFrame, width: int | None) -
     Configurations that share a post-processing shape run through it together: the loop is over
     the few distinct (mode, radius, bridge) shapes, never over configurations or tiles.
     """
-    j = prob_px.join(configs.select("dataset", *FIELDS), "dataset")
+    j = prob_px.join(F.broadcast(configs.select("dataset", *FIELDS)), "dataset")
     on = cut(j.filter(F.col("prob") >= F.col("threshold").cast("float")).select(*frame(SHAPES), "mode", "radius", "bridge"))
     out = None
     for s in configs.select("mode", "radius", "bridge").distinct().collect():
@@ -120,7 +120,7 @@ def sweep(prob_px: DataFrame, configs: DataFrame, width: int | None = None, mark
     require_none(missing, "datasets without configuration")
     truth = cut(regions.regions_from_outline(prob_px.withColumn("outline", F.col("true"))))
     pred = predicted_masks(prob_px, configs, width)
-    j = prob_px.join(configs.select("dataset", *FIELDS), "dataset")
+    j = prob_px.join(F.broadcast(configs.select("dataset", *FIELDS)), "dataset")
     scored = cut(j.join(pred.select(*SHAPES, "y", "x", F.lit(True).alias("hit")), [*SHAPES, "y", "x"], "left")
                  .select(*frame(SHAPES), "prob", "true", "partition", F.coalesce("marker", F.lit(float(marker))).alias("marker"),
                          F.coalesce("hit", F.lit(False)).alias("pred")))

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from gridmark.operators import components
-from gridmark.session import discard, scratch, shared_folder, store
+from gridmark.session import cut, discard, scratch, settings, shared_folder, store
 
 
 def folders(spark):
@@ -41,3 +41,19 @@ def test_contract_leaves_its_result_only(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
     roots = components.contract(edges, ())
     assert {r.root for r in roots.collect()} == {0} and len(folders(spark) - before) == 1
+
+
+def test_joins_of_large_cuts_are_not_planned_as_broadcasts(spark):
+    px = spark.range(1_500_000).selectExpr("id div 4096 as image_id", "cast(id div 64 % 64 as int) as y", "cast(id % 64 as int) as x")
+    one, two = cut(px), cut(px.withColumn("region", px.x % 7))  # some 0.1 bytes a row
+    joined = one.join(two, ["image_id", "y", "x"], "left")
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == 1_500_000
+
+
+def test_a_session_keeps_its_own_size_factor(spark):
+    key = "spark.sql.sources.fileCompressionFactor"
+    with settings(spark, {key: "3.0"}):
+        cut(spark.range(3))
+        assert spark.conf.get(key) == "3.0"
