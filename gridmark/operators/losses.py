@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmark.functions.scalars import safe_div
-from gridmark.operators.raster import KEYS, PLUS, SQUARE, centre, focal, frame
+from gridmark.operators.blocks import BLOCK, Block, extreme, over_blocks, pixel_schema
+from gridmark.operators.raster import KEYS, PLUS, SQUARE, focal
 
 
 def sigmoid(x: Column) -> Column:
@@ -35,32 +39,35 @@ def focal_extreme(px: DataFrame, column: str, largest: bool, offsets=SQUARE, key
     return focal(px, offsets, [pick(column).alias(column)], [column], keys)
 
 
-def soft_skeleton(px: DataFrame, columns: Sequence[str], iterations: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def soft_skeleton(px: DataFrame, columns: Sequence[str], iterations: int, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """Soft skeletons of several value columns at once: what each erosion removes beyond its opening.
 
-    Erosion is the cross-shaped minimum, dilation the 3 x 3 maximum.  All columns ride through
-    the same 2 (iterations + 1) passes.
+    Erosion is the cross-shaped minimum, dilation the 3 x 3 maximum; both ignore nulls and pixels without
+    a row.  One pass over blocks with a halo as wide as the last opening reaches.
     """
     if iterations < 1:
         raise ValueError(f"iterations must be >= 1, got {iterations}")
-    zero = F.lit(0.0)
-    state = px.select(*frame(keys), *columns, *[F.col(c).alias(f"x_{c}") for c in columns],
-                      *[zero.alias(f"k_{c}") for c in columns])
-    held = [*columns, *[f"x_{c}" for c in columns], *[f"k_{c}" for c in columns]]
-    for step in range(iterations + 1):
-        state = focal(state, PLUS, [*[centre(F.col(c)).alias(c) for c in held],
-                                    *[F.min(f"x_{c}").alias(f"e_{c}") for c in columns]], held, keys)
-        carry = [*held, *[f"e_{c}" for c in columns]]
-        state = focal(state, SQUARE, [*[centre(F.col(c)).alias(c) for c in carry],
-                                      *[F.max(f"e_{c}").alias(f"o_{c}") for c in columns]], carry, keys)
-        out = {}
+    kinds = {c: px.schema[c].dataType for c in columns}
+    schema = pixel_schema(px, keys, **kinds, **{f"skel_{c}": T.DoubleType() for c in columns})
+
+    def run(b: Block) -> pa.Table:
+        keep, out = b.inner(b.present), {}
         for c in columns:
-            delta = F.greatest(F.col(f"x_{c}") - F.col(f"o_{c}"), zero)
-            k = F.col(f"k_{c}")
-            out[f"k_{c}"] = delta if step == 0 else k + F.greatest(delta - k * delta, zero)
-            out[f"x_{c}"] = F.col(f"e_{c}")
-        state = state.withColumns(out).select(*frame(keys), *held)
-    return state.select(*frame(keys), *columns, *[F.col(f"k_{c}").alias(f"skel_{c}") for c in columns])
+            x, k = b.array(c, np.inf, np.float64), np.zeros(b.shape)  # infinite: no value
+            for step in range(iterations + 1):
+                eroded = np.where(b.present, extreme(x, PLUS, np.inf, lower=True), np.inf)
+                opened = extreme(np.where(np.isinf(eroded), -np.inf, eroded), SQUARE, -np.inf)
+                some = np.isfinite(x) & np.isfinite(opened)
+                delta = np.maximum(np.subtract(x, opened, out=np.zeros(b.shape), where=some), 0)
+                k = delta if step == 0 else k + np.maximum(delta - k * delta, 0)
+                x = eroded
+            out[f"skel_{c}"] = b.inner(k)
+        own_row = np.zeros(b.shape, np.int64)
+        own_row[b.y, b.x] = np.arange(len(b.table))
+        at = pa.array(b.inner(own_row)[keep])
+        return b.pixels(keep, **{c: b.table.column(c).combine_chunks().take(at) for c in kinds}, **out)
+
+    return over_blocks(px, list(kinds), iterations + 2, run, schema, keys, max(block, iterations + 2))
 
 
 def cldice_parts(px: DataFrame, iterations: int = 3, keys: Sequence[str] = KEYS, smooth: float = 1.0, eps: float = 1e-6) -> DataFrame:
