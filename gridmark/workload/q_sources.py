@@ -149,8 +149,12 @@ def scan_files(spark, d):
     return files.scan_files(spark, _bitmaps(spark, d)).select("dataset", "name", "stem", "length")
 
 
+# a file is a rectangle: pixels that a mosaic does not have are black in it
 @query("S02_scan_pixels", "px", """
-SELECT 'im' || image_id AS stem, y, x, CAST(label * 25 AS INTEGER) AS r, CAST(250 - label * 25 AS INTEGER) AS g, CASE WHEN p100 >= 90 THEN 108 ELSE 100 END AS b FROM px""")
+SELECT 'im' || i.image_id AS stem, i.y, i.x, coalesce(CAST(label * 25 AS INTEGER), 0) AS r, coalesce(CAST(250 - label * 25 AS INTEGER), 0) AS g,
+  CASE WHEN p100 IS NULL THEN 0 WHEN p100 >= 90 THEN 108 ELSE 100 END AS b
+FROM (SELECT image_id, y, CAST(unnest(range(width)) AS INTEGER) AS x FROM (SELECT image_id, width, CAST(unnest(range(height)) AS INTEGER) AS y FROM (SELECT DISTINCT image_id, height, width FROM px))) i
+LEFT JOIN px USING (image_id, y, x)""")
 def scan_pixels(spark, d):
     px = files.scan_pixels(spark, _all_images(_bitmaps(spark, d)))
     return px.select(F.regexp_extract("path", "([^/]+)[.]bmp$", 1).alias("stem"), "y", "x", "r", "g", "b")
