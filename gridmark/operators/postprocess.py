@@ -109,15 +109,15 @@ def bridge(skeleton: DataFrame, distance: float, keys: Sequence[str] = KEYS) ->
 
 
 def postprocess(binary: DataFrame, mode: str, width: int | None = None, radius: int | None = None,
-                bridge_px: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One mode applied to a binarized mask; images without foreground stay without."""
+                bridge_px: float | None = None, keys: Sequence[str] = KEYS, within: DataFrame | None = None) -> DataFrame:
+    """One mode applied to a binarized mask; images without foreground stay without; ``within`` as in ``raster.dilate``."""
     check_mode(mode, width, radius, bridge_px)
     if mode == "none":
         return binary.select(*frame(keys))
     if mode == "skeleton_redilate":
-        return dilate_to_width(skeletonize(binary, keys), round(float(width)), keys)
+        return dilate_to_width(skeletonize(binary, keys), round(float(width)), keys, within)
     if mode == "morph_close":
-        fat = dilate(binary, disk(round(float(radius))), keys)
-        sealed = dilate_to_width(skeletonize(fat, keys), round(float(width)), keys)
+        fat = dilate(binary, disk(round(float(radius))), keys, within)
+        sealed = dilate_to_width(skeletonize(fat, keys), round(float(width)), keys, within)
         return sealed.unionByName(binary.select(*frame(keys))).distinct()
-    return dilate_to_width(bridge(skeletonize(binary, keys), float(bridge_px), keys), round(float(width)), keys)
+    return dilate_to_width(bridge(skeletonize(binary, keys), float(bridge_px), keys), round(float(width)), keys, within)

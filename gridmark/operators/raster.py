@@ -61,9 +61,13 @@ def scatter(px: DataFrame, offsets: Sequence[Offset], carry: Sequence[str] = (),
 
 
 def focal(px: DataFrame, offsets: Sequence[Offset], aggregates: Sequence[Column],
-          carry: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Aggregate a symmetric neighbourhood into every pixel it touches."""
-    return scatter(px, offsets, carry, keys).groupBy(*frame(keys)).agg(*aggregates)
+          carry: Sequence[str], keys: Sequence[str] = KEYS, ring: bool = False) -> DataFrame:
+    """Aggregate a symmetric neighbourhood, centre included, into every pixel of ``px``; with ``ring`` into all it touches."""
+    spread = scatter(px, offsets, carry, keys).groupBy(*frame(keys))
+    if ring:
+        return spread.agg(*aggregates)
+    there = F.bool_or((F.col("dy") == 0) & (F.col("dx") == 0)).alias("_there")
+    return spread.agg(*aggregates, there).filter("_there").drop("_there")
 
 
 def centre(column: Column) -> Column:
@@ -71,13 +75,24 @@ def centre(column: Column) -> Column:
     return F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), column))
 
 
-def dilate(mask: DataFrame, offsets: Sequence[Offset] = SQUARE, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Union of the mask shifted by every offset, clipped to the image."""
-    return scatter(mask, offsets, keys=keys).select(*frame(keys)).distinct()
+def _inside(mask: DataFrame, within: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    return mask if within is None else mask.join(within.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
 
 
-def erode(mask: DataFrame, offsets: Sequence[Offset] = SQUARE, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pixels all of whose in-image neighbours are set; outside the image counts as set."""
+def dilate(mask: DataFrame, offsets: Sequence[Offset] = SQUARE, keys: Sequence[str] = KEYS, within: DataFrame | None = None) -> DataFrame:
+    """Union of the mask shifted by every offset, clipped to the image.
+
+    ``within`` holds the pixels of images that do not fill their rectangle; what has no row there is outside.
+    """
+    return _inside(scatter(mask, offsets, keys=keys).select(*frame(keys)).distinct(), within, keys)
+
+
+def erode(mask: DataFrame, offsets: Sequence[Offset] = SQUARE, keys: Sequence[str] = KEYS, within: DataFrame | None = None) -> DataFrame:
+    """Pixels all of whose in-image neighbours are set; outside the image counts as set; ``within`` as in :func:`dilate`."""
+    if within is not None:
+        marked = within.select(*frame(keys)).join(mask.select(*keys, "y", "x", F.lit(True).alias("set")), [*keys, "y", "x"], "left")
+        near = focal(marked.na.fill(False, ["set"]), offsets, [F.bool_and("set").alias("all")], ["set"], keys)
+        return near.filter("all").select(*frame(keys))
     expected = F.lit(0)
     for dy, dx in offsets:
         expected = expected + in_bounds(F.col("y") - dy, F.col("x") - dx).cast("int")
@@ -85,19 +100,19 @@ def erode(mask: DataFrame, offsets: Sequence[Offset] = SQUARE, keys: Sequence[st
     return hits.filter(F.col("hits") == expected).select(*frame(keys))
 
 
-def closing(mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return erode(dilate(mask, SQUARE, keys), SQUARE, keys)
+def closing(mask: DataFrame, keys: Sequence[str] = KEYS, within: DataFrame | None = None) -> DataFrame:
+    return erode(dilate(mask, SQUARE, keys, within), SQUARE, keys, within)
 
 
-def opening(mask: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return dilate(erode(mask, SQUARE, keys), SQUARE, keys)
+def opening(mask: DataFrame, keys: Sequence[str] = KEYS, within: DataFrame | None = None) -> DataFrame:
+    return dilate(erode(mask, SQUARE, keys, within), SQUARE, keys, within)
 
 
-def dilate_to_width(skeleton: DataFrame, width: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def dilate_to_width(skeleton: DataFrame, width: int, keys: Sequence[str] = KEYS, within: DataFrame | None = None) -> DataFrame:
     """Grow a one-pixel line to ``width``: one 2x2 step for even widths, then 3x3 steps.
 
     ``k`` 3x3 steps equal one (2k+1) square, applied here as a row pass and a column pass so
-    that the expansion is 2(2k+1) and not (2k+1) squared.
+    that the expansion is 2(2k+1) and not (2k+1) squared.  ``within`` as in :func:`dilate`.
     """
     if width < 1:
         raise ValueError(f"line width must be >= 1, got {width}")
@@ -106,11 +121,11 @@ def dilate_to_width(skeleton: DataFrame, width: int, keys: Sequence[str] = KEYS)
         out = dilate(out, CORNER, keys)
     steps = (width - 1) // 2
     if steps == 1:
-        return dilate(out, SQUARE, keys)
+        return dilate(out, SQUARE, keys, within)
     if steps > 1:
         out = dilate(out, [(0, d) for d in range(-steps, steps + 1)], keys)
         out = dilate(out, [(d, 0) for d in range(-steps, steps + 1)], keys)
-    return out
+    return _inside(out, within, keys)
 
 
 def find_outlines(labels: DataFrame, label: str = "label", keys: Sequence[str] = KEYS) -> DataFrame:

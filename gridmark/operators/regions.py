@@ -135,7 +135,7 @@ def split_lines_and_blobs(labels: DataFrame, thickness: float, label: str = "lab
     # width needs the background around each component: its own pixels plus their one-pixel ring
     from gridmark.operators.raster import SQUARE, centre, focal
 
-    ringed = focal(inside.withColumn("one", F.lit(1)), SQUARE, [centre(F.col("one")).alias("own")], ["one"], k)
+    ringed = focal(inside.withColumn("one", F.lit(1)), SQUARE, [centre(F.col("one")).alias("own")], ["one"], k, ring=True)
     widths = distance.skeleton_widths(ringed.withColumn("m", F.col("own").isNotNull()), "m", skeleton, k)
     measured = distance.line_width(widths, keys=k)
     every = inside.select(*k).distinct().join(measured, k, "left")

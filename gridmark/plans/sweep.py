@@ -101,8 +101,10 @@ def predicted_masks(prob_px: DataFrame, configs: DataFrame, width: int | None) -
     on = cut(j.filter(F.col("prob") >= F.col("threshold").cast("float")).select(*frame(SHAPES), "mode", "radius", "bridge"))
     out = None
     for s in configs.select("mode", "radius", "bridge").distinct().collect():
-        part = on.filter((F.col("mode") == s.mode) & F.col("radius").eqNullSafe(F.lit(s.radius)) & F.col("bridge").eqNullSafe(F.lit(s.bridge)))
-        done = postprocess.postprocess(part, s.mode, width, s.radius, s.bridge, SHAPES)
+        shape = (F.col("mode") == s.mode) & F.col("radius").eqNullSafe(F.lit(s.radius)) & F.col("bridge").eqNullSafe(F.lit(s.bridge))
+        # a closing thins what it dilated, which must not reach beyond the pixels there are; the other modes are clipped by their reader
+        within = j.filter(shape) if s.mode == "morph_close" else None
+        done = postprocess.postprocess(on.filter(shape), s.mode, width, s.radius, s.bridge, SHAPES, within)
         out = done if out is None else out.unionByName(done)
     return out
 

@@ -450,7 +450,7 @@ ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""", "pskel px")
 
 @query("G14_skeleton_redilate", "redilated", "SELECT image_id, y, x FROM redilated")
 def redilate(spark, d):
-    return postprocess.postprocess(mask(spark, d, 60), "skeleton_redilate", 2).select("image_id", "y", "x")
+    return postprocess.postprocess(mask(spark, d, 60), "skeleton_redilate", 2, within=fixtures.px(spark, d)).select("image_id", "y", "x")
 
 
 view("fat", """SELECT DISTINCT p.image_id, p.y, p.x FROM pred80 s CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) b JOIN px p
@@ -462,7 +462,7 @@ skeleton_view("fatskel", "fat", "fat")
 @query("G14_morph_close", "fatskel pred80 px", """SELECT image_id, y, x FROM pred80 UNION SELECT p.image_id, p.y, p.x FROM fatskel s CROSS JOIN (SELECT unnest([0, 1]) AS dy) a
 CROSS JOIN (SELECT unnest([0, 1]) AS dx) b JOIN px p ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""")
 def morph_close(spark, d):
-    return postprocess.postprocess(mask(spark, d, 80), "morph_close", 2, radius=1).select("image_id", "y", "x")
+    return postprocess.postprocess(mask(spark, d, 80), "morph_close", 2, radius=1, within=fixtures.px(spark, d)).select("image_id", "y", "x")
 
 
 skeleton_view("p80skel", "pred80", "pred80")
@@ -504,7 +504,7 @@ FROM (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, greatest(abs(qy - py),
 @query("G14_skeleton_bridge", "bridged px", """SELECT DISTINCT p.image_id, p.y, p.x FROM bridged s CROSS JOIN (SELECT unnest([0, 1]) AS dy) a CROSS JOIN (SELECT unnest([0, 1]) AS dx) b JOIN px p
 ON p.image_id = s.image_id AND p.y = s.y + dy AND p.x = s.x + dx""")
 def skeleton_bridge(spark, d):
-    return postprocess.postprocess(mask(spark, d, 80), "skeleton_bridge", 2, bridge_px=5.0).select("image_id", "y", "x")
+    return postprocess.postprocess(mask(spark, d, 80), "skeleton_bridge", 2, bridge_px=5.0, within=fixtures.px(spark, d)).select("image_id", "y", "x")
 
 
 # ---- watershed ----

@@ -121,13 +121,13 @@ def degree(spark, d):
 
 @query("G02_erode", "eroded", "SELECT * FROM eroded")
 def erode(spark, d):
-    return raster.erode(mask(spark, d, 60)).select("image_id", "y", "x")
+    return raster.erode(mask(spark, d, 60), within=fixtures.px(spark, d)).select("image_id", "y", "x")
 
 
 @query("G02_open", "eroded px", """
 SELECT DISTINCT p.image_id, p.y, p.x FROM px p JOIN eroded e ON e.image_id = p.image_id AND abs(e.y - p.y) <= 1 AND abs(e.x - p.x) <= 1""")
 def opened(spark, d):
-    return raster.opening(mask(spark, d, 60)).select("image_id", "y", "x")
+    return raster.opening(mask(spark, d, 60), within=fixtures.px(spark, d)).select("image_id", "y", "x")
 
 
 CLOSED = """SELECT p.image_id, p.height, p.width, p.y, p.x FROM px p WHERE NOT EXISTS (
@@ -137,7 +137,7 @@ CLOSED = """SELECT p.image_id, p.height, p.width, p.y, p.x FROM px p WHERE NOT E
 
 @query("G02_close", "px close_d", "SELECT image_id, y, x FROM (" + CLOSED.format(src="close") + ")")
 def closed(spark, d):
-    return raster.closing(mask(spark, d, 70)).select("image_id", "y", "x")
+    return raster.closing(mask(spark, d, 70), within=fixtures.px(spark, d)).select("image_id", "y", "x")
 
 
 def width_sql(source: str, lo: int, hi: int) -> str:
