@@ -39,7 +39,7 @@ def shingle_hashes(w: Words, shingle: int, seed: int, short: bool, digest) -> tu
     return np.fromiter((digest(whole[s:e], seed) for s, e in zip(w.at[first].tolist(), w.to[final].tolist())), np.uint64, len(first)), w.doc[first]
 
 
-def _ones(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+def ones(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """How many hashes of every run have each bit."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
@@ -54,7 +54,7 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int
         for w in overlapping(data, shingle):
             hashes, _ = shingle_hashes(w, shingle, seed, False, digest)
             if len(hashes):
-                total += _ones(hashes, np.zeros(1, np.int64))
+                total += ones(hashes, np.zeros(1, np.int64))
                 many += len(hashes)
         if many:
             return np.packbits(total * 2 > many, axis=1, bitorder="little").reshape(-1).view(np.uint64)
@@ -64,7 +64,7 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int
     if not len(hashes):
         return out
     docs, heads, sizes = np.unique(owner, return_index=True, return_counts=True)
-    out[docs] = np.packbits(_ones(hashes, heads) * 2 > sizes[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    out[docs] = np.packbits(ones(hashes, heads) * 2 > sizes[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
     return out
 
 

@@ -1,11 +1,13 @@
-"""Groups of documents whose five-word shingles are alike: banded min-hash candidates, every link checked on the shingles.
+"""Groups of documents whose five-word shingles are alike: SimHash and min-hash candidates, every link checked on the shingles.
 
-A document is the set of its shingle hashes; equal sets are one node.  Sets that agree in some band of
-minima are candidates: each bucket first checks its members against its smallest one, which is linear
+A document is the set of its shingle hashes; equal sets are one node.  Sets whose SimHash fingerprints are
+connected by three or fewer differing bits, found by the pigeonhole blocks of :mod:`gridmark.llm.simhash`,
+are one bucket; as few pairs of similarity 0.8 are that close, sets that agree in some band of minima are
+another.  Each bucket first checks its members against its smallest one, which is linear
 in the bucket and settles groups of copies.  Buckets that this leaves in several components are then
 compared member by member in chunks.  A pair of similarity s is a candidate with probability
-1 - (1 - s^5)^20, 0.9996 at 0.8, if the minima were independent; what is linked is decided on the sets
-alone.  The first pass keeps the bands only; sets are made again for the texts that meet somebody.
+1 - (1 - s^5)^20 by the bands, 0.9996 at 0.8, if the minima were independent; what is linked is decided on the
+sets alone.  The first pass keeps the bands only; sets are made again for the texts that meet somebody.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from gridmark.llm.frames import narrow
-from gridmark.llm.simhash import shingle_hashes
+from gridmark.llm.simhash import BITS, close_edges, ones, shingle_hashes
 from gridmark.llm.words import LOWER, STEP_BYTES, Words, overlapping, steps
 from gridmark.operators.components import contract
 from gridmark.session import scratch, store
 
 SHINGLE, LEAST, BANDS, WIDTH, SEED = 5, 0.8, 20, 5, 42
+#: Bits in which linked fingerprints differ at most, and hashes whose bits are counted at once.
+MAX_BITS, PIECE = 3, 1 << 14
 #: Sets of one bucket that one group holds at most, and members of one center that one task checks.
 CHUNK = 1024
 
@@ -66,17 +70,31 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of non-empty sets: a bit is 1 if it is in over half of the hashes, mixed to 64 bits."""
+    size = np.array([len(s) for s in sets])
+    flat, owner, total = np.concatenate(sets), np.repeat(np.arange(len(sets)), size), np.zeros((len(sets), BITS), np.int64)
+    for lo in range(0, len(flat), PIECE):
+        mixed = flat[lo:lo + PIECE].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+        which, heads = np.unique(owner[lo:lo + PIECE], return_index=True)
+        total[which] += ones(mixed ^ mixed >> np.uint64(31), heads)
+    return np.packbits(total * 2 > size[:, None], axis=1, bitorder="little").reshape(-1).view(np.int64)
+
+
 def _marks(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
-    """``(key, body, node, bands)`` of every row; ``body`` is the text's hash, no word: no bands."""
-    schema = docs.select(key).schema.add("body", "long").add("node", "long").add("bands", ArrayType(LongType()))
+    """``(key, body, node, fp, bands)`` of every row; ``body`` is the text's hash, no word: fp null, no bands."""
+    schema = docs.select(key).schema.add("body", "long").add("node", "long").add("fp", "long").add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in steps(batch.column(2)):
                 sets = _sets(data, offsets, shingle)
                 full = [s for s in sets if len(s)]
-                bands = iter(_bands(full).tolist() if full else [])
+                bands, fp = (iter(f(full).tolist() if full else []) for f in (_bands, _fingerprints))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), _node(sets),
+                                                  pa.array([next(fp) if len(s) else None for s in sets], pa.int64()),
                                                   pa.array([next(bands) if len(s) else [] for s in sets], pa.list_(pa.int64()))], schema.names)
 
     return docs.select(F.col(key), F.xxhash64(F.col(text)), F.col(text)).mapInArrow(run, schema)
@@ -154,9 +172,17 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     return named.join(roots, "node", "left").select(key, "body", F.coalesce("root", "node").alias("root"))
 
 
+def _buckets(marked: DataFrame) -> DataFrame:
+    """``(node, c, v)``: bucket v of band c; after the bands comes that of the fingerprints that close ones connect."""
+    near = contract(close_edges(marked.filter("fp is not null").select("fp").distinct(), MAX_BITS), ())
+    prints = marked.filter("fp is not null").select("node", "fp").distinct().join(near.withColumnRenamed("node", "fp"), "fp", "left")
+    return marked.select("node", F.posexplode("bands").alias("c", "v")).unionByName(
+        prints.select("node", F.lit(BANDS).alias("c"), F.coalesce("root", "fp").alias("v")))
+
+
 def _edges(docs: DataFrame, marked: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
     """Written edges (a, b), a > b, that connect the nodes that all pairs of similarity ``least`` in a common bucket connect."""
-    rows = marked.select("node", F.posexplode("bands").alias("c", "v"))
+    rows = _buckets(marked)
     crowded = rows.groupBy("c", "v").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").drop("high")
     members = store(rows.join(crowded, ["c", "v"]).distinct(), "similar-members")
     pairs = store(members.filter("node > low").select("node", "low").distinct(), "similar-pairs")
