@@ -14,6 +14,7 @@ from gridmark.operators.blocks import BLOCK, Block, over_blocks, pixel_schema, s
 from gridmark.operators.partition_scores import dominant_share
 from gridmark.operators.raster import KEYS, SQUARE, dilate, disk, frame
 from gridmark.operators.summaries import quantiles
+from gridmark.session import cut
 
 CLASSES = ("TINY", "MERGED", "SPLIT", "OTHER")
 POINTS = (0.05, 0.25, 0.50, 0.75, 0.95)
@@ -89,9 +90,10 @@ def summarise(missed: DataFrame, gaps: DataFrame, sizes: DataFrame, group: Seque
               keys: Sequence[str] = KEYS) -> DataFrame:
     """Class counts and fractions, percentiles of areas and gaps, pooled gap share per group.
 
-    ``sizes(group, tiles, n_true)`` supplies the denominators.
+    ``sizes(group, tiles, n_true)`` supplies the denominators.  The joined rows are written once: counts and
+    every percentile read them again.
     """
-    g, rows = list(group), missed.join(gaps, [*keys, "t"], "left")
+    g, rows = list(group), cut(missed.join(gaps, [*keys, "t"], "left"))
     counts = [F.sum((F.col("class") == c).cast("bigint")).alias(f"n_{c.lower()}") for c in CLASSES]
     inside = [F.sum(((F.col("class") == "TINY") & (F.col("natural") == c)).cast("bigint")).alias(f"tiny_{c.lower()}")
               for c in CLASSES[1:]]

@@ -27,11 +27,11 @@ def ranked_values(counts: DataFrame, group: Sequence[str], value: str = "v", n:
 
     Two levels: the values are dealt by ranges of (group, value), so a large group fills many parts and
     a part holds a bounded share of the table; what lies before a part comes from one number a part.
-    No group is ever in one task.
+    No group is ever in one task.  The counts are written first, as dealing by ranges reads them twice.
     """
     spark = counts.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(counts.repartitionByRange(tasks, *group, value).withColumn("part", F.spark_partition_id()))
+    dealt = cut(cut(counts).repartitionByRange(tasks, *group, value).withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy(*group, "part").agg(F.sum(n).alias("held"))
     whole = Window.partitionBy(*group)
     sums = sums.withColumns({"total": F.sum("held").over(whole),

@@ -501,10 +501,11 @@ view("gaps", """SELECT f.image_id, f.t, count(i.y) AS interface_px, count(i.y) F
 
 
 def _gaps(spark, d):
-    t = cut(true_regions(spark, d))
-    table = cut(partition_scores.contingency(partition_scores.overlay(t, pred_regions(spark, d))))
-    missed = attribution.classify(table, 20)
-    gaps = attribution.merge_gaps(missed, table, t, fixtures.truth(spark, d), mask(spark, d, 60))
+    px = cut(fixtures.prob_px(spark, d).select(*raster.frame(), "true", (F.col("p100") >= 60).alias("pred")))
+    t = cut(regions.regions_from_outline(px, "true"))
+    table = cut(partition_scores.contingency(partition_scores.overlay(t, regions.regions_from_outline(px, "pred"))))
+    missed = cut(attribution.classify(table, 20))
+    gaps = attribution.merge_gaps(missed, table, t, px.filter(F.col("true")), px.filter(F.col("pred")))
     return table, missed, gaps
 
 
