@@ -61,16 +61,30 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 EXPANSION = "1024"
 
 
+#: Bytes in memory for a byte in a shuffle: a pixel row takes 15 to 30 bytes there, some hundreds in the sorts of a window.
+SHUFFLE_EXPANSION = 16
+#: Least partition that adaptive execution makes of small ones; some ten thousand pixel rows.
+LEAST_PARTITION = 256 << 10
+
+
 def expect_expansion(spark: SparkSession) -> None:
-    """Have joins planned from sizes in memory, not from those of compressed files.
+    """Have joins and tasks planned from sizes in memory, not from those of compressed files and shuffles.
 
     Otherwise a table of millions of pixels stays below the broadcast limit and is built whole on the
-    driver.  Sides that turn out small are still broadcast, by adaptive execution, from their measured
-    sizes.  A factor the session sets itself stays.
+    driver, and adaptive execution puts pixels into as few tasks as there are cores, whose memory grows with
+    the table.  Sides that turn out small are still broadcast, by adaptive execution, from their measured
+    sizes.  A factor the session sets itself stays; its partition size is divided once.
     """
     key = "spark.sql.sources.fileCompressionFactor"
     if float(spark.conf.get(key)) == 1.0:
         spark.conf.set(key, EXPANSION)
+    key, least = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if spark.conf.get("spark.gridmark.partitionSize", None) != str(size):
+        size = max(size // SHUFFLE_EXPANSION, LEAST_PARTITION)
+        spark.conf.set(key, str(size))
+        spark.conf.set(least, str(LEAST_PARTITION))
+        spark.conf.set("spark.gridmark.partitionSize", str(size))
 
 
 def store(df: DataFrame, purpose: str = "cut") -> DataFrame:

@@ -1,5 +1,6 @@
 """What queries over larger tables cost: inputs read once, tasks dealt by sizes in memory, nothing thinned for a choice that does not need it."""
 
+from gridmark import session
 from gridmark.operators import attribution
 
 
@@ -19,3 +20,14 @@ def test_summary_reads_its_gaps_once(spark):
     out = attribution.summarise(missed, gaps, sizes).collect()
     assert [(r.n_fn, r.n_merged, r.n_tiny, r.gap, r.interface, r.gap_px_p50, r.area_p50) for r in out] == [(6, 3, 3, 9, 12, 3.0, 12.5)]
     assert seen.value == 3
+
+
+def test_tasks_are_dealt_by_sizes_in_memory(spark):
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.gridmark.partitionSize")
+    with session.settings(spark, dict(zip(keys, ("64m", "1m", "none")))):
+        for _ in range(2):  # divided once
+            session.expect_expansion(spark)
+            assert [spark.conf.get(k) for k in keys] == [str(4 << 20), str(256 << 10), str(4 << 20)]
+        with session.settings(spark, {keys[0]: "32m"}):  # a size of the session's own
+            session.expect_expansion(spark)
+            assert spark.conf.get(keys[0]) == str(2 << 20)
