@@ -682,7 +682,7 @@ SELECT dataset, 'selected (val-best)' AS config, 'test' AS split, mode, 0.6::DOU
 FROM splitpq JOIN c USING (dataset, mode) WHERE split = 'test' GROUP BY ALL""".replace("WITH c AS", ", c AS"))
 def select_then_test(spark, d):
     """The configuration that is best on validation tiles, scored once, on test tiles."""
-    px = cut(fixtures.prob_px(spark, d))
+    px = cut(fixtures.prob_px(spark, d).filter(F.col("split").isin("val", "test")))
     out = sweep.select_then_test(px.filter("split = 'val'"), px.filter("split = 'test'"), cut(sweep_configs(spark)), 2)
     return rounded(out.select("dataset", "config", "split", "mode", "threshold", "tiles", "pq", "n_pred_regions"), "pq", "n_pred_regions")
 

@@ -1,7 +1,10 @@
 """What queries over larger tables cost: inputs read once, tasks dealt by sizes in memory, nothing thinned for a choice that does not need it."""
 
+from pyspark.sql import functions as F
+
 from gridmark import session
 from gridmark.operators import attribution
+from gridmark.plans import sweep
 
 
 def test_summary_reads_its_gaps_once(spark):
@@ -31,3 +34,18 @@ def test_tasks_are_dealt_by_sizes_in_memory(spark):
         with session.settings(spark, {keys[0]: "32m"}):  # a size of the session's own
             session.expect_expansion(spark)
             assert spark.conf.get(keys[0]) == str(2 << 20)
+
+
+def test_choice_by_a_region_score_thins_no_validation_tiles(spark, monkeypatch):
+    thinned = []
+    plain = sweep.with_skeletons
+    monkeypatch.setattr(sweep, "with_skeletons", lambda px, keys: thinned.append(1) or plain(px, keys))
+    at = F.col("id") % 144
+    px = spark.range(2 * 144).select(
+        F.expr("id div 144").alias("image_id"), F.lit("d0").alias("dataset"), F.expr("if(id < 144, 'val', 'test')").alias("split"),
+        F.lit(12).alias("height"), F.lit(12).alias("width"), F.expr("cast(id % 144 div 12 as int)").alias("y"), (at % 12).cast("int").alias("x"),
+        F.when(at % 12 == 6, 0.9).otherwise(0.1).cast("float").alias("prob"), (at % 12 == 6).alias("true"))
+    configs = sweep.postprocess_grid(spark.createDataFrame([("d0", 0.5)], "dataset string, tuned double"), ("none",), (0.6, 0.95), reference=False)
+    rows = sweep.select_then_test(px.filter("split = 'val'"), px.filter("split = 'test'"), configs.filter("config not like '%tuned'"), 2).collect()
+    assert [(r.config, r.split, r.threshold, r.pq, r.pixel_dice) for r in rows] == [("selected (val-best)", "test", 0.6, 1.0, 1.0)]
+    assert len(thinned) == 1
