@@ -22,6 +22,26 @@ def narrow(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows that :func:`sieve` broadcasts at most, whatever the size of the tables, and words of 64 bits in a row: 2 ** 27 bits.
+SIEVE_ROWS, SIEVE_WORDS = 1 << 17, 16
+
+
+def sieve(df: DataFrame, keys: DataFrame, key: str, flag: str = "maybe") -> DataFrame:
+    """``df`` with a boolean ``flag`` that is false only where the hash ``key`` is not among those of ``keys``.
+
+    One bit stands for the hashes that agree in their low bits, so true may be wrong and a join has to
+    settle it; that join need not shuffle the other rows.  Once all bits are set, all rows are flagged.
+    ``key`` is a bigint that spreads over its low bits and is not null.
+    """
+    spot, word = F.pmod(F.shiftright(key, 10), F.lit(SIEVE_ROWS)), F.pmod(F.shiftright(key, 6), F.lit(SIEVE_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(key, F.lit(64)).cast("int"))
+    place = [spot.alias("sieve_spot"), word.alias("sieve_word"), bit.alias("sieve_bit")]
+    bits = keys.select(*place).groupBy("sieve_spot").agg(*[F.bit_or(F.when(F.col("sieve_word") == i, F.col("sieve_bit"))).alias(f"sieve_{i}") for i in range(SIEVE_WORDS)])
+    held = [F.when(F.col("sieve_word") == i, F.col(f"sieve_{i}").bitwiseAND(F.col("sieve_bit")) != 0) for i in range(SIEVE_WORDS)]
+    return (df.select("*", *place).join(F.broadcast(bits), "sieve_spot", "left")
+            .select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(*held, F.lit(False)).alias(flag)))
+
+
 def text_key(text: Column) -> list[Column]:
     """Two columns that name a text: 128 bits, equal for equal texts; a null text equals an empty one."""
     whole = F.coalesce(text, F.lit(""))

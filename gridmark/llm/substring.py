@@ -15,7 +15,9 @@ the corpus, so the graph is never written out edge by edge:
 4. The repeated paths and edges of a document, and edges that repeat inside it, mark its words.
 
 Each step is a grouping with partial sums or a join on (anchor, path) or on the document, so a
-passage shared by a third of all documents is a counter and never a list.  Paths are compared by
+passage shared by a third of all documents is a counter and never a list.  Before a join that keeps few
+rows of a large side, a sieve of bounded size lets most others stay where they are: texts of documents
+without repeats are not shuffled.  Paths are compared by
 128 bits (anchor hash and text hash), edges by a 128-bit hash of their text at the source.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmark.llm.frames import narrow
+from gridmark.llm.frames import narrow, sieve
 from gridmark.llm.words import Words, steps
 from gridmark.session import scratch, store
 
@@ -162,6 +164,11 @@ def _named(docs: DataFrame, text: str, key: str, *more: Column) -> DataFrame:
     return docs.select(number.alias("d"), name.alias("k"), F.col(text).alias("body"), *more)
 
 
+def _sifted(df: DataFrame, small: DataFrame, key: str, *more: str) -> DataFrame:
+    """Inner join on ``key``, a hash, and ``more``; rows that the sieve knows to meet none are not shuffled."""
+    return sieve(df, small, key).filter("maybe").drop("maybe").join(small, [key, *more])
+
+
 def repeated_paths(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``(d, k, inner, spots)``: per document with repeats the paths (start, run) whose windows repeat, all whole.
 
@@ -178,18 +185,18 @@ def _repeated(named: DataFrame, length: int, anchor: int) -> DataFrame:
     flat = found.select("d", "k", F.explode("paths").alias("p")).select("d", "k", "p.start", "p.run", "p.anchor", "p.seg")
     met = (flat.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("s"), F.max("seg").alias("t"))
            .filter("n > 1").select("anchor", (F.col("s") != F.col("t")).alias("branches")))
-    hits = store(flat.join(narrow(store(met, "anchors")), "anchor"), "hits")
+    hits = store(_sifted(flat, store(met, "anchors"), "anchor"), "hits")
     settled = hits.filter("not branches").select("d", "k", "start", "run")
     forks = hits.filter("branches").drop("branches")
     copies = store(forks.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "start", "run")).alias("p")), "forks")
     whole = forks.join(narrow(store(copies.filter("n > 1").select("anchor", "seg"), "whole")), ["anchor", "seg"]).select("d", "k", "start", "run")
     opened = store(copies.groupBy("p.d", "p.k").agg(F.collect_list(F.struct("p.start", "p.run", "n")).alias("chosen")), "opened")
-    edges = store(named.join(opened, ["d", "k"]).select("d", "k", "body", "chosen")
+    edges = store(_sifted(named, opened, "k", "d").select("d", "k", "body", "chosen")
                   .mapInArrow(_open(length), "d long, k long, place int, w1 long, w2 long, n long"), "edges")
     # a path of n = 1 stands in one row of one document; repeated rows make n > 1, so reading those twice adds nothing new
     twice = edges.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min("n").alias("least")).filter("total > 1 and least = 1").select("w1", "w2")
-    twice = narrow(store(twice, "twice"))  # written, so that a join on an edge of very many paths can be split
-    single = edges.filter("n = 1").join(twice, ["w1", "w2"]).select("d", "k", F.col("place").alias("start"), F.lit(1).alias("run"))
+    twice = store(twice, "twice")  # written, so that a join on an edge of very many paths can be split
+    single = _sifted(edges.filter("n = 1"), twice, "w1", "w2").select("d", "k", F.col("place").alias("start"), F.lit(1).alias("run"))
     marks = settled.unionByName(whole).unionByName(single).groupBy("d", "k").agg(F.collect_set(F.struct("start", "run")).alias("spots"))
     own = found.filter("inner").select("d", "k", "inner").distinct()
     return marks.join(own, ["d", "k"], "full").select("d", "k", F.coalesce("inner", F.lit(False)).alias("inner"),
@@ -225,7 +232,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     """
     rest = [c for c in docs.columns if c != text]
     inside = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
-    joined = _named(docs, text, key, inside).join(repeated_paths(docs, text, key, length, anchor), ["d", "k"], "left").select("row", "body", "inner", "spots")
+    repeats = repeated_paths(docs, text, key, length, anchor)
+    named = sieve(_named(docs, text, key, inside), repeats, "k")
+    joined = named.filter("maybe").join(repeats, ["d", "k"], "left").select("row", "body", "inner", "spots")
+    free = named.filter("not maybe").select("row", "body", *[F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("inner", "spots")])
+    joined = free.union(joined)
     schema = T.StructType([joined.schema["row"], T.StructField("body", T.StringType()), T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
                            T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])

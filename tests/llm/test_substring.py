@@ -6,8 +6,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridmark.llm import substring
+from gridmark.llm import frames, substring
+from gridmark.session import discard, scratch, settings, store
 
 
 def brute(texts, length):
@@ -48,3 +50,45 @@ def test_matches_brute_force(spark, seed):
 def test_empty_table(spark):
     out = substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string, source string"))
     assert out.columns == ["doc_id", "text", "source", "repeats"] and out.count() == 0
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=60))
+    passage = " ".join(word() for _ in range(50))
+    texts = [" ".join(word() for _ in range(150)) + (f" {passage}" if i < 6 else "") for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # as with tables whose joins are not broadcast
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}), scratch(spark) as keep:
+        docs = keep(store(df, "documents"))
+        before = shuffled(spark)
+        out = {r.doc_id: (r.repeats.n_words, r.repeats.n_removed, r.repeats.kept_sha256) for r in substring.remove_repeats(docs).collect()}
+        written = shuffled(spark) - before
+        discard(docs)
+    assert [out[i] for i in range(len(texts))] == brute(texts, 35)
+    assert sum(gone for _, gone, _ in out.values()) == 300
+    assert 0 < written < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("rows, words", [(1, 1), (3, 2)])
+def test_a_full_sieve_changes_no_result(spark, monkeypatch, rows, words):
+    monkeypatch.setattr(frames, "SIEVE_ROWS", rows)
+    monkeypatch.setattr(frames, "SIEVE_WORDS", words)
+    test_matches_brute_force(spark, 5)
+
+
+def test_sieve_flags_all_keys(spark):
+    hashes = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id", (F.col("id") * 0).alias("sieve"))
+    out = frames.sieve(hashes, hashes.filter("id % 10 = 0"), "h")
+    assert out.columns == ["h", "id", "sieve", "maybe"]
+    assert out.count() == 20_000 and out.filter("id % 10 = 0 and not maybe").count() == 0
+    assert out.filter("id % 10 != 0 and maybe").count() < 20
+    edges = spark.createDataFrame([(x,) for x in (0, -1, 63, 64, 2**63 - 1, -2**63)], "h long")
+    assert frames.sieve(edges, edges, "h").filter("maybe").count() == 6
+    assert frames.sieve(edges, edges.limit(0), "h").filter("maybe").count() == 0
