@@ -13,21 +13,24 @@ from pyspark.sql import functions as F
 from gridmark.llm import decontaminate, language, similar, substring
 from gridmark.llm.frames import table
 from gridmark.llm.queries import pack_documents
-from gridmark.session import discard, scratch, store
+from gridmark.session import bound_batches, discard, scratch, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected: no letter, or less than even odds by the calibrated model."""
+    bound_batches(spark)
     return language.accepted_rows(docs, language.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group connected by five-word shingle similarity 0.8 or more: the one with the smallest doc_id."""
+    bound_batches(spark)
     return similar.without_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words covered by repeated windows; ``n_chars`` follows where it was the length of the text."""
+    bound_batches(spark)
     cut = substring.remove_repeats(docs, marks="repeats_cut")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("repeats_cut.n_removed") > 0, F.char_length("text").cast(cut.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -41,6 +44,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
+    bound_batches(spark)
     return pack_documents(docs)
 
 

@@ -22,8 +22,8 @@ def narrow(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if rows <= limit else df
 
 
-#: Rows that :func:`sieve` broadcasts at most, whatever the size of the tables, and words of 64 bits in a row: 2 ** 27 bits.
-SIEVE_ROWS, SIEVE_WORDS = 1 << 17, 16
+#: Rows that :func:`sieve` broadcasts at most, whatever the size of the tables, and words of 64 bits in a row: 2 ** 26 bits.
+SIEVE_ROWS, SIEVE_WORDS = 1 << 17, 8
 
 
 def sieve(df: DataFrame, keys: DataFrame, key: str, flag: str = "maybe") -> DataFrame:
@@ -33,7 +33,7 @@ def sieve(df: DataFrame, keys: DataFrame, key: str, flag: str = "maybe") -> Data
     settle it; that join need not shuffle the other rows.  Once all bits are set, all rows are flagged.
     ``key`` is a bigint that spreads over its low bits and is not null.
     """
-    spot, word = F.pmod(F.shiftright(key, 10), F.lit(SIEVE_ROWS)), F.pmod(F.shiftright(key, 6), F.lit(SIEVE_WORDS))
+    spot, word = F.pmod(F.shiftright(key, 9), F.lit(SIEVE_ROWS)), F.pmod(F.shiftright(key, 6), F.lit(SIEVE_WORDS))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(key, F.lit(64)).cast("int"))
     place = [spot.alias("sieve_spot"), word.alias("sieve_word"), bit.alias("sieve_bit")]
     bits = keys.select(*place).groupBy("sieve_spot").agg(*[F.bit_or(F.when(F.col("sieve_word") == i, F.col("sieve_bit"))).alias(f"sieve_{i}") for i in range(SIEVE_WORDS)])

@@ -87,6 +87,21 @@ def expect_expansion(spark: SparkSession) -> None:
         spark.conf.set("spark.gridmark.partitionSize", str(size))
 
 
+#: Bytes of a batch that passes between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have rows of whole texts pass to Python workers in batches of a few MB, as each is there in several copies.
+
+    The default counts 10 000 rows or 64 MB.  The setting stays with the session, since what a plan
+    returns is written later; a smaller one of the session's own stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def store(df: DataFrame, purpose: str = "cut") -> DataFrame:
     """Write ``df`` once as Parquet beside the checkpoints and read it back.
 

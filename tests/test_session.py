@@ -57,3 +57,11 @@ def test_a_session_keeps_its_own_size_factor(spark):
     with settings(spark, {key: "3.0"}):
         cut(spark.range(3))
         assert spark.conf.get(key) == "3.0"
+
+
+def test_bound_batches_keeps_a_smaller_setting(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, want in (("64m", str(session.BATCH_BYTES)), ("1m", "1m")):
+        with session.settings(spark, {key: given}):
+            session.bound_batches(spark)
+            assert spark.conf.get(key).rstrip("b") in (want, "1048576" if want == "1m" else want)
