@@ -5,7 +5,7 @@ import os
 import pytest
 
 from gridmark.operators import components
-from gridmark.session import cut, discard, scratch, settings, shared_folder, store
+from gridmark.session import BATCH_BYTES, bound_batches, cut, discard, scratch, settings, shared_folder, store
 
 
 def folders(spark):
@@ -61,7 +61,7 @@ def test_a_session_keeps_its_own_size_factor(spark):
 
 def test_bound_batches_keeps_a_smaller_setting(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    for given, want in (("64m", str(session.BATCH_BYTES)), ("1m", "1m")):
-        with session.settings(spark, {key: given}):
-            session.bound_batches(spark)
-            assert spark.conf.get(key).rstrip("b") in (want, "1048576" if want == "1m" else want)
+    for given, want in (("64m", BATCH_BYTES), ("1m", 1 << 20)):
+        with settings(spark, {key: given}):
+            bound_batches(spark)
+            assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) == want
