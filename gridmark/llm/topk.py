@@ -1,11 +1,12 @@
 """Exact top-k inner-product search by exhaustive term-at-a-time accumulation.
 
-Query and candidate vectors travel as blocks of integer weights.  Candidate blocks are dealt once
-over ``lanes`` lanes and the (far fewer) query blocks are sent to every lane, so each candidate is
-moved once and a lane holds one query block and one candidate block at a time.  In a lane a pair of
-blocks is scored term by term: the non-zero query weights of a term are scattered, times the term's
-postings, into a dense score array; the best k of it are selected by partition and merged with what
-the lane has found for those queries.  The last step merges the k of each lane.
+Query and candidate vectors travel as blocks of integer weights.  Candidate blocks are dealt in turn
+over lanes and query blocks over groups of bounded size; a task works on one group in one lane.  It
+holds the group's queries and takes the lane's candidate blocks one at a time, so that its memory does
+not grow with the table; what is moved is the candidates once a group and the queries once a lane.
+A pair of blocks is scored term by term: the non-zero query weights of a term are scattered, times the
+term's postings, into a dense score array; the best k of it are selected by partition and merged with
+what the lane has found for those queries.  The last step merges the k of each lane.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmark.session import store
+from gridmark.session import bound_batches, store
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+#: Weights of the queries that a task holds, about: 16 MB.
+GROUP_WEIGHTS = 1 << 21
+#: Lanes for each core: a query is sent, and its best found, once for each.
+LANES_A_CORE = 4
 #: Queries whose scores are accumulated together, so that the score array stays in the processor's cache.
 SCORE_ROWS = 16
 _BLOCK = "block long, n int, width int, ids binary, weights binary"
@@ -97,31 +102,26 @@ def _accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def _search(k: int):
+    """Of a task's rows, query blocks first, the k best in its candidate blocks of every query."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found = None, None  # the query block at hand, its best so far: row, id, score
-
-        def made() -> pa.RecordBatch:
-            ids = np.frombuffer(now[1], np.int64)
-            row, got, score = found
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), now[0])), pa.array(row), pa.array(ids[row]), pa.array(got), pa.array(score)],
-                                              ["block", "row", "query_id", "vec_id", "score"])
-
+        held: list[list] = []  # of each query block: ids, weights, its best so far as row, id, score
         for batch in batches:
             for r in range(batch.num_rows):
-                block, n, width, ids, weights, cn, cwidth, cids, cweights = [c[r].as_py() for c in batch.columns]
-                if now is None or now[0] != block:
-                    if now is not None:
-                        yield made()
-                    now, found = (block, ids), (np.zeros(0, np.int64),) * 3
-                q, own = np.frombuffer(weights, np.int64).reshape(n, width), np.frombuffer(ids, np.int64)
-                c, theirs = np.ascontiguousarray(np.frombuffer(cweights, np.int64).reshape(cn, cwidth).T).T, np.frombuffer(cids, np.int64)
-                parts = [found]
-                for s in range(0, n, SCORE_ROWS):
-                    row, got, score = _best(_accumulate(q[s:s + SCORE_ROWS], c), theirs, own[s:s + SCORE_ROWS], k)
-                    parts.append((row + s, got, score))
-                found = _ranked(*map(np.concatenate, zip(*parts)), k)
-        if now is not None:
-            yield made()
+                asks, n, width, ids, weights = [c[r].as_py() for c in batch.columns]
+                ids, matrix = np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64).reshape(n, width)
+                if asks:
+                    held.append([ids, matrix, (np.zeros(0, np.int64),) * 3])
+                    continue
+                by_term = np.ascontiguousarray(matrix.T).T
+                for block in held:
+                    own, q, found = block
+                    parts = [found]
+                    for s in range(0, len(own), SCORE_ROWS):
+                        row, got, score = _best(_accumulate(q[s:s + SCORE_ROWS], by_term), ids, own[s:s + SCORE_ROWS], k)
+                        parts.append((row + s, got, score))
+                    block[2] = _ranked(*map(np.concatenate, zip(*parts)), k)
+        for own, _, (row, got, score) in held:
+            yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(got), pa.array(score)], ["query_id", "vec_id", "score"])
     return run
 
 
@@ -136,17 +136,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     candidate row is ranked each time; of repeated query rows one is answered, by its smallest vector.
     """
     spark = vectors.sparkSession
-    lanes = lanes or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(spark)
+    lanes = lanes or min(int(spark.conf.get("spark.sql.shuffle.partitions")), LANES_A_CORE * spark.sparkContext.defaultParallelism)
     rows = (vectors.select(F.col(key).cast("long").alias("id"), integer_weights(F.col(vector), scale).alias("w"), F.coalesce(is_query, F.lit(False)).alias("q"))
             .filter(F.col("id").isNotNull() & F.col("w").isNotNull()))
     part = F.spark_partition_id().cast("long").alias("part")
     candidates = store(rows.select("id", "w", part).mapInArrow(_blocks(CANDIDATE_BLOCK), _BLOCK), "candidates")
     asked = rows.filter("q").groupBy("id").agg(F.min("w").alias("w"))
     queries = store(asked.select("id", "w", part).mapInArrow(_blocks(QUERY_BLOCK), _BLOCK), "questions")
-    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane")
-    dealt = candidates.select(lane, F.col("n").alias("cn"), F.col("width").alias("cwidth"), F.col("ids").alias("cids"), F.col("weights").alias("cweights"))
-    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "*")
-    pairs = sent.join(dealt, "lane").select("block", "n", "width", "ids", "weights", "cn", "cwidth", "cids", "cweights")
-    found = pairs.mapInArrow(_search(k), "block long, row long, query_id long, vec_id long, score long")
+    groups = -(-(queries.agg(F.sum(F.col("n").cast("long") * F.col("width"))).first()[0] or 1) // GROUP_WEIGHTS)
+
+    def sent(blocks: DataFrame, asks: bool, own: int, others: int, cell: Column) -> DataFrame:
+        """Every block in its turn, from a place by the task that made it, and once for each of the others."""
+        turn = (F.pmod(F.xxhash64(F.shiftright("block", 33)), F.lit(own)) + F.col("block") % own) % own
+        return (blocks.select(turn.alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"), F.lit(asks).alias("asks"), "n", "width", "ids", "weights")
+                .withColumn("cell", cell.cast("int")).drop("turn", "other"))
+
+    # shuffled by the task's number: a join would be planned as a broadcast of all copies of the queries
+    cells = (sent(candidates, False, lanes, groups, F.col("other") * lanes + F.col("turn"))
+             .unionByName(sent(queries, True, groups, lanes, F.col("turn") * lanes + F.col("other")))
+             .repartitionById(lanes * groups, "cell").sortWithinPartitions(F.desc("asks")).drop("cell"))
+    found = cells.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

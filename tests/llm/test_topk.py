@@ -30,3 +30,20 @@ def test_few_candidates_and_empty_table(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_groups_of_queries_meet_every_candidate_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 3)
+    monkeypatch.setattr(topk, "GROUP_WEIGHTS", 8, raising=False)
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 5 == 0, k=3, lanes=4)
+    # a broadcast would hold every lane's copy of the queries on the driver
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    weights = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 60, 5):
+        scored = sorted((-sum(x * y for x, y in zip(weights[q], w)), c) for c, w in weights.items() if c != q)[:3]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(scored, 1)]
+    assert sorted(map(tuple, found.collect())) == want
