@@ -25,12 +25,14 @@ _COUNTERS = ("bucket int, tp long, n_pred long, hits_p long, hits_r long, tiles
 _OUT = f"image_id long, dataset string, received long, expected long, {_COUNTERS}"
 
 
-def tile_counters(stream: DataFrame, thresholds: Sequence[float], tolerance: int = 2, patience_ms: int = 600_000) -> DataFrame:
+def tile_counters(stream: DataFrame, thresholds: Sequence[float], tolerance: int = 2, patience_ms: int = 600_000, pixels: str | None = None) -> DataFrame:
     """Bucket counters of every tile of a pixel stream, once all its pixels have come, in whatever batches they come.
 
     The pixels of a tile that is not whole are the state of its key; a pixel that comes twice counts
-    once.  A tile to which nothing came for ``patience_ms`` is given up: one row with what was received
-    and expected, and no counters.  A tile that comes whole again is counted again.
+    once.  ``pixels`` names a column with the number of pixels a tile has, for tiles that do not fill
+    their rectangle: what has no row there is outside.  A tile to which nothing came for ``patience_ms``
+    is given up: one row with what was received and expected, and no counters.  A tile that comes whole
+    again is counted again.
     """
     grid, offsets = np.array(snapped(thresholds), np.float32), disk(tolerance)
     names = [x.split()[0] for x in _OUT.split(", ")]
@@ -40,7 +42,7 @@ def tile_counters(stream: DataFrame, thresholds: Sequence[float], tolerance: int
         if state.hasTimedOut:
             state.remove()
             blank = {n: [None] for n in names}
-            yield pd.DataFrame(blank | {"image_id": [key[0]], "dataset": [key[1]], "received": [int(held["seen"].sum())], "expected": [held["seen"].size]})
+            yield pd.DataFrame(blank | {"image_id": [key[0]], "dataset": [key[1]], "received": [int(held["seen"].sum())], "expected": [held["pixels"]]})
             return
         for part in parts:
             if not len(part):
@@ -49,7 +51,7 @@ def tile_counters(stream: DataFrame, thresholds: Sequence[float], tolerance: int
                 shape = int(part["height"].iloc[0]), int(part["width"].iloc[0])
                 if shape[0] * shape[1] > TILE_PIXELS:
                     raise ValueError(f"tile {key} has {shape[0]} x {shape[1]} pixels, more than {TILE_PIXELS}")
-                held = {"seen": np.zeros(shape, bool), "prob": np.full(shape, -np.inf, np.float32), "true": np.zeros(shape, bool)}
+                held = {"seen": np.zeros(shape, bool), "prob": np.full(shape, -np.inf, np.float32), "true": np.zeros(shape, bool), "pixels": int(part["pixels"].iloc[0])}
             y, x = part["y"].to_numpy(), part["x"].to_numpy()
             prob = part["prob"].to_numpy(np.float32, na_value=np.nan)
             held["seen"][y, x] = True
@@ -57,28 +59,30 @@ def tile_counters(stream: DataFrame, thresholds: Sequence[float], tolerance: int
             held["true"][y, x] = part["true"].to_numpy(bool)
         if held is None:
             return
-        if not held["seen"].all():
+        seen = held["seen"]
+        if seen.sum() < held["pixels"]:
             state.update((pickle.dumps(held),))
             state.setTimeoutDuration(patience_ms)
             return
         if state.exists:
             state.remove()
         near, true_near = extreme(held["prob"], offsets, np.float32(-np.inf)), extreme(held["true"], offsets, False)
-        counted = sweepcounts.pixel_buckets(held["prob"].ravel(), near.ravel(), held["true"].ravel(), true_near.ravel(), grid, True)
+        counted = sweepcounts.pixel_buckets(held["prob"][seen], near[seen], held["true"][seen], true_near[seen], grid, True)
         out = pd.DataFrame({c: v.to_pandas() for c, v in counted.items()})
-        size = held["seen"].size
-        yield out.assign(image_id=key[0], dataset=key[1], received=size, expected=size)[names]
+        yield out.assign(image_id=key[0], dataset=key[1], received=int(seen.sum()), expected=held["pixels"])[names]
 
-    pixels = stream.select(*IMAGE, "height", "width", "y", "x", "prob", "true")
-    return pixels.groupBy(*IMAGE).applyInPandasWithState(run, _OUT, "held binary", "append", "ProcessingTimeTimeout")
+    size = F.col("height").cast("long") * F.col("width")
+    cells = stream.select(*IMAGE, "height", "width", "y", "x", "prob", "true", (F.coalesce(pixels, size) if pixels else size).cast("long").alias("pixels"))
+    return cells.groupBy(*IMAGE).applyInPandasWithState(run, _OUT, "held binary", "append", "ProcessingTimeTimeout")
 
 
 def accumulate_stream(stream: DataFrame, folder: str, thresholds: Sequence[float], tolerance: int = 2,
-                      prepare: Callable[[DataFrame], DataFrame] | None = None, patience_ms: int = 600_000, **trigger) -> StreamingQuery:
+                      prepare: Callable[[DataFrame], DataFrame] | None = None, patience_ms: int = 600_000, pixels: str | None = None, **trigger) -> StreamingQuery:
     """Write each micro-batch's counters to ``folder/counters/batch=<id>`` and tiles given up to ``folder/incomplete/batch=<id>``.
 
     The counters of a batch are a few rows per dataset and overwrite the batch's own folder, so a replayed
-    batch counts once.  Tiles are given up in batches that bring pixels, of any tile.
+    batch counts once.  Tiles are given up in batches that bring pixels, of any tile.  ``pixels`` is that of
+    :func:`tile_counters`, a column of what ``prepare`` returns.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
@@ -88,7 +92,7 @@ def accumulate_stream(stream: DataFrame, folder: str, thresholds: Sequence[float
         rows.filter("bucket is null").select(*IMAGE, "received", "expected").write.mode("overwrite").parquet(f"{folder}/incomplete/batch={batch_id}")
         rows.unpersist()
 
-    counters = tile_counters(prepare(stream) if prepare else stream, thresholds, tolerance, patience_ms)
+    counters = tile_counters(prepare(stream) if prepare else stream, thresholds, tolerance, patience_ms, pixels)
     # a timer would else keep a stream that only works off what is there going for ever
     with settings(stream.sparkSession, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
         return (counters.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridmark.functions import scalars
@@ -187,12 +188,14 @@ def tile_index(spark, d):
 @query("T01_streaming_sweep", "metrics", "SELECT * FROM metrics")
 def streaming_sweep(spark, d):
     folder = shared_folder(spark, "sweep")
-    # every file holds every fourth row of all images and arrives as its own micro-batch, so no batch has a whole tile
-    pixels = fixtures.prob_px(spark, d).select("image_id", "dataset", "height", "width", "y", "x", "prob", "true")
+    # every file holds every fourth row of all images and arrives as its own micro-batch, so no batch has a whole tile;
+    # the last mosaic need not fill its rectangle, so a pixel says how many its tile has
+    has = F.count("*").over(Window.partitionBy("image_id")).alias("pixels")
+    pixels = cut(fixtures.prob_px(spark, d).select("image_id", "dataset", "height", "width", "y", "x", "prob", "true", has))
     for i in range(4):
         pixels.filter(F.col("y") % 4 == i).coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
     stream = spark.readStream.schema(pixels.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
-    q = accumulate.accumulate_stream(stream, folder, GRID)
+    q = accumulate.accumulate_stream(stream, folder, GRID, pixels="pixels")
     q.awaitTermination()
     out = accumulate.result(spark, folder, GRID)
     return rounded(out.select("dataset", "threshold", "tp", "n_pred", *RATIOS), *RATIOS)

@@ -61,3 +61,10 @@ def test_soft_skeleton_across_blocks_holes_and_nulls(spark):
     got = {(r.y, r.x): r for r in losses.soft_skeleton(px, ["p"], 3, block=5).collect()}
     assert got.keys() == k.keys() and all(abs(got[at].skel_p - k[at]) < 1e-12 for at in k)
     assert {at: got[at].p for at in got} == {(r[3], r[4]): r[5] for r in rows}
+
+
+def test_streamed_sweep_equals_its_sql(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    want = con.sql(entry.oracle_sql()["T01_streaming_sweep"]).to_arrow_table()
+    assert plain(entry.queries()["T01_streaming_sweep"](spark, folder).toArrow()) == plain(want)

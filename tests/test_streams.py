@@ -60,3 +60,20 @@ def test_incomplete_tiles_are_reported_after_their_time(spark, tmp_path):
     run([(3, "d", 1, 1, 0, 0, 0.1, False)])
     assert [tuple(r) for r in accumulate.incomplete(spark, out).collect()] == [(2, "d", 3, 4)]
     assert {(r.dataset, r.tiles, r.total_px) for r in accumulate.result(spark, out, [0.5]).filter("dataset = 'd'").collect()} == {("d", 2, 5)}
+
+
+def test_tiles_that_do_not_fill_their_rectangle_are_whole_with_all_their_pixels(spark, tmp_path):
+    cells = [(1, "d", 2, 2, 0, 0, 0.5, False), (1, "d", 2, 2, 0, 1, 0.9, True), (1, "d", 2, 2, 1, 0, 0.1, False), (2, "d", 2, 2, 1, 1, 0.9, True)]
+    out = str(tmp_path / "out")
+
+    def run(rows):
+        spark.createDataFrame([(*r, {1: 3, 2: 2, 3: None}[r[0]]) for r in rows], f"{PIXELS}, n long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(f"{PIXELS}, n long").parquet(str(tmp_path / "in"))
+        accumulate.accumulate_stream(stream, out, [0.4], tolerance=1, patience_ms=1, pixels="n").awaitTermination()
+
+    run(cells[:2])
+    run(cells[2:])  # tile 1 whole without its fourth pixel, tile 2 lacks one of two
+    run([(3, "d", 1, 1, 0, 0, 0.1, False)])  # no count: the rectangle
+    assert [tuple(r) for r in accumulate.incomplete(spark, out).collect()] == [(2, "d", 1, 2)]
+    r = accumulate.result(spark, out, [0.4]).filter("dataset = 'd'").first()
+    assert (r.tiles, r.total_px, r.true_px, r.n_pred, r.tp, r.hits_p, r.hits_r) == (2, 4, 1, 2, 1, 2, 1)
